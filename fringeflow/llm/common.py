@@ -6,9 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import fringeflow.llm
+
+# Kernels travel with their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(fringeflow.llm)
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -68,16 +74,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key is hot if it has more than this share of all rows, so there are fewer than 1 / HOT_SHARE such keys.
+#: A key is hot if it has at least this share of all rows, so there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.001
 
 
-def join_with_hot(big: DataFrame, lookup: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
-    """Inner join of big with lookup, which has one row per key and, in column `rows`, how many rows of big the
-    key has. Rows of hot keys meet a broadcast of the few hot lookups (fewer than 1 / HOT_SHARE of them,
-    whatever the input's size); all others are shuffled. `rows` isn't returned."""
-    least = max(100.0, total * HOT_SHARE)
-    hot, cold = lookup.filter(F.col(rows) >= least).drop(rows), lookup.filter(F.col(rows) < least).drop(rows)
-    of_hot = big.join(F.broadcast(hot), keys)
-    of_cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return of_hot.unionByName(of_cold)
+def skewed_join(big: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """big joined with lookup on keys, where a few keys may have a large share of big's rows.
+
+    A hot key's rows are dealt over as many salts as it has thousandths of the rows, by a hash of the column `spread`,
+    and its lookup rows are repeated for each salt. Only the hot keys, at most 1 / HOT_SHARE of them whatever the
+    input's size, are broadcast. counts: keys and `rows` of big, where they are known already."""
+    least = max(100.0, big.count() * HOT_SHARE)
+    counts = big.groupBy(*keys).agg(F.count("*").alias("rows")) if counts is None else counts
+    hot = materialise(counts.filter(F.col("rows") >= least).select(*keys, F.ceil(F.col("rows") / least).cast("int").alias("__copies")), "hot-keys")
+    if hot.isEmpty():
+        return big.join(lookup, keys, how)
+    copies = F.coalesce("__copies", F.lit(1))
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), copies).cast("int")).drop("__copies")
+    repeated = lookup.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")

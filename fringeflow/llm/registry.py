@@ -6,6 +6,8 @@ import importlib
 
 #: name -> (module, function, module's SQL or None)
 QUERIES = {
+    "op6_minhash_dedup": ("minhash", "op6_minhash_dedup", None),
+    "op8_line_dedup": ("lines", "op8_line_dedup", "ORACLE_SQL"),
     "op9_quality_rules": ("quality", "op9_quality_rules", "ORACLE_SQL"),
 }
 
