@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import materialise, skewed_join, table, text_of
+from fringeflow.llm.common import materialise, table, text_of
 
 #: 50 bands of 6 bins: a pair at the threshold 0.8 misses every bucket with probability (1 - 0.8^6)^50 = 3e-7.
 BANDS, ROWS = 50, 6
@@ -19,6 +19,8 @@ BANDS, ROWS = 50, 6
 LEAST_PERCENT = 80
 #: A pair whose sketches agree in fewer bins isn't compared in full; at similarity 0.8, 0.62 of 300 bins is 7 standard deviations off.
 LEAST_SKETCH = 0.62
+#: How many times as many members of an undecided bucket become centres in each further round.
+GROWTH = 16.0
 SEED = 20240229
 
 _ONE = np.uint64(1)
@@ -123,8 +125,8 @@ def _features(width: int, bands: int, rows: int):
                         out.append((0, None, None, None, None))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())],
-                    ["id", "n_shingles", "h1", "h2", "bands", "sketch"],
+                    [piece.column("id"), piece.column("version"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())],
+                    ["id", "version", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
     return run
@@ -142,50 +144,73 @@ def _sets(width: int):
 
 
 def _agreeing(least: float):
-    """Keeps the pairs whose sketches agree in `least` of the bins, with that share as `agree`."""
+    """Keeps the pairs whose sketches agree in `least` of the bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-                share = (a == b).mean(axis=1)
-                table = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "agree"])
-                yield table.filter(pa.array(share >= least))
+                pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+                yield pairs.filter(pa.array((a == b).mean(axis=1) >= least))
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, root for every vertex of the edges (a, b): randomised contraction. In each round a vertex joins the least
-    vertex of its closed neighbourhood, by id at first and then by a hash that changes with the round, and edges
-    inside a joined group vanish; the rounds grow with the logarithm of the vertices. Hot vertices are salted."""
+def components(edges: DataFrame) -> DataFrame | None:
+    """v, root for every vertex of the edges (a, b), or None without edges: randomised contraction. In each round a
+    vertex joins the least vertex of its closed neighbourhood, by id at first and then by a hash that changes with the
+    round, and edges inside a joined group vanish; the rounds grow with the logarithm of the vertices. Both sides of
+    every join are tables, so that Spark splits the partition of a vertex with very many edges."""
     current = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    joined, k = None, 0
+    steps: list[DataFrame] = []
     while not current.isEmpty():
+        k = len(steps)
         rank = (lambda c: F.col(c)) if k < 2 else (lambda c, k=k: F.xxhash64(F.lit(k), F.col(c)))
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("v"))).alias("least"))
         parent = materialise(least.select(F.col("a").alias("v"), F.when(F.col("least.rank") < rank("a"), F.col("least.v")).otherwise(F.col("a")).alias("p")), "parents")
-        step = skewed_join(current, parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), ["a"], "b")
-        step = skewed_join(materialise(step.select("pa", "b"), "half"), parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), ["b"], "pa")
-        current = materialise(step.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if joined is None:
-            joined = parent.select("v", F.col("p").alias("root"))
-        else:
-            moved = skewed_join(joined, parent.select(F.col("v").alias("root"), "p"), ["root"], "v", "left")
-            joined = materialise(moved.select("v", F.coalesce("p", "root").alias("root")), "roots")
-        k += 1
-    return joined if joined is not None else current.select(F.col("a").alias("v"), F.col("b").alias("root"))
-
-
-def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (id, comp) after joining the components that the edges (a, b) of ids link."""
-    ends = edges.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = skewed_join(labels, roots.select(F.col("v").alias("comp"), "root"), ["comp"], "id", "left")
+        ends = current.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        current = materialise(ends.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        steps.append(parent)
+    if not steps:
+        return None
+    roots = steps[0].select("v", F.col("p").alias("root"))
+    for step in steps[1:]:
+        roots = roots.join(step.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+    return roots
+
+
+def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the components ca and cb of a and b, where they differ."""
+    both = pairs.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    return both.filter("ca <> cb")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after joining the components that the links (a, b) connect."""
+    roots = components(_ends(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if roots is None:
+        return labels
+    moved = labels.join(materialise(roots, "roots").select(F.col("v").alias("comp"), "root"), "comp", "left")
     return materialise(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
+def _linkable(members: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """members (bucket, id, order, ...) without those that can't link with any other of their bucket, and n, how many stay.
+
+    A document's shingles that no other member holds are missing from all others. If u of its s shingles are, and no set
+    in the bucket has fewer than m, no union is smaller than u + max(m, s - u) and no intersection larger than s - u."""
+    alive = materialise(members.select("id").distinct(), "alive")
+    held = sets.join(alive, "id", "left_semi")
+    own = held.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = materialise(held.select("id", F.size("shingles").alias("size")).join(own, "id", "left").select("id", "size", F.coalesce("u", F.lit(0)).alias("u")), "sizes")
+    rows = materialise(members.select("bucket", "id", "order").join(sized, "id"), "sized")
+    low = materialise(rows.groupBy("bucket").agg(F.min("size").alias("low")), "low")
+    shared = F.col("size") - F.col("u")
+    kept = materialise(rows.join(low, "bucket").filter(shared * 100 >= (F.col("u") + F.greatest("low", shared)) * least_percent).select("bucket", "id", "order"), "linkable")
+    return kept.join(materialise(kept.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id linked to it, itself included) and kept (doc_id = component_id), a row for each row of docs.
 
@@ -194,70 +219,84 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Sets that are equal (by 128-bit hashes) form a class, and one representative goes on. Its bands deal it into
     buckets; in each bucket the members are compared with a centre, never with each other. Where a bucket then still
-    holds more than one component, more of its members become centres, twice as many in each round, and are compared
-    with the members of other components until the bucket is one component or all its members have been centres: no
-    link between components that share a bucket is lost. Sketches rule out most pairs; the rest are compared on the
-    full sets, first each document's most similar centre, then what still lies in two components.
-
-    An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each,
-    with the id's smallest component. A row without doc_id isn't linked: component_id null, kept true."""
-    body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body"))
-    schema = f"id {body.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"
-    features = materialise(body.mapInArrow(_features(width, bands, rows), schema), "features")
+    holds more than one component, members that can't link with any other are set aside by an exact bound; of the rest
+    more become centres, GROWTH times as many in each round, and are compared with the members of other components
+    until the bucket is one component or all its members have been centres: no link between components that share a
+    bucket is lost. Sketches rule out most pairs; the rest are
+    compared on the full sets; in the first round each member meets one centre, then those of its centres that still lie
+    in another component.
+
+    An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each and
+    share a component; where their texts differ, the one with the least hash is compared with other ids' texts. A row
+    without doc_id isn't linked: component_id null, kept true."""
+    body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).withColumn("version", F.xxhash64("body"))
+    kind = body.schema["id"].dataType.simpleString()
+    features = materialise(body.mapInArrow(_features(width, bands, rows), f"id {kind}, version bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"), "features")
     full = features.filter("n_shingles > 0 AND id IS NOT NULL")
 
     classes = materialise(full.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
-    firsts = full.dropDuplicates(["id"]).join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    chosen = materialise(firsts.select("id", "bands", "sketch"), "chosen")
+    firsts = materialise(full.join(classes.select(F.col("first").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("version").alias("version")), "firsts")
+    chosen = materialise(full.join(firsts, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "chosen")
 
     dealt = chosen.select("id", F.explode("bands").alias("bucket"))
-    sizes = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "buckets")
-    order = F.abs(F.xxhash64("id", "bucket") % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    members = materialise(skewed_join(dealt, sizes.select("bucket", F.col("rows").alias("n")), ["bucket"], "id", counts=sizes).withColumn("order", order), "members")
+    sizes = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # One order for all buckets: the same few members are centres in all the bands of a large group.
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    members = materialise(dealt.join(sizes.select("bucket"), "bucket").withColumn("order", order), "members")
     labels = materialise(members.select("id").distinct().withColumn("comp", F.col("id")), "labels")
-    sketches = chosen.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    texts = None
+    alike = labels.select("id")
+    sketches = materialise(chosen.join(alike, "id", "left_semi").select("id", "sketch"), "sketches")
+    sets = materialise(body.join(firsts.join(alike, "id", "left_semi"), ["id", "version"], "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), f"id {kind}, shingles array<bigint>"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sides = [texts.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
-        whole = skewed_join(skewed_join(pairs, sides[0], ["a"], "b"), sides[1], ["b"], "a")
-        shared = whole.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
+        sides = [sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+        shared = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
         return materialise(shared.filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * least_percent).select("a", "b"), "links")
 
-    k, most = 0, sizes.agg(F.max("rows")).first()[0] or 0
-    while most > 1 and (k == 0 or 2 ** (k - 1) < most):
+    def close(pairs: DataFrame) -> DataFrame:
+        drawn = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        return materialise(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH), f"a {kind}, b {kind}"), "close")
+
+    def undecided(members: DataFrame) -> DataFrame:
+        """The members, with comp and least (whether first in order), of buckets that hold several components."""
         now = members.join(labels, "id")
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("order", "id")).alias("least"), F.count("*").alias("rows")).filter("low <> high")
-        mixed = materialise(mixed.select("bucket", F.col("least.id").alias("least"), "rows"), "mixed")
-        if mixed.isEmpty():
-            break
-        open_ = materialise(skewed_join(now, mixed.select("bucket", "least"), ["bucket"], "id", counts=mixed), "open")
-        share, before = F.lit(float(2**k)) / F.col("n"), F.lit(float(2 ** (k - 1))) / F.col("n")
-        is_least = F.col("id") == F.col("least")
-        centre = is_least if k == 0 else ~is_least & (F.col("order") <= share) & ((F.col("order") > before) if k > 1 else F.lit(True))
-        centres = open_.filter(centre).select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-        facing = skewed_join(open_, centres, ["bucket"], "id", counts=mixed).filter("comp <> comp_a")
-        pairs = facing.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        seen = skewed_join(materialise(pairs, "pairs"), sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), ["a"], "b")
-        seen = skewed_join(materialise(seen, "seen"), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), ["b"], "a")
-        kind = labels.schema["id"].dataType.simpleString()
-        close = materialise(seen.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH), f"a {kind}, b {kind}, agree double"), "close")
-        if not close.isEmpty():
-            wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-            held = body.dropDuplicates(["id"]).join(wanted, "id", "left_semi")
-            texts = materialise(held.mapInArrow(_sets(width), f"id {kind}, shingles array<bigint>"), "sets")
-            best = close.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-            labels = _relabelled(labels, linked(materialise(best, "best")))
-            ends = close.select("a", "b").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-            apart = materialise(ends.filter("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti"), "apart")
-            if not apart.isEmpty():
-                labels = _relabelled(labels, linked(apart))
-        k += 1
-
-    lowest = labels.groupBy("comp").agg(F.min("id").alias("lowest"))
-    named = skewed_join(labels, lowest, ["comp"], "id").select(F.col("id").alias("first"), "lowest")
-    of_class = classes.join(named, "first", "left").select("h1", "h2", F.coalesce("lowest", "first").alias("component"))
-    found = skewed_join(features.select("id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "id", "left", counts=classes.select("h1", "h2", "rows"))
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("order", "id")).alias("least")).filter("low <> high")
+        return materialise(now.join(materialise(mixed.select("bucket", F.col("least.id").alias("first")), "mixed"), "bucket").withColumn("least", F.col("id") == F.col("first")).drop("first"), "open")
+
+    def facing(members: DataFrame, centres: DataFrame) -> DataFrame:
+        return members.join(centres.select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("order").alias("order_a")), "bucket").filter("comp <> comp_a")
+
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+    members = undecided(members)
+    if not members.isEmpty():
+        met = facing(members, members.filter("least"))
+        one = met.groupBy("id").agg(F.min_by("a", "order_a").alias("a"))
+        labels = _relabelled(labels, linked(close(paired(one))))
+        apart = met.select("a", "id").join(labels, "id").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("comp_a")), "a").filter("comp <> comp_a")
+        seen = close(paired(apart))
+        labels = _relabelled(labels, linked(seen))
+        members = _linkable(undecided(members.select("bucket", "id", "order")), sets, least_percent)
+
+        # A bucket's centres are those whose order times its size is up to share, and its first; those up to done were some already.
+        share, done = GROWTH, 0.0
+        most = members.agg(F.max("n")).first()[0] or 0
+        while done < most:
+            members = undecided(members.select("bucket", "id", "order", "n"))
+            if members.isEmpty():
+                break
+            up_to = lambda limit: F.col("least") | (F.col("order") * F.col("n") <= limit)
+            early = up_to(done) if done else F.lit(False)
+            found = close(paired(facing(members.filter(~early), members.filter(up_to(share) & ~early))).join(seen, ["a", "b"], "left_anti"))
+            labels = _relabelled(labels, linked(found))
+            seen = seen.unionByName(found)
+            done, share = share, share * GROWTH
+
+    lowest = materialise(labels.groupBy("comp").agg(F.min("id").alias("lowest")), "lowest")
+    named = materialise(labels.join(lowest, "comp").select(F.col("id").alias("first"), "lowest"), "named")
+    of_class = materialise(classes.join(named, "first", "left").select("h1", "h2", F.coalesce("lowest", "first").alias("component")), "components")
+    found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
