@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 _FOUND: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ("scans", "elements", "joins", "aggregates", "windows", "inversion", "mosaics")
+_MODULES = ("scans", "elements", "joins", "aggregates", "windows", "inversion", "mosaics", "kernels", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
