@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import ascii_lower, let, table, text_of
+from fringeflow.llm.common import ascii_lower, let, materialise, table, text_of
 
 #: Fixed masks: a word at a 1 counts, a word at a 0 may differ. An item of 13 words or more keeps a seed whatever one word is replaced.
 MASKS = ("11101101", "110100111")
@@ -15,7 +15,7 @@ BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
 #: In a run an equal word counts 1 and a different one as much against it.
 PENALTY = 2
-#: Seeds of the benchmark up to this number are broadcast (24 bytes each); beyond, both sides are shuffled by seed.
+#: Seeds of the benchmark up to this number are broadcast (24 bytes each), and its words; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 2_000_000
 
 
@@ -35,14 +35,13 @@ def seeds(words: Column, mask: str) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _seeded(table_: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keep, words, and seed and at (place in the text) exploded."""
+def _seeded(table_: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
+    """key, seed and at (place in the text): small rows, whatever a text's length."""
 
     def listed(words: Column) -> Column:
-        return F.struct(words.alias("words"), F.flatten(F.array(*(F.transform(seeds(words, m), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for m in masks))).alias("seeds"))
+        return F.flatten(F.array(*(F.transform(seeds(words, m), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for m in masks)))
 
-    packed = table_.select(*keep, let(word_hashes(F.col("body")), listed).alias("packed"))
-    return packed.select(*keep, F.col("packed.words").alias("words"), F.explode("packed.seeds").alias("s")).select(*keep, "words", "s.seed", "s.at")
+    return table_.select(key, F.explode(let(word_hashes(F.col("body")), listed)).alias("s")).select(key, "s.seed", "s.at")
 
 
 def best_run(equal: Column, penalty: int = PENALTY) -> Column:
@@ -71,17 +70,21 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     may be replaced between and around the seed's. The pair counts if the best run has least_words equal words, or
     least_share of the item's words where that is less (and 5 at least). Null and empty texts overlap with nothing;
     items shorter than the shortest mask can't be found. Rows that repeat a doc_id or an item_id give one row, with
-    the best match; a null doc_id is grouped like any other."""
-    body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body"))
-    test = items.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("body"))
-    theirs = _seeded(test, ["item_id"], masks).select("item_id", "seed", F.col("at").alias("item_at"), F.col("words").alias("item"))
-    # An item's words go with each of its seeds, so the bound is on seeds times words.
-    cost = theirs.agg(F.coalesce(F.sum(F.size("item") + 3), F.lit(0))).first()[0]
-    ours = _seeded(body, ["doc_id"], masks)
-    hits = ours.join(F.broadcast(theirs) if cost <= 3 * BROADCAST_SEEDS else theirs, "seed")
-    shifted = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-    equal = F.transform("item", lambda w, i: F.coalesce((F.get("words", F.col("shift") + i) == w).cast("int"), F.lit(0)))
-    scored = shifted.select("doc_id", "item_id", F.size("item").alias("item_words"), best_run(equal).alias("matched"))
+    the best match; rows without doc_id or item_id are left out.
+
+    The first pass moves only hits; texts are then joined with the hits of their document, so an alignment costs its
+    item's words and not its text's."""
+    body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body")).filter("doc_id IS NOT NULL")
+    test = items.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("body")).filter("item_id IS NOT NULL")
+    theirs = _seeded(test, "item_id", masks).select("item_id", "seed", F.col("at").alias("item_at"))
+    small = theirs.count() <= BROADCAST_SEEDS
+    hits = _seeded(body, "doc_id", masks).join(F.broadcast(theirs) if small else theirs, "seed")
+    found = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
+    # Items have about as many words as seeds of a mask, so the same bound holds for them.
+    words = test.select("item_id", word_hashes(F.col("body")).alias("item"))
+    met = body.join(found, "doc_id").join(F.broadcast(words) if small else words, "item_id")
+    aligned = lambda own: F.transform("item", lambda w, i: F.coalesce((F.get(own, F.col("shift") + i) == w).cast("int"), F.lit(0)))
+    scored = met.select("doc_id", "item_id", F.size("item").alias("item_words"), let(word_hashes(F.col("body")), lambda own: best_run(aligned(own))).alias("matched"))
     enough = F.col("matched") >= F.greatest(F.lit(5), F.least(F.lit(least_words), F.ceil(F.col("item_words") * least_share)))
     return scored.filter(enough).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
 
