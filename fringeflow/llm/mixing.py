@@ -67,7 +67,7 @@ def permuted(block: Column, key: Column, seed: int = SEED) -> Column:
 
 @dataclass
 class Mixed:
-    """rows: the columns of docs, then __key, __size, __place, __draws (array of pass and shard). sources: a row per source."""
+    """rows: the columns of docs, then __key, __size, __order, __source_size, __target and __draws (array of pass and shard). sources: a row per source."""
 
     rows: DataFrame
     sources: DataFrame
@@ -127,14 +127,14 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     for i, n in enumerate(names):
         place, upto, fits = found.get(n, (-1, least, []))
         known.append((n, int(total[n]), float(goal[n]), passes[n], place, upto, fits, [int(x) for x in ends[:-1, i]]))
-    sources = spark.createDataFrame(known, "__key string, source_size long, target double, passes int, last int, cut long, fits array<struct<place:int,order:long>>, ends array<long>")
+    sources = spark.createDataFrame(known, "__key string, __source_size long, __target double, __passes int, __last int, __cut long, __fits array<struct<place:int,order:long>>, __ends array<long>")
 
-    here = (F.col("__place") < F.col("last")) | ((F.col("__place") == F.col("last")) & (F.col("__order") <= F.col("cut"))) | F.array_contains("fits", _spot())
-    times = F.col("passes") + here.cast("int")
-    numbered = F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), F.size(F.filter("ends", lambda e: e <= p * BLOCKS + F.col("__place"))).alias("shard")))
+    here = (F.col("__place") < F.col("__last")) | ((F.col("__place") == F.col("__last")) & (F.col("__order") <= F.col("__cut"))) | F.array_contains("__fits", _spot())
+    times = F.col("__passes") + here.cast("int")
+    numbered = F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), F.size(F.filter("__ends", lambda e: e <= p * BLOCKS + F.col("__place"))).alias("shard")))
     drawn = F.when(times > 0, numbered).otherwise(F.array().cast(numbered_type()))
     joined = rows.join(F.broadcast(sources), "__key")
-    return Mixed(joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__key", "__size", "__order", "source_size", "target", drawn.alias("__draws")), sources)
+    return Mixed(joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__key", "__size", "__order", "__source_size", "__target", drawn.alias("__draws")), sources)
 
 
 def _spot() -> Column:
@@ -160,4 +160,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).rows
-    return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.size("__draws")).alias("taken"))
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__draws")).alias("taken"))
