@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from fringeflow.llm.common import shared_dir, table, text_of
 
-#: Words whose ids a task keeps; a word beyond that is encoded again.
-CACHED_WORDS = 200_000
+#: Words, and letter runs, whose ids a Python worker keeps over its tasks (some 120 bytes each); others are encoded again.
+CACHED_WORDS = 300_000
+#: A run of Latin letters, then ASCII signs other than the apostrophe, which can join a letter in one pre-token.
+SIMPLE = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)"
 #: ids draw on one vocabulary, so they take a dictionary; the other columns rise or vary little, so they take deltas (format v2).
 LAYOUT = {
     "compression": "zstd",
@@ -29,34 +31,102 @@ LAYOUT = {
 }
 
 
-def _encode(vocabulary: bytes, end_id: int, cached_words: int):
-    """Encodes by words between spaces and line ends: no normal form, pre-token or special token of the vocabularies
-    meant here reaches over them, so the ids are those of the whole text."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class WordEncoder:
+    """A tokenizer's ids of a text, word by word, as little-endian 32-bit integers.
+
+    Words are cut at spaces and line ends, which no normal form, pre-token or special token of the vocabularies meant
+    here reaches over, so the ids are those of the whole text. A word of Latin letters and signs is lower-cased and given
+    to the merges at once, without normaliser and pre-tokenizer, which leave it as it is; all others take the full way."""
+
+    def __init__(self, vocabulary: bytes, cached_words: int = CACHED_WORDS):
+        import json
+        import re
+
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.model, self.most = self.tokenizer.model, cached_words
+        self.known: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
+        config = json.loads(vocabulary)
+        kinds = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])]
+        split = [x.get("type") for x in (config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        # The short way is for this chain of steps only.
+        self.simple = re.compile(SIMPLE) if kinds == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"] else None
+        self.letters = byte_letters()
+
+    def _full(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            text = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.model.tokenize(text)], dtype="<i4").tobytes()
+            if len(self.runs) < self.most and len(run) < 64:
+                self.runs[run] = found
+        return found
+
+    def fresh(self, word: str) -> bytes:
+        m = self.simple.fullmatch(word) if self.simple else None
+        if m:
+            signs = m[2]
+            found = self._run(m[1].lower())
+            if signs:
+                tail = self.runs.get(signs)
+                if tail is None:
+                    tail = self._full(signs)
+                    if len(self.runs) < self.most and len(signs) < 64:
+                        self.runs[signs] = tail
+                found += tail
+        else:
+            found = self._full(word)
+        if len(self.known) < self.most and len(word) < 64:
+            self.known[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        parts = list(map(self.known.get, words))
+        at = -1
+        try:
+            while True:
+                at = parts.index(None, at + 1)
+                parts[at] = self.fresh(words[at])
+        except ValueError:
+            return b"".join(parts)
+
 
+def _encode(vocabulary: bytes, end_id: int, cached_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sys
+        import types
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_buffer(vocabulary)
-        known: dict[str, bytes] = {"": b""}
+        # A worker process serves many tasks; the module outlives this function's own globals.
+        kept = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+        key = zlib.crc32(vocabulary)
+        if getattr(kept, "key", None) != key:
+            kept.key, kept.encoder = key, WordEncoder(vocabulary, cached_words)
+        encoder = kept.encoder
         shard, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=np.int32).tobytes()
+        end = np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 piece = batch.slice(part, 256)
-                texts = [x.as_py().replace("\n", " ").split(" ") for x in piece.column("body")]
-                fresh = list({w for words in texts for w in words if w not in known})
-                coded = dict(zip(fresh, (np.array(x.ids, dtype=np.int32).tobytes() for x in tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
-                if len(known) + len(coded) <= cached_words:
-                    known.update(coded)
-                    coded = known
-                else:
-                    coded = known | coded
-                ids = [b"".join([coded[w] for w in words]) + end for words in texts]
+                ids = [encoder.encode(x) + end for x in piece.column("body").to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
+                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(np.full(len(ids), shard, dtype=np.int32)), pa.array(start + ends[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)],
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
