@@ -74,6 +74,68 @@ def perpendicular_baseline(target: Vector, ref: Vector, sec: Vector, ref_range:
     return F.signum(_dot(_cross(_minus(target, ref), between), velocity)) * across
 
 
+class Orbit:
+    """Positions and velocities of a sensor at some times; between them a cubic Hermite curve."""
+
+    def __init__(self, times, positions, velocities):
+        import numpy as np
+
+        self.t, self.x, self.v = (np.asarray(a, dtype=float) for a in (times, positions, velocities))
+        if len(self.t) < 2 or (np.diff(self.t) <= 0).any():
+            raise ValueError("an orbit needs two states or more, in order of time")
+
+    def at(self, t):
+        """Position and velocity at each time, extrapolated from the end segments."""
+        import numpy as np
+
+        k = np.clip(np.searchsorted(self.t, t) - 1, 0, len(self.t) - 2)
+        h = self.t[k + 1] - self.t[k]
+        u = ((t - self.t[k]) / h)[:, None]
+        h = h[:, None]
+        a, b, va, vb = self.x[k], self.x[k + 1], self.v[k] * h, self.v[k + 1] * h
+        x = a * (2 * u**3 - 3 * u**2 + 1) + va * (u**3 - 2 * u**2 + u) + b * (3 * u**2 - 2 * u**3) + vb * (u**3 - u**2)
+        v = (a * (6 * u**2 - 6 * u) + va * (3 * u**2 - 4 * u + 1) + b * (6 * u - 6 * u**2) + vb * (3 * u**2 - 2 * u)) / h
+        return x, v
+
+    def closest(self, targets, rounds: int = 50):
+        """Zero-Doppler time, range, position and velocity for each target: Newton steps on the projection of the line of sight onto the track."""
+        import numpy as np
+
+        t = np.full(len(targets), (self.t[0] + self.t[-1]) / 2)
+        for _ in range(rounds):
+            x, v = self.at(t)
+            step = ((targets - x) * v).sum(axis=1) / (v * v).sum(axis=1)
+            t = t + step
+            if not len(step) or np.abs(step).max() < 1e-9:
+                break
+        x, v = self.at(t)
+        return t, np.linalg.norm(targets - x, axis=1), x, v
+
+
+def baseline_grid(points: DataFrame, reference: Orbit, secondary: Orbit, key: str) -> DataFrame:
+    """key and baseline: the perpendicular baseline at each point (key, x, y, z; earth-fixed metres) of two orbits.
+
+    The orbits, a few states each, go with the tasks; points are solved by whole Arrow batches."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            target = frame[["x", "y", "z"]].to_numpy(float)
+            _, r1, ref, v = reference.closest(target)
+            _, r2, sec, _ = secondary.closest(target)
+            between = sec - ref
+            length = np.linalg.norm(between, axis=1)
+            cosine = np.divide(r1**2 + length**2 - r2**2, 2 * r1 * length, out=np.ones_like(r1), where=length > 0)
+            across = length * np.sqrt(np.maximum(1 - cosine**2, 0))
+            side = np.sign((np.cross(target - ref, between) * v).sum(axis=1))
+            yield pd.DataFrame({key: frame[key], "baseline": side * across})
+
+    return points.select(key, "x", "y", "z").mapInPandas(run, f"{key} {kind}, baseline double")
+
+
 def to_ecef(lon: Column, lat: Column, height: Column) -> Vector:
     """WGS84 degrees and metres to earth-fixed metres."""
     a, e2 = 6378137.0, 6.69437999014e-3

@@ -94,6 +94,16 @@ def components(mask: DataFrame, keys: list[str], connectivity: int = 8, max_roun
     return labels.join(numbered, [*keys, "least"]).select(*keys, "row", "col", "label")
 
 
+def components_of_mask(mask: DataFrame, keys: list[str], size: int = 25, connectivity: int = 4) -> DataFrame:
+    """keys, row, col, label of the true pixels of `inside` after a dilation by a box of size x size: parts that the
+    dilation joins share a label. The box is two passes over rows and columns; only pixels of the mask are returned."""
+    half = size // 2
+    points = mask.filter("inside").select(*keys, "row", "col")
+    along = lambda df, axis: df.withColumn(axis, F.explode(F.sequence(F.col(axis) - half, F.col(axis) + (size - 1 - half)))).distinct()
+    grown = along(along(points, "row"), "col").withColumn("inside", F.lit(True))
+    return components(grown, keys, connectivity).join(points, [*keys, "row", "col"], "left_semi")
+
+
 def largest_component(labels: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label, n: the largest component, the least label among equals."""
     n = labels.groupBy(*keys, "label").agg(F.count("*").alias("n"))

@@ -143,3 +143,16 @@ def g5(spark, sf_dir):
     return interp.reference_point(quality, ["scene"], 55)
 
 
+
+
+_GROWN = (
+    'inside AS (SELECT DISTINCT a.scene, a."row" + dr.range AS "row", a.col + dc.range AS col FROM amp a, range(-1, 2) dr, range(-1, 2) dc WHERE a.t = 3 AND a.a > 95)'
+)
+_LABELS4 = _LABELS.replace('abs(b."row" - w."row") <= 1 AND abs(b.col - w.col) <= 1', 'abs(b."row" - w."row") + abs(b.col - w.col) <= 1')
+
+
+@query("f11_components_of_mask", _recursive(with_("slc amp", 'SELECT l.scene, CAST(l."row" AS INT) AS "row", CAST(l.col AS INT) AS col, l.label FROM labels l SEMI JOIN (SELECT * FROM amp WHERE t = 3 AND a > 95) p ON p.scene = l.scene AND p."row" = l."row" AND p.col = l.col', _GROWN, _LABELS4)))
+def f11(spark, sf_dir):
+    """Components of a mask after a dilation."""
+    bright = amplitude(spark, sf_dir).filter("t = 3").select(*KEYS, (F.col("value") > 95).alias("inside"))
+    return interp.components_of_mask(bright, ["scene"], 3)

@@ -123,11 +123,20 @@ def ud1(spark, sf_dir):
 
 @query("p16_baseline_grid")
 def p16(spark, sf_dir):
-    """Baselines over a lon/lat grid, from two sensor positions in earth-fixed coordinates."""
+    """Baselines over a lon/lat grid: zero-Doppler positions on two nearly parallel orbits."""
+    import numpy as np
+
     parts = table(spark, sf_dir, "part").select("p_partkey", (10.0 + F.col("p_size") / 10).alias("lon"), (45.0 + F.col("p_retailprice") / 1000).alias("lat"))
-    target = geometry.to_ecef(F.col("lon"), F.col("lat"), F.lit(100.0))
-    ref = geometry.to_ecef(F.lit(2.0), F.lit(44.0), F.lit(693_000.0))
-    sec = geometry.to_ecef(F.lit(2.001), F.lit(44.0005), F.lit(693_080.0))
-    away = lambda a: F.sqrt(sum((x - y) ** 2 for x, y in zip(target, a, strict=True)))
-    found = geometry.perpendicular_baseline(target, ref, sec, away(ref), away(sec), (F.lit(-2000.0), F.lit(1000.0), F.lit(7000.0)))
-    return parts.select("p_partkey", "lon", "lat", F.round(found, 3).alias("baseline"))
+    x, y, z = geometry.to_ecef(F.col("lon"), F.col("lat"), F.lit(100.0))
+    times = np.arange(-60.0, 61.0, 10.0)
+    angle_ = np.radians(45) + times * 7500 / 7.07e6
+
+    def orbit(radius, lon):
+        flat, up = radius * np.cos(angle_), radius * np.sin(angle_)
+        turn = radius * 7500 / 7.07e6
+        where = np.stack([flat * np.cos(lon), flat * np.sin(lon), up], axis=1)
+        speed = turn * np.stack([-np.sin(angle_) * np.cos(lon), -np.sin(angle_) * np.sin(lon), np.cos(angle_)], axis=1)
+        return geometry.Orbit(times, where, speed)
+
+    found = geometry.baseline_grid(parts.select("p_partkey", x.alias("x"), y.alias("y"), z.alias("z")), orbit(7.07e6, np.radians(5)), orbit(7.07e6 + 60, np.radians(5.001)), "p_partkey")
+    return parts.join(found, "p_partkey").select("p_partkey", "lon", "lat", F.round("baseline", 3).alias("baseline"))

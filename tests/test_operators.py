@@ -392,6 +392,33 @@ def test_flat_files(spark, tmp_path):
         raster.read_flat(spark, f"file://{tmp_path}/*.slc", (7, 8), "complex64").count()
 
 
+def test_integer_pairs(spark, tmp_path):
+    pairs = np.array([[1, -2], [3, 4], [0, 5], [-6, 7]], dtype=">i2")
+    pairs.tofile(tmp_path / "a.int")
+    rows = raster.read_flat(spark, f"file://{tmp_path}/a.int", (2, 2), ">cint16").orderBy("row", "col").collect()
+    assert [(r["value"], r["im"]) for r in rows] == [(1, -2), (3, 4), (0, 5), (-6, 7)]
+
+
+def test_orbits(spark):
+    """A straight track: the closest point is the foot of the perpendicular."""
+    times = np.arange(0.0, 100.0, 10.0)
+    track = lambda y, z: geometry.Orbit(times, np.stack([7500 * times, 0 * times + y, 0 * times + z], axis=1), np.tile([7500.0, 0, 0], (10, 1)))
+    targets = np.array([[300e3, 400e3, 0.0], [123456.0, 350e3, 10.0]])
+    t, distance, _, _ = track(0, 700e3).closest(targets)
+    assert np.allclose(t, targets[:, 0] / 7500) and np.allclose(distance, np.hypot(targets[:, 1], 700e3 - targets[:, 2]))
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(targets)], "k int, x double, y double, z double")
+    found = [r["baseline"] for r in geometry.baseline_grid(points, track(0, 700e3), track(60, 700e3 + 80), "k").orderBy("k").collect()]
+    for value, target in zip(found, targets, strict=True):
+        look = np.array([0, target[1], target[2] - 700e3])
+        assert abs(value) == pytest.approx(np.linalg.norm(np.cross(look / np.linalg.norm(look), [0, 60, 80])), rel=1e-3)
+
+
+def test_components_of_mask(spark):
+    mask = spark.createDataFrame([(0, r, c, True) for r, c in [(0, 0), (0, 3), (0, 9), (9, 5)]], "scene int, row int, col int, inside boolean")
+    labels = {(r["row"], r["col"]): r["label"] for r in interp.components_of_mask(mask, ["scene"], 5).collect()}
+    assert labels[(0, 0)] == labels[(0, 3)] != labels[(0, 9)] and len(labels) == 4
+
+
 def test_window_and_metadata(spark):
     pixels = spark.createDataFrame([(r, c, float(r * c)) for r in range(10) for c in range(10)], "row int, col int, value double")
     assert raster.window(pixels, (2, 20), (0, 3), shape=(10, 10)).count() == 24
