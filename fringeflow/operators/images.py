@@ -113,22 +113,22 @@ def least_squares_unwrap(wrapped: np.ndarray, correlation: np.ndarray) -> tuple[
     return np.where(valid, whole, np.nan), valid.astype(int)
 
 
-#: Built-in solvers by name; others are added by register().
+#: Solvers by name; those of other packages are added by register().
 UNWRAPPERS: dict[str, Callable] = {"least_squares": least_squares_unwrap}
-#: Known names of solvers that live in packages of their own.
-EXTERNAL = ("snaphu", "icu", "phass", "spurt", "whirlwind")
+#: Names of solvers that want interferograms of a single reference.
+SINGLE_REFERENCE: set[str] = set()
 
 
-def register(name: str, solver: Unwrapper) -> None:
+def register(name: str, solver: Unwrapper, single_reference: bool = False) -> None:
     UNWRAPPERS[name] = solver
+    if single_reference:
+        SINGLE_REFERENCE.add(name)
 
 
 def unwrapper(name: str) -> Callable:
-    if name in UNWRAPPERS:
-        return UNWRAPPERS[name]
-    if name in EXTERNAL:
-        raise NotImplementedError(f"{name} is a separate package; install it and register() its solver")
-    raise ValueError(f"unknown unwrapper {name}")
+    if name not in UNWRAPPERS:
+        raise NotImplementedError(f"no unwrapper {name} is registered; known: {', '.join(UNWRAPPERS)}")
+    return UNWRAPPERS[name]
 
 
 def _grids(frame, columns: list[str]) -> list[np.ndarray]:

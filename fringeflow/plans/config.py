@@ -115,8 +115,9 @@ class Workflow:
             raise ValueError(f"unknown inversion method {self.timeseries.method}")
         if self.phase_linking.shp_method not in ("rect", "glrt", "ks"):
             raise ValueError(f"unknown method {self.phase_linking.shp_method}")
-        if self.unwrap.unwrap_method == "spurt":
-            # This solver takes a single-reference network.
+        from fringeflow.operators.images import SINGLE_REFERENCE
+
+        if self.unwrap.unwrap_method in SINGLE_REFERENCE:
             self.network = InterferogramNetwork(reference_idx=self.network.reference_idx or 0)
 
     def to_dict(self) -> dict[str, Any]:

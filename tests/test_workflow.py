@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeflow import cli
+from fringeflow.operators import images
 from fringeflow.plans import config, workflow
 from fringeflow.sources import simulate
 from fringeflow.streaming import sequential, statistics
@@ -20,8 +21,9 @@ def test_settings_round_trip(tmp_path):
         config.Workflow.from_dict({"nothing": 1})
     with pytest.raises(ValueError):
         config.Workflow.from_dict({"timeseries": {"method": "L3"}})
-    spurt = config.Workflow.from_dict({"unwrap": {"unwrap_method": "spurt"}, "network": {"max_bandwidth": 3}})
-    assert spurt.network == config.InterferogramNetwork(reference_idx=0)
+    images.register("stars", lambda w, c: (w, c), single_reference=True)
+    stars = config.Workflow.from_dict({"unwrap": {"unwrap_method": "stars"}, "network": {"max_bandwidth": 3}})
+    assert stars.network == config.InterferogramNetwork(reference_idx=0)
 
 
 def test_file_lists(tmp_path):
