@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringeflow.llm.common import materialise, table, text_of
@@ -17,10 +17,12 @@ from fringeflow.llm.common import materialise, table, text_of
 BANDS, ROWS = 50, 6
 #: Percent of the union that two linked sets share at least.
 LEAST_PERCENT = 80
-#: A pair whose sketches agree in fewer bins isn't compared in full; at similarity 0.8, 0.62 of 300 bins is 7 standard deviations off.
-LEAST_SKETCH = 0.62
+#: A pair whose sketches agree in fewer bins isn't compared in full; at similarity 0.8, 0.68 of 300 bins is 5 standard deviations off.
+LEAST_SKETCH = 0.68
 #: How many times as many members of an undecided bucket become centres in each further round.
 GROWTH = 16.0
+#: Of undecided buckets with LARGE members or more, a shingle is rare if RARE of all those members hold it at most.
+LARGE, RARE = 64, 400
 SEED = 20240229
 
 _ONE = np.uint64(1)
@@ -180,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame | None:
     return roots
 
 
-def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with the components ca and cb of a and b, where they differ."""
     both = pairs.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
     return both.filter("ca <> cb")
@@ -188,27 +190,44 @@ def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, comp) after joining the components that the links (a, b) connect."""
-    roots = components(_ends(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    roots = components(_apart(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if roots is None:
         return labels
     moved = labels.join(materialise(roots, "roots").select(F.col("v").alias("comp"), "root"), "comp", "left")
     return materialise(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
-def _linkable(members: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """members (bucket, id, order, ...) without those that can't link with any other of their bucket, and n, how many stay.
-
-    A document's shingles that no other member holds are missing from all others. If u of its s shingles are, and no set
-    in the bucket has fewer than m, no union is smaller than u + max(m, s - u) and no intersection larger than s - u."""
-    alive = materialise(members.select("id").distinct(), "alive")
-    held = sets.join(alive, "id", "left_semi")
-    own = held.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("u"))
-    sized = materialise(held.select("id", F.size("shingles").alias("size")).join(own, "id", "left").select("id", "size", F.coalesce("u", F.lit(0)).alias("u")), "sizes")
-    rows = materialise(members.select("bucket", "id", "order").join(sized, "id"), "sized")
-    low = materialise(rows.groupBy("bucket").agg(F.min("size").alias("low")), "low")
-    shared = F.col("size") - F.col("u")
-    kept = materialise(rows.join(low, "bucket").filter(shared * 100 >= (F.col("u") + F.greatest("low", shared)) * least_percent).select("bucket", "id", "order"), "linkable")
-    return kept.join(materialise(kept.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "bucket")
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, least_percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs (a, id) for the members of large buckets whose links rare shingles show, and the members (bucket, id, order, n) that are left.
+
+    A link of sets of s and t shingles has p / (100 + p) * (s + t) in common at least. So a set that holds none of some r
+    of a document's shingles is linked with it only if t <= (s - r) * (100 + p) / p - s. Where a document has more rare
+    shingles than two sets of its size may miss, it is compared with the holders of its rarest ones, and with the few
+    members of its buckets that are small enough; no link of it is left out, and it leaves its large buckets."""
+    counts = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
+    rows = members.select("bucket", "id", "order").join(counts, "bucket")
+    ids = materialise(rows.filter(F.col("n") >= LARGE).select("id").distinct(), "crowded")
+    if ids.isEmpty():
+        return None, rows
+    part = (100 + least_percent) / least_percent
+    held = sets.join(ids, "id", "left_semi").select("id", "shingles", F.size("shingles").alias("size"))
+    each = held.select("id", "size", F.explode("shingles").alias("s"))
+    rare = materialise(each.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE), "rare")
+    holders = materialise(each.join(rare, "s"), "holders")
+    missed = F.col("size") - F.ceil(2 * F.col("size") / part)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "s"))
+    rarest = holders.withColumn("k", place).filter(F.col("k") <= missed + 2)
+    aside = rarest.groupBy("id", "size").agg(F.max("k").alias("r")).filter(F.col("r") > missed)
+    aside = materialise(aside.select("id", ((F.col("size") - F.col("r")) * part - F.col("size")).alias("limit")), "aside")
+    asks = materialise(rarest.join(aside, "id", "left_semi").select("s", "id", "size"), "asks")
+    alike = F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * least_percent
+    met = asks.join(holders.select("s", F.col("id").alias("a"), F.col("size").alias("size_a")), "s").filter((F.col("id") != F.col("a")) & alike)
+    crowd = materialise(rows.filter(F.col("n") >= LARGE).join(held.select("id", "size"), "id"), "crowd")
+    small = crowd.join(aside, "id").select("bucket", "id", "size", "limit").join(crowd.select("bucket", F.col("id").alias("a"), F.col("size").alias("size_a")), "bucket")
+    small = small.filter((F.col("size_a") <= F.col("limit")) & (F.col("id") != F.col("a")) & alike)
+    left = materialise(crowd.select("bucket", "id", "order").join(aside, "id", "left_anti").unionByName(rows.filter(F.col("n") < LARGE).select("bucket", "id", "order")), "left")
+    left = left.join(materialise(left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "bucket")
+    return met.select("a", "id").unionByName(small.select("a", "id")), left
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -219,8 +238,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Sets that are equal (by 128-bit hashes) form a class, and one representative goes on. Its bands deal it into
     buckets; in each bucket the members are compared with a centre, never with each other. Where a bucket then still
-    holds more than one component, members that can't link with any other are set aside by an exact bound; of the rest
-    more become centres, GROWTH times as many in each round, and are compared with the members of other components
+    holds more than one component and many members, those with enough rare shingles are compared with the holders of
+    these, which leaves out no link of theirs; of the rest more become centres, GROWTH times as many in each round, and are compared with the members of other components
     until the bucket is one component or all its members have been centres: no link between components that share a
     bucket is lost. Sketches rule out most pairs; the rest are
     compared on the full sets; in the first round each member meets one centre, then those of its centres that still lie
@@ -277,7 +296,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         apart = met.select("a", "id").join(labels, "id").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("comp_a")), "a").filter("comp <> comp_a")
         seen = close(paired(apart))
         labels = _relabelled(labels, linked(seen))
-        members = _linkable(undecided(members.select("bucket", "id", "order")), sets, least_percent)
+        rarely, members = _by_rare_shingles(undecided(members.select("bucket", "id", "order")), sets, least_percent)
+        if rarely is not None:
+            found = close(_apart(paired(rarely), labels).select("a", "b").join(seen, ["a", "b"], "left_anti"))
+            labels = _relabelled(labels, linked(found))
+            seen = seen.unionByName(found)
 
         # A bucket's centres are those whose order times its size is up to share, and its first; those up to done were some already.
         share, done = GROWTH, 0.0
