@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import ascii_lower, let, materialise, table, text_of
+from fringeflow.llm.common import LOWER, UPPER, ascii_lower, let, materialise, table, text_of
 
 #: Fixed masks: a word at a 1 counts, a word at a 0 may differ. An item of 13 words or more keeps a seed whatever one word is replaced.
 MASKS = ("11101101", "110100111")
@@ -98,3 +98,35 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _seed_sql(mask: str) -> str:
+    ones = [i for i, bit in enumerate(mask) if bit == "1"]
+    words = ", ".join(f"w[i + {k}]" for k in ones)
+    return f"SELECT kind, id, i, concat_ws('|', '{mask}', {words}) AS seed FROM (SELECT kind, id, w, unnest(range(1, len(w) - {len(mask) - 2})) AS i FROM words WHERE len(w) >= {len(mask)})"
+
+
+_ZERO = "{'score': 0, 'hits': 0, 'best': 0, 'found': 0}"
+_STEP = (
+    "{'score': CASE WHEN s.score + x.score > 0 THEN s.score + x.score ELSE 0 END, 'hits': CASE WHEN s.score + x.score > 0 THEN s.hits + x.hits ELSE 0 END, "
+    "'best': CASE WHEN s.score + x.score > 0 AND s.score + x.score > s.best THEN s.score + x.score ELSE s.best END, "
+    "'found': CASE WHEN s.score + x.score > 0 AND s.score + x.score > s.best THEN s.hits + x.hits ELSE s.found END}"
+)
+
+ORACLE_SQL = rf"""
+WITH words AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(body, '{UPPER}', '{LOWER}'), '{BREAK}'), lambda w: w <> '') AS w FROM (
+    SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS body FROM documents UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM benchmark)),
+seeds AS ({" UNION ALL ".join(_seed_sql(m) for m in MASKS)}),
+shifts AS (
+  SELECT DISTINCT d.id AS doc_id, t.id AS item_id, d.i - t.i AS shift FROM seeds d JOIN seeds t ON d.seed = t.seed WHERE d.kind = 'd' AND t.kind = 'i'),
+aligned AS (
+  SELECT doc_id, item_id, len(t.w) AS item_words,
+         list_transform(range(1, len(t.w) + 1), lambda k: CASE WHEN k + shift >= 1 AND d.w[k + shift] = t.w[k] THEN 1 ELSE 0 END) AS equal
+  FROM shifts s JOIN words d ON d.kind = 'd' AND d.id = s.doc_id JOIN words t ON t.kind = 'i' AND t.id = s.item_id),
+scored AS (
+  SELECT doc_id, item_id, item_words, list_reduce(list_prepend({_ZERO}, list_transform(equal, lambda e: {{'score': CASE WHEN e = 1 THEN 1 ELSE -{PENALTY} END, 'hits': e, 'best': 0, 'found': 0}})), lambda s, x: {_STEP}).found AS matched
+  FROM aligned)
+SELECT doc_id, item_id, CAST(max(matched) AS INT) AS matched, CAST(max(item_words) AS INT) AS item_words FROM scored
+WHERE matched >= greatest(5, least({LEAST_WORDS}, ceil(item_words * {LEAST_SHARE}))) GROUP BY doc_id, item_id
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import let, table, text_of
-from fringeflow.llm.decontam import word_hashes
+from fringeflow.llm.common import LOWER, UPPER, let, table, text_of
+from fringeflow.llm.decontam import BREAK, word_hashes
 
 WIDTH, LEAST = 5, 0.8
 #: 32 bands of 2: a window half of whose shingles are the template's shares a band with probability 1 - (1 - 0.5^2)^32 = 0.9999.
@@ -119,3 +119,27 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Plain containment in every window, without bands.
+ORACLE_SQL = rf"""
+WITH given AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEMPLATES)}) AS v(license, body)),
+split AS (
+  SELECT license AS key, NULL AS doc_id, body FROM given UNION ALL SELECT NULL, doc_id, coalesce(text, '') FROM documents),
+words AS (
+  SELECT key, doc_id, list_filter(string_split_regex(translate(body, '{UPPER}', '{LOWER}'), '{BREAK}'), lambda w: w <> '') AS w FROM split),
+shingles AS (
+  SELECT key, doc_id, i - 1 AS at, array_to_string(list_slice(w, i, i + {WIDTH - 1}), ' ') AS s
+  FROM (SELECT key, doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM words WHERE len(w) >= {WIDTH})),
+templates AS (SELECT DISTINCT key AS license, s FROM shingles WHERE key IS NOT NULL),
+sized AS (SELECT license, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS step FROM templates GROUP BY license),
+windows AS (
+  SELECT h.doc_id, t.license, h.at // z.step - k.v AS win, count(DISTINCT h.s) / any_value(z.n) AS containment
+  FROM shingles h JOIN templates t ON t.s = h.s JOIN sized z ON z.license = t.license CROSS JOIN (VALUES (0), (1)) AS k(v)
+  WHERE h.key IS NULL GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment, count(*) AS windows FROM windows WHERE containment >= {LEAST} GROUP BY ALL
+"""

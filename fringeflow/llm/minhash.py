@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import materialise, table, text_of
+from fringeflow.llm.common import LOWER, UPPER, materialise, table, text_of
 
 #: 50 bands of 6 bins: a pair at the threshold 0.8 misses every bucket with probability (1 - 0.8^6)^50 = 3e-7.
 BANDS, ROWS = 50, 6
@@ -326,3 +326,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+#: All pairs that share a shingle, and a walk along the links: for small tables.
+ORACLE_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(2, len(w))), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) p
+  JOIN sizes a ON a.doc_id = p.a JOIN sizes b ON b.doc_id = p.b WHERE 100 * common >= {LEAST_PERCENT} * (a.n + b.n - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT w.doc_id, e.b FROM walk w JOIN both_ways e ON e.a = w.reached)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(w.reached) AS component_id, d.doc_id = min(w.reached) AS kept
+FROM documents d JOIN walk w ON w.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""

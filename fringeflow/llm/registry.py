@@ -8,10 +8,10 @@ import importlib
 QUERIES = {
     "op1_skip_chain_pii": ("pii", "op1_skip_chain_pii", None),
     "op2_url_gbt": ("urls", "op2_url_gbt", None),
-    "op3_license_scan": ("licenses", "op3_license_scan", None),
-    "op4_decontaminate": ("decontam", "op4_decontaminate", None),
+    "op3_license_scan": ("licenses", "op3_license_scan", "ORACLE_SQL"),
+    "op4_decontaminate": ("decontam", "op4_decontaminate", "ORACLE_SQL"),
     "op5_token_output": ("tokens", "op5_token_output", None),
-    "op6_minhash_dedup": ("minhash", "op6_minhash_dedup", None),
+    "op6_minhash_dedup": ("minhash", "op6_minhash_dedup", "ORACLE_SQL"),
     "op7_warc_derivatives": ("warc", "op7_warc_derivatives", None),
     "op8_line_dedup": ("lines", "op8_line_dedup", "ORACLE_SQL"),
     "op9_quality_rules": ("quality", "op9_quality_rules", "ORACLE_SQL"),

@@ -244,7 +244,7 @@ def test_url_trees_learn(spark):
 def test_url_odd(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     one = urls.judge(spark.createDataFrame([(1, None), (None, "http://a.org/")], "page_id long, url string")).collect()
-    assert {r["verdict"] for r in one} == {"allow"} or {r["verdict"] for r in one} <= {"allow", "block"}
+    assert [r["verdict"] for r in one] == ["allow", "allow"]
 
 
 # --- WARC
