@@ -111,3 +111,26 @@ def test_sessions_and_windows(spark):
     events = spark.createDataFrame(rows, "user int, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in statistics.sessions(events, ["user"], "1 hour").collect()) == [1, 2]
     assert sorted(r["total"] for r in statistics.tumbling(events, ["user"], "1 hour", "value", late="1 day").collect()) == [3.0, 3.0]
+
+
+def test_other_commands(spark, tmp_path):
+    r, c = np.indices((24, 20))
+    wave = 0.3 * r + 0.1 * c
+    rows = [(0, 0, 1, int(a), int(b), float(np.angle(np.exp(1j * wave[a, b]))), 0.9) for a, b in zip(r.ravel(), c.ravel(), strict=True)]
+    spark.createDataFrame(rows, "scene int, ref_t int, sec_t int, row int, col int, phase double, correlation double").write.parquet(f"file://{tmp_path}/wrapped")
+    assert cli.main(["unwrap", f"file://{tmp_path}/wrapped", f"file://{tmp_path}/unw"]) == 0
+    found = {(x["row"], x["col"]): x["unw"] for x in spark.read.parquet(f"file://{tmp_path}/unw").collect()}
+    offset = found[(0, 0)] - wave[0, 0]
+    assert all(abs(v - wave[k] - offset) < 1e-6 for k, v in found.items())
+
+    images_ = [(0, 0, int(a), int(b), float(5 + np.cos(2 * np.pi * b / 4))) for a, b in zip(r.ravel(), c.ravel(), strict=True)]
+    spark.createDataFrame(images_, "scene int, t int, row int, col int, phase double").write.parquet(f"file://{tmp_path}/image")
+    assert cli.main(["filter", f"file://{tmp_path}/image", f"file://{tmp_path}/filtered", "--cutoff", "300", "--spacing", "30"]) == 0
+    assert abs(spark.read.parquet(f"file://{tmp_path}/filtered").agg(F.avg("phase")).first()[0]) < 1e-6
+
+    spark.createDataFrame([(0, int(a), int(b), float(a * 100 + b)) for a, b in zip(r.ravel(), c.ravel(), strict=True)], "scene int, row int, col int, value double").write.parquet(f"file://{tmp_path}/values")
+    spark.createDataFrame([(int(a), int(b), float(10 + 0.5 * b + 0.25), float(50 + 0.5 * a + 0.25)) for a, b in zip(r.ravel(), c.ravel(), strict=True)], "row int, col int, lon double, lat double").write.parquet(f"file://{tmp_path}/places")
+    assert cli.main(["geocode", f"file://{tmp_path}/values", f"file://{tmp_path}/map", "--locations", f"file://{tmp_path}/places", "--origin", "10", "50", "--pixel", "0.5", "0.5"]) == 0
+    assert all(x["value"] == x["row"] * 100 + x["col"] for x in spark.read.parquet(f"file://{tmp_path}/map").collect())
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
