@@ -293,8 +293,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         met = facing(members, members.filter("least"))
         one = met.groupBy("id").agg(F.min_by("a", "order_a").alias("a"))
         labels = _relabelled(labels, linked(close(paired(one))))
-        apart = met.select("a", "id").join(labels, "id").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("comp_a")), "a").filter("comp <> comp_a")
-        seen = close(paired(apart))
+        seen = close(_apart(paired(met), labels).select("a", "b"))
         labels = _relabelled(labels, linked(seen))
         rarely, members = _by_rare_shingles(undecided(members.select("bucket", "id", "order")), sets, least_percent)
         if rarely is not None:
