@@ -198,20 +198,20 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_rare_shingles(members: DataFrame, sets: DataFrame, least_percent: int) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs (a, id) for the members of large buckets whose links rare shingles show, and the members (bucket, id, order, n) that are left.
+    """Pairs (a, id) of two components for the members of large buckets whose links rare shingles show, and the members (bucket, id, order, n) that are left.
 
     A link of sets of s and t shingles has p / (100 + p) * (s + t) in common at least. So a set that holds none of some r
     of a document's shingles is linked with it only if t <= (s - r) * (100 + p) / p - s. Where a document has more rare
     shingles than two sets of its size may miss, it is compared with the holders of its rarest ones, and with the few
     members of its buckets that are small enough; no link of it is left out, and it leaves its large buckets."""
     counts = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
-    rows = members.select("bucket", "id", "order").join(counts, "bucket")
-    ids = materialise(rows.filter(F.col("n") >= LARGE).select("id").distinct(), "crowded")
+    rows = members.select("bucket", "id", "order", "comp").join(counts, "bucket")
+    ids = materialise(rows.filter(F.col("n") >= LARGE).select("id", "comp").distinct(), "crowded")
     if ids.isEmpty():
         return None, rows
     part = (100 + least_percent) / least_percent
-    held = sets.join(ids, "id", "left_semi").select("id", "shingles", F.size("shingles").alias("size"))
-    each = held.select("id", "size", F.explode("shingles").alias("s"))
+    held = sets.join(ids, "id").select("id", "comp", "shingles", F.size("shingles").alias("size"))
+    each = held.select("id", "comp", "size", F.explode("shingles").alias("s"))
     rare = materialise(each.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE), "rare")
     holders = materialise(each.join(rare, "s"), "holders")
     missed = F.col("size") - F.ceil(2 * F.col("size") / part)
@@ -219,12 +219,12 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame, least_percent: int) -
     rarest = holders.withColumn("k", place).filter(F.col("k") <= missed + 2)
     aside = rarest.groupBy("id", "size").agg(F.max("k").alias("r")).filter(F.col("r") > missed)
     aside = materialise(aside.select("id", ((F.col("size") - F.col("r")) * part - F.col("size")).alias("limit")), "aside")
-    asks = materialise(rarest.join(aside, "id", "left_semi").select("s", "id", "size"), "asks")
-    alike = F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * least_percent
-    met = asks.join(holders.select("s", F.col("id").alias("a"), F.col("size").alias("size_a")), "s").filter((F.col("id") != F.col("a")) & alike)
+    asks = materialise(rarest.join(aside, "id", "left_semi").select("s", "id", "comp", "size"), "asks")
+    alike = (F.col("comp") != F.col("comp_a")) & (F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * least_percent)
+    met = asks.join(holders.select("s", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a")), "s").filter(alike)
     crowd = materialise(rows.filter(F.col("n") >= LARGE).join(held.select("id", "size"), "id"), "crowd")
-    small = crowd.join(aside, "id").select("bucket", "id", "size", "limit").join(crowd.select("bucket", F.col("id").alias("a"), F.col("size").alias("size_a")), "bucket")
-    small = small.filter((F.col("size_a") <= F.col("limit")) & (F.col("id") != F.col("a")) & alike)
+    small = crowd.join(aside, "id").select("bucket", "id", "comp", "size", "limit").join(crowd.select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a")), "bucket")
+    small = small.filter((F.col("size_a") <= F.col("limit")) & alike)
     left = materialise(crowd.select("bucket", "id", "order").join(aside, "id", "left_anti").unionByName(rows.filter(F.col("n") < LARGE).select("bucket", "id", "order")), "left")
     left = left.join(materialise(left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "bucket")
     return met.select("a", "id").unionByName(small.select("a", "id")), left
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = _relabelled(labels, linked(seen))
         rarely, members = _by_rare_shingles(undecided(members.select("bucket", "id", "order")), sets, least_percent)
         if rarely is not None:
-            found = close(_apart(paired(rarely), labels).select("a", "b").join(seen, ["a", "b"], "left_anti"))
+            found = close(paired(rarely).join(seen, ["a", "b"], "left_anti"))
             labels = _relabelled(labels, linked(found))
             seen = seen.unionByName(found)
 
