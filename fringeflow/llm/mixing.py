@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +16,10 @@ SHARE, MOST = 1.5, 2.0
 #: Blocks of a source: a power of 4, so that the permutation works on two halves.
 BLOCKS = 4096
 SHARDS = 16
-#: How many single documents close the gap between a source's last block and its target.
+#: How many single documents that fit best are taken before the cut goes on along the permuted order, until nothing fits.
 FITS = 4
+#: A source that misses its target by more than this share is filled again with the document that doesn't fit taken first, as long as that helps.
+AGAIN = 0.001
 SEED = 97
 #: The plan has a row for each source, on the driver and in each task; more sources than this raise an error.
 MAX_SOURCES = 100_000
@@ -65,6 +67,27 @@ def permuted(block: Column, key: Column, seed: int = SEED) -> Column:
     return high * half + low
 
 
+#: Before all rows of a source.
+START = (-1, -(2**63))
+SPOT = "struct<place:int,order:long>"
+SPOTS = f"array<{SPOT}>"
+RUNS = f"array<struct<most:double,after:{SPOT},before:{SPOT}>>"
+
+
+@dataclass
+class Filled:
+    """A source's last block, the cut up to which all is taken, what is missing, and where the next run starts; then single
+    rows and runs of rows (largest size, after and before which place) that fill it, and the row of fits that overshoots."""
+
+    last: int
+    cut: tuple[int, int]
+    gap: float
+    at: tuple[int, int]
+    fits: list[tuple[int, int]] = field(default_factory=list)
+    runs: list[tuple[float, tuple[int, int], tuple[int, int]]] = field(default_factory=list)
+    over: tuple[int, int, int] | None = None
+
+
 @dataclass
 class Mixed:
     """rows: the columns of docs, then __key, __size, __order, __source_size, __target and __draws (array of pass and shard). sources: a row per source."""
@@ -77,8 +100,11 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     """How often, and to which shard, each row of docs is drawn.
 
     A row's size is its number of words; null or empty texts have 0 and are drawn with their block, to no effect. A
-    source takes whole passes over its blocks, then blocks in permuted order up to its target, the last one in part,
-    and FITS later documents that fit what is missing best; no document is drawn more than `most` times, rounded up. Rows go to blocks by a hash of doc_id and text, so null ids spread too; exact repeats of a row share a place
+    source takes whole passes over its blocks, then blocks in permuted order up to its target, the last one in part.
+    What is then missing is filled from later documents: FITS that fit it best, then those along the permuted order,
+    skipping what is larger than the gap, and so on until none that is left fits; at last one that overshoots by less
+    than the gap. Where only documents much longer than the gap are left, the shortest of them is taken first and the
+    rest of the target is filled anew. No document is drawn more than `most` times, rounded up. Rows go to blocks by a hash of doc_id and text, so null ids spread too; exact repeats of a row share a place
     and are drawn alike. All choices are hashes and seeded draws: reruns agree.
 
     Text columns aren't shuffled. Gathered are sums per source (MAX_SOURCES at most) and per block (BLOCKS a source)."""
@@ -106,32 +132,31 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     inside = small.join(F.broadcast(last), ["__key", "__place"]).groupBy("__key", "__place", "need", "__order").agg(F.sum("__size").alias("size"))
     run = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("__key").orderBy("__order")))
     cut = run.filter("upto <= need").groupBy("__key").agg(F.max("__order").alias("cut"), F.max("upto").alias("taken"))
-    least = -(2**63)
+    least = START[1]
     ended = materialise(last.join(cut, "__key", "left").select("__key", F.col("__place").alias("last"), F.coalesce("cut", F.lit(least)).alias("cut"), (F.col("need") - F.coalesce("taken", F.lit(0))).alias("gap")), "mix-ended")
-    # What is still missing is less than the next document. Later rows that fit it best are added, one in each round.
-    found = {x["__key"]: (x["last"], x["cut"], []) for x in ended.collect()}
-    later = small.join(F.broadcast(ended), "__key").filter("__place > last OR __place = last AND __order > cut").drop("gap")
-    gap = {x["__key"]: x["gap"] for x in ended.collect()}
-    for _ in range(FITS):
-        still = spark.createDataFrame([(n, float(gap[n]), [list(x) for x in found[n][2]]) for n in found], "__key string, gap double, used array<struct<place:int,order:long>>")
-        off = later.join(F.broadcast(still), "__key").filter(~F.array_contains("used", _spot())).withColumn("off", F.abs(F.col("__size") - F.col("gap"))).filter("off < gap")
-        for x in off.groupBy("__key").agg(F.min(F.struct("off", "__place", "__order", "__size")).alias("fit")).collect():
-            fit = x["fit"]
-            found[x["__key"]][2].append((fit["__place"], fit["__order"]))
-            gap[x["__key"]] -= fit["__size"]
+    # What is still missing is less than the next document. Later rows fill it; exact repeats are taken together.
+    gaps = {x["__key"]: (x["last"], x["cut"], x["gap"]) for x in ended.collect()}
+    found = {n: Filled(place, (place, upto), float(gap), (place, upto)) for n, (place, upto, gap) in gaps.items()}
+    later = small.join(F.broadcast(ended), "__key").filter("(__place > last OR __place = last AND __order > cut) AND __size > 0 AND __size < 2 * gap")
+    later = materialise(later.groupBy("__key", "__place", "__order").agg(F.max("__size").alias("__size"), F.sum("__size").alias("whole")), "mix-later")
+    _fill(later, found)
+    _fill_again(small, found, rest, goal)
 
     # A source without a last block (its rest is 0) takes whole passes only.
-    quotas = np.array([passes[n] * BLOCKS + (found[n][0] + 1 if n in found else 0) for n in names], dtype=np.int64)
+    quotas = np.array([passes[n] * BLOCKS + (found[n].last + 1 if n in found else 0) for n in names], dtype=np.int64)
     ends = splitting_tree(quotas, shards, np.random.default_rng(seed)).cumsum(axis=0) if names else np.zeros((shards, 0), dtype=np.int64)
     known = []
     for i, n in enumerate(names):
-        place, upto, fits = found.get(n, (-1, least, []))
-        known.append((n, int(total[n]), float(goal[n]), passes[n], place, upto, fits, [int(x) for x in ends[:-1, i]]))
-    sources = spark.createDataFrame(known, "__key string, __source_size long, __target double, __passes int, __last int, __cut long, __fits array<struct<place:int,order:long>>, __ends array<long>")
+        own = found.get(n, Filled(-1, START, 0.0, START))
+        known.append((n, int(total[n]), float(goal[n]), passes[n], own.last, own.cut, own.fits, own.runs, [int(x) for x in ends[:-1, i]]))
+    sources = spark.createDataFrame(known, f"__key string, __source_size long, __target double, __passes int, __last int, __cut {SPOT}, __fits {SPOTS}, __runs {RUNS}, __ends array<long>")
 
-    here = (F.col("__place") < F.col("__last")) | ((F.col("__place") == F.col("__last")) & (F.col("__order") <= F.col("__cut"))) | F.array_contains("__fits", _spot())
+    here = (_spot() <= F.col("__cut")) | _filling()
     times = F.col("__passes") + here.cast("int")
-    numbered = F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), F.size(F.filter("__ends", lambda e: e <= p * BLOCKS + F.col("__place"))).alias("shard")))
+    # Rows that fill a gap lie beyond the quotas; they are spread by their hash.
+    beyond = F.pmod(F.xxhash64(F.lit(seed + 2), "__order"), F.lit(shards)).cast("int")
+    shard = lambda p: F.when((p == F.col("__passes")) & (F.col("__place") > F.col("__last")), beyond).otherwise(F.size(F.filter("__ends", lambda e: e <= p * BLOCKS + F.col("__place"))))
+    numbered = F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), shard(p).alias("shard")))
     drawn = F.when(times > 0, numbered).otherwise(F.array().cast(numbered_type()))
     joined = rows.join(F.broadcast(sources), "__key")
     return Mixed(joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__key", "__size", "__order", "__source_size", "__target", drawn.alias("__draws")), sources)
@@ -141,6 +166,86 @@ def _spot() -> Column:
     return F.struct(F.col("__place").cast("int").alias("place"), F.col("__order").alias("order"))
 
 
+def _filling() -> Column:
+    """Whether a row is one of its source's __fits or lies in one of its __runs."""
+    inside = lambda r: (F.col("__size") > 0) & (F.col("__size") <= r["most"]) & (_spot() > r["after"]) & (_spot() < r["before"])
+    return F.array_contains("__fits", _spot()) | F.exists("__runs", inside)
+
+
+def _fill(later: DataFrame, found: dict[str, Filled], fresh: bool = False) -> None:
+    """Adds to each source's fits and runs until no row of later that isn't taken is within the source's gap.
+
+    A run goes on along the permuted order from where the one before it stopped, over rows within the gap, up to the
+    first that doesn't fit any more; so what it leaves behind is larger than the gap and needs no second look."""
+
+    def left(keys: list[str]) -> DataFrame:
+        known = [(n, found[n].gap, found[n].at, found[n].fits, found[n].runs) for n in keys]
+        state = later.sparkSession.createDataFrame(known, f"__key string, gap double, at {SPOT}, __fits {SPOTS}, __runs {RUNS}")
+        return later.join(F.broadcast(state), "__key").filter(~_filling())
+
+    def take(fits: DataFrame, order: Column, last: bool = False) -> list[str]:
+        taken = fits.groupBy("__key").agg(F.min_by(F.struct("__place", "__order", "whole"), order).alias("fit")).collect()
+        for x in taken:
+            found[x["__key"]].fits.append((x["fit"]["__place"], x["fit"]["__order"]))
+            found[x["__key"]].gap -= x["fit"]["whole"]
+            found[x["__key"]].over = tuple(x["fit"]) if last else None
+        return [x["__key"] for x in taken]
+
+    def run(keys: list[str]) -> None:
+        rows = left(keys).filter((_spot() > F.col("at")) & (F.col("__size") <= F.col("gap")))
+        by_place = Window.partitionBy("__key").orderBy("__place")
+        blocks = rows.groupBy("__key", "gap", "__place").agg(F.sum("whole").alias("size")).withColumn("upto", F.sum("size").over(by_place))
+        ends = blocks.groupBy("__key", "gap").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("gap"), F.struct("__place", (F.col("upto") - F.col("size")).alias("before")))).alias("end"))
+        ends = materialise(ends.select("__key", "gap", "all", F.col("end.__place").alias("__place"), F.col("end.before").alias("before")), "mix-ends")
+        inside = rows.drop("gap").join(F.broadcast(ends), ["__key", "__place"])
+        upto = inside.withColumn("upto", F.col("before") + F.sum("whole").over(Window.partitionBy("__key").orderBy("__order")))
+        over = F.col("upto") > F.col("gap")
+        stops = upto.groupBy("__key").agg(F.min(F.when(over, F.col("__order"))).alias("stop"), F.max(F.when(~over, F.col("upto"))).alias("upto"))
+        for x in ends.join(F.broadcast(stops), "__key", "left").collect():
+            own = found[x["__key"]]
+            whole = x["__place"] is None
+            stop = (BLOCKS, 0) if whole else (x["__place"], x["stop"])
+            own.runs.append((own.gap, own.at, stop))
+            own.gap -= x["all"] if whole else x["before"] if x["upto"] is None else x["upto"]
+            own.at = stop
+
+    keys = list(found)
+    if fresh and keys:
+        run(keys)
+        for n in keys:
+            found[n].last = min(found[n].at[0], BLOCKS - 1)
+    while keys:
+        for _ in range(FITS):
+            keys = take(left(keys).filter("whole <= gap"), F.struct(-F.col("whole"), "__place", "__order")) if keys else []
+        if keys:
+            run(keys)
+    # Nothing fits now; a row that overshoots by less than the gap brings the sum nearer.
+    if found:
+        take(left(list(found)).filter("whole < 2 * gap"), F.struct("whole", "__place", "__order"), last=True)
+
+
+def _fill_again(small: DataFrame, found: dict[str, Filled], rest: dict[str, float], goal: dict[str, float]) -> None:
+    """Of sources that miss their target by more than AGAIN: takes the row that overshoots, or else the shortest that is left, first and fills what then remains along the whole permuted order. The better outcome is kept."""
+    first: dict[str, list[tuple[int, int, int]]] = {n: [] for n in found}
+    keys = [n for n in found if abs(found[n].gap) > AGAIN * goal[n]]
+    while keys:
+        state = small.sparkSession.createDataFrame([(n, found[n].cut, found[n].fits, found[n].runs) for n in keys], f"__key string, cut {SPOT}, __fits {SPOTS}, __runs {RUNS}")
+        own = small.filter("__size > 0").join(F.broadcast(state), "__key").withColumn("left", (_spot() > F.col("cut")) & ~_filling())
+        rows = materialise(own.groupBy("__key", "__place", "__order").agg(F.max("__size").alias("__size"), F.sum("__size").alias("whole"), F.max("left").alias("left")), "mix-again")
+        shortest = {x["__key"]: tuple(x["row"]) for x in rows.filter("left").groupBy("__key").agg(F.min_by(F.struct("__place", "__order", "whole"), F.struct("whole", "__place", "__order")).alias("row")).collect()}
+        again = {}
+        for n in keys:
+            row = found[n].over or shortest.get(n)
+            taken = [*first[n], row] if row else []
+            gap = rest[n] - sum(x[2] for x in taken)
+            if row and row not in first[n] and gap >= 0:
+                again[n], first[n] = Filled(-1, START, gap, START, [x[:2] for x in taken]), taken
+        _fill(rows.drop("left"), again, fresh=True)
+        better = [n for n in again if abs(again[n].gap) < abs(found[n].gap)]
+        found |= {n: again[n] for n in better}
+        keys = [n for n in better if abs(found[n].gap) > AGAIN * goal[n]]
+
+
 def numbered_type() -> str:
     return "array<struct<pass:int,shard:int>>"
 

@@ -59,6 +59,22 @@ def test_mix(spark, tables, documents):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, drawn(frame)), key=str)
 
 
+def test_mix_beside_a_long_document(spark):
+    """Small documents fill what a long one at the cut leaves open; exact repeats count as often as they are."""
+    sizes = [100_000, *(300 + 7 * i % 201 for i in range(500))]
+    rows = [(1000 * s + i, f"src{s:02}", n) for s in range(12) for i, n in enumerate(sizes)] + [(1000 * s + i, f"src{s:02}", sizes[i]) for s in range(12) for i in (3, 4, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    for share in (0.5, 0.8):
+        by = defaultdict(list)
+        for r in mixing.draw(frame, weights=(1.0,), share=share).rows.select("source", F.col("__size").alias("size"), F.col("__target").alias("target"), F.size("__draws").alias("n")).collect():
+            by[r["source"]].append(r)
+        assert len(by) == 12
+        for name, own in by.items():
+            gap = own[0]["target"] - sum(r["size"] * r["n"] for r in own)
+            smallest = min((r["size"] for r in own if not r["n"]), default=0)
+            assert abs(gap) <= min(smallest, 300), (share, name, gap, smallest)
+
+
 def test_mix_rows(spark, odd, none, odd_rows):
     rows = drawn(odd)
     assert len(rows) == len(odd_rows)
