@@ -19,6 +19,8 @@ BANDS, ROWS = 50, 6
 LEAST_PERCENT = 80
 #: A pair whose sketches agree in fewer bins isn't compared in full; at similarity 0.8, 0.68 of 300 bins is 5 standard deviations off.
 LEAST_SKETCH = 0.68
+#: Smaller sets collide in the bins, so that the estimate spreads wider: pairs of them skip the sketches.
+SMALL = 200
 #: How many times as many members of an undecided bucket become centres in each further round.
 GROWTH = 16.0
 #: Of undecided buckets with LARGE members or more, a shingle is rare if RARE of all those members hold it at most.
@@ -145,15 +147,16 @@ def _sets(width: int):
     return run
 
 
-def _agreeing(least: float):
-    """Keeps the pairs whose sketches agree in `least` of the bins."""
+def _agreeing(least: float, least_percent: int):
+    """Keeps the pairs whose sketches agree in `least` of the bins, and those of a SMALL set if their sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
                 pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
-                yield pairs.filter(pa.array((a == b).mean(axis=1) >= least))
+                low, high = (f(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) for f in (np.minimum, np.maximum))
+                yield pairs.filter(pa.array(np.where(low < SMALL, low * 100 >= high * least_percent, (a == b).mean(axis=1) >= least)))
 
     return run
 
@@ -241,7 +244,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holds more than one component and many members, those with enough rare shingles are compared with the holders of
     these, which leaves out no link of theirs; of the rest more become centres, GROWTH times as many in each round, and are compared with the members of other components
     until the bucket is one component or all its members have been centres: no link between components that share a
-    bucket is lost. Sketches rule out most pairs; the rest are
+    bucket is lost. Sketches rule out most pairs of sets of SMALL shingles or more; the rest are
     compared on the full sets; in the first round each member meets one centre, then those of its centres that still lie
     in another component.
 
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     classes = materialise(full.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
     firsts = materialise(full.join(classes.select(F.col("first").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("version").alias("version")), "firsts")
-    chosen = materialise(full.join(firsts, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "chosen")
+    chosen = materialise(full.join(firsts, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "sketch"), "chosen")
 
     dealt = chosen.select("id", F.explode("bands").alias("bucket"))
     sizes = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -264,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialise(dealt.join(sizes.select("bucket"), "bucket").withColumn("order", order), "members")
     labels = materialise(members.select("id").distinct().withColumn("comp", F.col("id")), "labels")
     alike = labels.select("id")
-    sketches = materialise(chosen.join(alike, "id", "left_semi").select("id", "sketch"), "sketches")
+    sketches = materialise(chosen.join(alike, "id", "left_semi").select("id", "n_shingles", "sketch"), "sketches")
     sets = materialise(body.join(firsts.join(alike, "id", "left_semi"), ["id", "version"], "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), f"id {kind}, shingles array<bigint>"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -273,8 +276,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return materialise(shared.filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * least_percent).select("a", "b"), "links")
 
     def close(pairs: DataFrame) -> DataFrame:
-        drawn = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        return materialise(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH), f"a {kind}, b {kind}"), "close")
+        sides = [sketches.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+        drawn = pairs.join(sides[0], "a").join(sides[1], "b")
+        return materialise(drawn.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH, least_percent), f"a {kind}, b {kind}"), "close")
 
     def undecided(members: DataFrame) -> DataFrame:
         """The members, with comp and least (whether first in order), of buckets that hold several components."""

@@ -104,6 +104,19 @@ def test_sketches_estimate():
         assert abs(near - n / (n + 2 * (n // 4))) < 0.17
 
 
+def test_short_pairs_skip_the_sketch(spark):
+    """Sets of 5 and 4 shingles at the threshold whose sketches agree in too few bins."""
+    draw, rows = random.Random(4), []
+    while len(rows) < 6:
+        words = [f"v{draw.randrange(10**6)}" for _ in range(6)]
+        sets = [minhash.shingle_set(" ".join(w), 2) for w in (words, words[:5])]
+        values = [minhash.signature(s, minhash.BANDS * minhash.ROWS) for s in sets]
+        shared = (minhash.band_keys(values[0], minhash.BANDS, minhash.ROWS) == minhash.band_keys(values[1], minhash.BANDS, minhash.ROWS)).any()
+        if shared and (values[0] == values[1]).mean() < minhash.LEAST_SKETCH:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:5]))]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)) == brute(rows, 2)
+
+
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [tuple(draw.sample(range(200, 260), 2)) for _ in range(40)]
