@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are A-Z lower-cased; a set holds the distinct shingles of `width` words. Documents are linked if 100 times
     the intersection is at least least_percent of the union of their whole sets.
 
-    Sets that are equal (by 128-bit hashes) form a class, and one representative goes on. Its bands deal it into
+    Sets that are equal (by 128-bit hashes) form a class, and one text of each goes on; classes that share a doc_id are
+    linked. The bands of a class deal it into
     buckets; in each bucket the members are compared with a centre, never with each other. Where a bucket then still
     holds more than one component and many members, those with enough rare shingles are compared with the holders of
     these, which leaves out no link of theirs; of the rest more become centres, GROWTH times as many in each round, and are compared with the members of other components
@@ -249,26 +250,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     in another component.
 
     An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each and
-    share a component; where their texts differ, the one with the least hash is compared with other ids' texts. A row
+    share a component; where their texts differ, each is compared with other ids' texts. A row
     without doc_id isn't linked: component_id null, kept true."""
     body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).withColumn("version", F.xxhash64("body"))
     kind = body.schema["id"].dataType.simpleString()
     features = materialise(body.mapInArrow(_features(width, bands, rows), f"id {kind}, version bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"), "features")
     full = features.filter("n_shingles > 0 AND id IS NOT NULL")
 
-    classes = materialise(full.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
-    firsts = materialise(full.join(classes.select(F.col("first").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("version").alias("version")), "firsts")
-    chosen = materialise(full.join(firsts, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "sketch"), "chosen")
+    # A class is named by one of its hashes, or by both where two classes share that one.
+    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.min(F.struct("id", "version")).alias("row"))
+    classes = materialise(classes.select("h1", "h2", "first", F.col("row.version").alias("version")), "classes")
+    twice = materialise(classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "twice")
+    named = classes.withColumn("node", F.col("h1"))
+    if not twice.isEmpty():
+        named = classes.join(twice.withColumn("twice", F.lit(True)), "h1", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("twice")
+    classes = materialise(named, "named-classes")
+    firsts = classes.select(F.col("first").alias("id"), "version", "h1", "h2", "node")
+    chosen = full.join(firsts, ["id", "version", "h1", "h2"]).select(F.col("node").alias("id"), F.col("id").alias("doc"), "version", "n_shingles", "bands", "sketch")
+    chosen = materialise(chosen.dropDuplicates(["id"]), "chosen")
+
+    # Classes that share a doc_id are linked from the start.
+    several = materialise(full.groupBy("id").agg(F.min("h1").alias("low1"), F.max("h1").alias("high1"), F.min("h2").alias("low2"), F.max("h2").alias("high2")).filter("low1 <> high1 OR low2 <> high2").select("id"), "several")
+    met = full.select("id", "h1", "h2").join(several, "id").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node").distinct()
+    met = materialise(met, "shared")
+    ties = met.join(met.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
 
     dealt = chosen.select("id", F.explode("bands").alias("bucket"))
     sizes = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     # One order for all buckets: the same few members are centres in all the bands of a large group.
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     members = materialise(dealt.join(sizes.select("bucket"), "bucket").withColumn("order", order), "members")
-    labels = materialise(members.select("id").distinct().withColumn("comp", F.col("id")), "labels")
-    alike = labels.select("id")
+    alike = materialise(members.select("id").distinct(), "alike")
+    tied = not met.isEmpty()
+    labels = materialise((alike.unionByName(met.select(F.col("node").alias("id"))).distinct() if tied else alike).withColumn("comp", F.col("id")), "labels")
+    if tied:
+        labels = _relabelled(labels, ties)
     sketches = materialise(chosen.join(alike, "id", "left_semi").select("id", "n_shingles", "sketch"), "sketches")
-    sets = materialise(body.join(firsts.join(alike, "id", "left_semi"), ["id", "version"], "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), f"id {kind}, shingles array<bigint>"), "sets")
+    wanted = chosen.join(alike, "id", "left_semi").select(F.col("id").alias("node"), F.col("doc").alias("id"), "version")
+    texts = body.join(wanted, ["id", "version"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "body")
+    sets = materialise(texts.mapInArrow(_sets(width), "id bigint, shingles array<bigint>"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         sides = [sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
@@ -278,7 +298,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def close(pairs: DataFrame) -> DataFrame:
         sides = [sketches.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
         drawn = pairs.join(sides[0], "a").join(sides[1], "b")
-        return materialise(drawn.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH, least_percent), f"a {kind}, b {kind}"), "close")
+        return materialise(drawn.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH, least_percent), "a bigint, b bigint"), "close")
 
     def undecided(members: DataFrame) -> DataFrame:
         """The members, with comp and least (whether first in order), of buckets that hold several components."""
@@ -319,9 +339,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             seen = seen.unionByName(found)
             done, share = share, share * GROWTH
 
-    lowest = materialise(labels.groupBy("comp").agg(F.min("id").alias("lowest")), "lowest")
-    named = materialise(labels.join(lowest, "comp").select(F.col("id").alias("first"), "lowest"), "named")
-    of_class = materialise(classes.join(named, "first", "left").select("h1", "h2", F.coalesce("lowest", "first").alias("component")), "components")
+    placed = materialise(classes.join(labels.select(F.col("id").alias("node"), "comp"), "node", "left").select("h1", "h2", "first", F.coalesce("comp", "node").alias("comp")), "placed")
+    lowest = materialise(placed.groupBy("comp").agg(F.min("first").alias("component")), "lowest")
+    of_class = materialise(placed.join(lowest, "comp").select("h1", "h2", "component"), "components")
     found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -117,6 +117,18 @@ def test_short_pairs_skip_the_sketch(spark):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)) == brute(rows, 2)
 
 
+def test_every_text_of_an_id_is_compared(spark):
+    """Whichever text of id 1 has the least hash, ids 5 and 6 are linked, and so is 1 with both and with 8."""
+    draw = random.Random(11)
+    prose = lambda: [f"t{draw.randrange(10**6)}" for _ in range(60)]
+    one, two, other = prose(), prose(), prose()
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    for a, b in ((one, two), (two, one)):
+        rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(b)), (6, near(b)), (8, near(a)), (9, " ".join(other)), (9, ""), (None, " ".join(b))]
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"]) == [(1, 1), (1, 1), (5, 1), (6, 1), (8, 1), (9, 9), (9, 9)]
+
+
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [tuple(draw.sample(range(200, 260), 2)) for _ in range(40)]
