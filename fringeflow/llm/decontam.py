@@ -9,6 +9,10 @@ from fringeflow.llm.common import LOWER, UPPER, ascii_lower, let, materialise, t
 
 #: Fixed masks: a word at a 1 counts, a word at a 0 may differ. An item of 13 words or more keeps a seed whatever one word is replaced.
 MASKS = ("11101101", "110100111")
+#: With these, by enumeration, every run that makes an item of 15 words or more count holds a seed,
+MORE_MASKS = ("11101000001", "111101")
+#: and with this one every run that makes a shorter item count. Documents are searched for it only where there are such items.
+SHORT_WORDS, SHORT_MASKS = 15, ("11101",)
 #: Runs of ASCII characters other than letters and digits part words; letters beyond ASCII belong to words.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: An overlap counts if its best run has so many equal words, or nearly the whole of a shorter item.
@@ -63,22 +67,26 @@ def best_run(equal: Column, penalty: int = PENALTY) -> Column:
     return F.aggregate(equal, zero, step, lambda s: s["found"])
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS + MORE_MASKS, short_masks: tuple[str, ...] = SHORT_MASKS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, matched (equal words of the best run), item_words: a row for each document and item that overlap.
 
     A hit of a seed fixes how item and document are aligned; along it, words are compared over the whole item, so words
     may be replaced between and around the seed's. The pair counts if the best run has least_words equal words, or
-    least_share of the item's words where that is less (and 5 at least). Null and empty texts overlap with nothing;
-    items shorter than the shortest mask can't be found. Rows that repeat a doc_id or an item_id give one row, with
+    least_share of the item's words where that is less (and 5 at least). Null and empty texts overlap with nothing,
+    nor do items of fewer than 5 words. Other bounds than the given ones may need other masks. Rows that repeat a doc_id or an item_id give one row, with
     the best match; rows without doc_id or item_id are left out.
 
     The first pass moves only hits; texts are then joined with the hits of their document, so an alignment costs its
     item's words and not its text's."""
     body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body")).filter("doc_id IS NOT NULL")
     test = items.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("body")).filter("item_id IS NOT NULL")
-    theirs = _seeded(test, "item_id", masks).select("item_id", "seed", F.col("at").alias("item_at"))
+    short = test.filter(F.size(tokens(F.col("body"))).between(5, SHORT_WORDS - 1))
+    theirs, used = _seeded(test, "item_id", masks), masks
+    if not short.isEmpty():
+        theirs, used = theirs.unionByName(_seeded(short, "item_id", short_masks)), masks + short_masks
+    theirs = theirs.select("item_id", "seed", F.col("at").alias("item_at"))
     small = theirs.count() <= BROADCAST_SEEDS
-    hits = _seeded(body, "doc_id", masks).join(F.broadcast(theirs) if small else theirs, "seed")
+    hits = _seeded(body, "doc_id", used).join(F.broadcast(theirs) if small else theirs, "seed")
     found = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
     # Items have about as many words as seeds of a mask, so the same bound holds for them.
     words = test.select("item_id", word_hashes(F.col("body")).alias("item"))

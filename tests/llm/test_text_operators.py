@@ -188,6 +188,33 @@ def test_masks_tolerate_a_substitution():
             assert any(all(at + i != hole for i, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for at in range(n - len(m) + 1)), (n, hole)
 
 
+def counting_runs(hits, misses):
+    """All runs of `hits` equal words and up to `misses` others whose score stays above 0."""
+    found = {""}
+    for _ in range(hits + misses):
+        found |= {p + x for p in found for x in "10" if p.count("1") + (x == "1") <= hits and p.count("0") + (x == "0") <= misses and (x == "1" or p.count("1") > 2 * p.count("0") + 2)}
+    return {p for p in found if p.count("1") == hits and p.endswith("1")}
+
+
+def test_every_counting_run_holds_a_seed(spark):
+    holds = lambda p, m: any(all(p[at + i] == "1" for i, bit in enumerate(m) if bit == "1") for at in range(len(p) - len(m) + 1))
+    docs, items = [], []
+    for n in range(5, 16):
+        least = max(5, min(12, -(-n * 8 // 10)))
+        runs = counting_runs(least, 5 if n == 15 else n - least)
+        masks = decontam.MASKS + (decontam.MORE_MASKS if n == 15 else decontam.SHORT_MASKS)
+        assert runs and all(any(holds(p, m) for m in masks) for p in runs), n
+        hard = sorted(p for p in runs if len(p) <= n and best_run([x == "1" for x in p]) == least and not any(holds(p, m) for m in decontam.MASKS))
+        for p in hard[:: max(1, len(hard) // 3)]:
+            k = len(items)
+            item = [f"i{k}w{i}" for i in range(n)]
+            items.append((k, " ".join(item)))
+            docs.append((k, " ".join(["before", *(w if i < len(p) and p[i] == "1" else "other" for i, w in enumerate(item)), "after"])))
+    assert len(items) > 8
+    found = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == plain_overlaps(docs, items) and len(found) == len(items)
+
+
 def test_clean(spark, odd, none):
     items = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
     assert decontam.clean(odd, items).count() == odd.count()
