@@ -9,8 +9,9 @@ from fringeflow.llm.common import LOWER, UPPER, let, table, text_of
 from fringeflow.llm.decontam import BREAK, word_hashes
 
 WIDTH, LEAST = 5, 0.8
-#: 32 bands of 2: a window half of whose shingles are the template's shares a band with probability 1 - (1 - 0.5^2)^32 = 0.9999.
-BANDS, ROWS = 32, 2
+#: 64 bands of 1: a window has up to 4 times the template's shingles, so where other templates fill it and it holds 0.8 of
+#: this one, their similarity is 0.8 / 4.2 = 0.19 at least, and they share a band with probability 1 - (1 - 0.19)^64 = 0.999998.
+BANDS, ROWS = 64, 1
 #: All shingles of all templates; they are part of the plan, so their number is checked.
 MAX_SHINGLES = 20_000
 

@@ -106,6 +106,19 @@ def test_licenses(spark):
     assert found[(1, "MIT")] == 1.0 and 0.8 <= found[(7, "BSD-conditions")] < 1
 
 
+def test_licenses_side_by_side(spark):
+    """Templates of which the last tenth is missing, surrounded by others in many orders, are all found."""
+    draw, docs = random.Random(8), []
+    texts = {n: words(t) for n, t in licenses.TEMPLATES}
+    cut = {n: w[: len(w) - len(w) // 10] for n, w in texts.items()}
+    for k in range(150):
+        docs.append((k, " ".join(w for n in draw.sample(sorted(cut), len(cut)) for w in cut[n])))
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    distinct = lambda w: {tuple(w[i : i + licenses.WIDTH]) for i in range(len(w) - licenses.WIDTH + 1)}
+    known = {n for n, w in texts.items() if distinct(w) and len(distinct(cut[n])) >= licenses.LEAST * len(distinct(w))}
+    assert {(k, n) for k, _ in docs for n in known} - found == set()
+
+
 def shingles(text):
     lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     w = [x for x in BREAK.split(lower) if x]
