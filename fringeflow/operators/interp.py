@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeflow.functions.cx import angle, cx, magnitude
+from fringeflow.operators.graph import connected
 from fringeflow.operators.grid import disk, neighbours, rectangle
+from fringeflow.tables import materialise, scratch
 
 
 def nearest_k(centres: DataFrame, points: DataFrame, keys: list[str], values: list[str], k: int, max_radius: int, min_radius: int = 0) -> DataFrame:
@@ -36,10 +38,15 @@ def ifgs_good(ifg: DataFrame, weight: str, cutoff: float) -> DataFrame:
     return ifg.filter((F.col(weight) >= cutoff) & ((F.col("re") != 0) | (F.col("im") != 0)))
 
 
-def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int = 8, rings: int = 2) -> DataFrame:
-    """keys, row, col, value of the nearest point within rings * bucket pixels; among equals the first in row-major order.
+def _outline(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The points with a free pixel beside them: from anywhere else, the nearest points are among these, all ties included."""
+    at = [*keys, "row", "col"]
+    closed = neighbours(points.select(*at), points, [(-1, 0), (0, -1), (0, 1), (1, 0)], keys, []).groupBy(*at).agg(F.count("*").alias("__n")).filter("__n = 4")
+    return points.join(closed.select(*at), at, "left_anti")
+
 
-    Points are dealt to square buckets; a gap looks into its own and the surrounding rings of buckets."""
+def _nearest_within(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int, rings: int) -> DataFrame:
+    """Points are dealt to square buckets; a gap looks into its own and the surrounding rings of buckets, rings * bucket pixels far."""
     at = [F.floor(F.col("row") / bucket).cast("int").alias("br"), F.floor(F.col("col") / bucket).cast("int").alias("bc")]
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rectangle(rings, rings))))
     asks = gaps.select(*keys, "row", "col", *at).withColumn("o", around).select(*keys, "row", "col", (F.col("br") + F.col("o.a")).alias("br"), (F.col("bc") + F.col("o.b")).alias("bc"))
@@ -50,8 +57,27 @@ def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: st
     return near.groupBy(*keys, "row", "col").agg(F.min_by("v", F.struct(distance, "r", "c")).alias(value))
 
 
+def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int = 8, rings: int = 2) -> DataFrame:
+    """keys, row, col, value of the nearest point, however far; among equals the first in row-major order. A gap without
+    any point of its keys isn't returned.
+
+    Gaps look rings * bucket pixels far, and those that find nothing twice as far in the next round; the rounds grow
+    with the logarithm of the widest gap. Only the outline of the points takes part."""
+    outline = materialise(_outline(points.select(*keys, "row", "col", value), keys), "outline", keep=True)
+    left = gaps.select(*keys, "row", "col").join(points.select(*keys).distinct(), keys, "left_semi")
+    found = None
+    while True:
+        near = materialise(_nearest_within(left, outline, keys, value, bucket, rings), "nearest", keep=True)
+        found = near if found is None else found.unionByName(near)
+        left = materialise(left.join(near, [*keys, "row", "col"], "left_anti"), "gaps", keep=True)
+        if left.isEmpty():
+            return found
+        bucket *= 2
+
+
 def filled_ambiguities(unw: DataFrame, keys: list[str], unwrapped: str = "unw", wrapped: str = "phase", reach: int = 16) -> DataFrame:
-    """unw where it exists; else the wrapped phase plus the nearest unwrapped pixel's whole cycles. Null where neither helps."""
+    """unw where it exists; else the wrapped phase plus the nearest unwrapped pixel's whole cycles, however far it is (reach: of
+    the first look). Null where an image has no unwrapped pixel or the wrapped phase is null."""
     import math
 
     cycles = F.rint((F.col(unwrapped) - F.col(wrapped)) / F.lit(2 * math.pi))
@@ -62,36 +88,31 @@ def filled_ambiguities(unw: DataFrame, keys: list[str], unwrapped: str = "unw",
     return out.select(*keys, "row", "col", F.coalesce(F.col(unwrapped), F.col(wrapped) + F.lit(2 * math.pi) * F.col("n")).alias(unwrapped))
 
 
-def components(mask: DataFrame, keys: list[str], connectivity: int = 8, max_rounds: int = 200) -> DataFrame:
+def components(mask: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
     """keys, row, col, label of the pixels of mask (rows with a true `inside`): labels 1, 2, ... by each component's first pixel in row-major order.
 
-    The least pixel spreads over neighbours and along its own pointers, so rounds grow slowly with a component's
-    diameter; each round is written to the checkpoint folder, which all executors share."""
-    offsets = [o for o in rectangle(1, 1, centre=False) if connectivity == 8 or 0 in o]
-    spark = mask.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    pixel = F.struct("row", "col")
-    points = mask.filter("inside").select(*keys, "row", "col")
-    edges = neighbours(points, points, offsets, keys, ["row", "col"]).select(*keys, "row", "col", F.col("row_n").alias("r2"), F.col("col_n").alias("c2")).checkpoint()
-    labels = points.withColumn("least", pixel).checkpoint()
-    for _ in range(max_rounds):
-        side = labels.select(*keys, F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("least").alias("theirs"))
-        spread = edges.join(side, [*keys, "r2", "c2"]).groupBy(*keys, "row", "col").agg(F.min("theirs").alias("theirs"))
-        new = labels.join(spread, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.least("least", F.coalesce("theirs", "least")).alias("hop"), F.col("least").alias("old"))
-        jump = labels.select(*keys, F.struct("row", "col").alias("hop"), F.col("least").alias("far"))
-        new = new.join(jump, [*keys, "hop"]).select(*keys, "row", "col", F.least("hop", "far").alias("least"), "old").checkpoint()
-        moved = not new.filter("least <> old").isEmpty()
-        labels = new.drop("old")
-        if not moved:
-            break
-    first = labels.select(*keys, "least").distinct()
-    numbered = first.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("least")))
-    return labels.join(numbered, [*keys, "least"]).select(*keys, "row", "col", "label")
+    Pixels that follow each other in a row form a run; runs that touch the next row's are edges, which are contracted
+    until none is left, in rounds that grow with the logarithm of the runs, however long and winding a component is."""
+    in_row = Window.partitionBy(*keys, "row").orderBy("col")
+    points = mask.filter("inside").select(*keys, "row", "col").distinct()
+    runs = points.withColumn("__run", F.col("col") - F.row_number().over(in_row))
+    runs = runs.withColumn("__start", F.min("col").over(Window.partitionBy(*keys, "row", "__run")))
+    vertex = F.struct(*keys, "row", F.col("__start").alias("col"))
+    placed = materialise(runs.select(*keys, "row", "col", vertex.alias("__v")), "runs", keep=True)
+    below = placed.select(*keys, (F.col("row") - 1).alias("row"), "col", F.col("__v").alias("b"))
+    reach = [-1, 0, 1] if connectivity == 8 else [0]
+    touching = placed.withColumn("col", F.explode(F.array(*(F.col("col") + d for d in reach)))).withColumnRenamed("__v", "a").join(below, [*keys, "row", "col"]).select("a", "b").distinct()
+    with scratch(mask.sparkSession):
+        roots = connected(touching)
+        merged = placed.select("__v").distinct()
+        if roots is None:
+            merged = merged.withColumn("__root", F.col("__v"))
+        else:
+            merged = merged.join(roots.select(F.col("v").alias("__v"), F.col("root").alias("__root")), "__v", "left").withColumn("__root", F.coalesce("__root", "__v"))
+        merged = materialise(merged, "roots", keep=True)
+    first = merged.groupBy("__root").agg(F.min("__v").alias("__first"))
+    numbered = first.select("__root", F.row_number().over(Window.partitionBy(*(F.col(f"__first.{k}") for k in keys)).orderBy("__first")).alias("label"))
+    return placed.join(merged, "__v").join(numbered, "__root").select(*keys, "row", "col", "label")
 
 
 def components_of_mask(mask: DataFrame, keys: list[str], size: int = 25, connectivity: int = 4) -> DataFrame:

@@ -92,7 +92,7 @@ def j11(spark, sf_dir):
 
 @query(
     "j12_nearest_lookup",
-    with_("slc amp", f'SELECT scene, t, "row", col, {r("v", "value")} FROM (SELECT g.scene, g.t, g."row", g.col, p.a AS v, row_number() OVER (PARTITION BY g.scene, g.t, g."row", g.col ORDER BY (g."row" - p."row")^2 + (g.col - p.col)^2, p."row", p.col) AS k FROM amp g JOIN amp p ON p.scene = g.scene AND p.t = g.t AND p.a > 70 WHERE g.a < 10 AND (g."row" - p."row")^2 + (g.col - p.col)^2 <= 64) WHERE k = 1'),
+    with_("slc amp", f'SELECT scene, t, "row", col, {r("v", "value")} FROM (SELECT g.scene, g.t, g."row", g.col, p.a AS v, row_number() OVER (PARTITION BY g.scene, g.t, g."row", g.col ORDER BY (g."row" - p."row")^2 + (g.col - p.col)^2, p."row", p.col) AS k FROM amp g JOIN amp p ON p.scene = g.scene AND p.t = g.t AND p.a > 70 WHERE g.a < 10) WHERE k = 1'),
 )
 def j12(spark, sf_dir):
     rows = amplitude(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from fringeflow.plans.catalog import query
 from fringeflow.plans.sql import r, with_
 from fringeflow.sources import ionex, raster, simulate
 from fringeflow.sources.virtual import COLS, DATES, FIRST_YEAR, ROWS, slc
+from fringeflow.tables import shared_dir
 
 
 def amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +136,7 @@ def s9(spark, sf_dir):
 @query("s10_tiled_table", with_("slc amp", f'SELECT scene, t, "row", col, {r("a", "value")} FROM amp WHERE "row" BETWEEN 3 AND 11 AND col BETWEEN 2 AND 6'))
 def s10(spark, sf_dir):
     """Written as tiles in the folder that all executors share, appended in two blocks, and read back by window."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tiles-")
-    path = f"{root}/tiles-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
     rows = amplitude(spark, sf_dir)
     raster.write_tiles(rows.filter("row < 8"), path, (4, 5))
     lower = rows.filter("row >= 8").withColumn("row", F.col("row") - 8)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,11 +11,11 @@ from fringeflow.plans.catalog import query
 from fringeflow.plans.scans import table
 from fringeflow.sources.virtual import slc
 from fringeflow.streaming import sequential, statistics
+from fringeflow.tables import shared_dir
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark, source, transform, mode: str):

@@ -249,7 +249,7 @@ def x4(spark, sf_dir):
     return _out(interp.interpolated(rows, ["scene", "t"], "w", 0.5, 4, 4), "re", "im", digits=4).select("scene", "t", "row", "col", "re", "im")
 
 
-@query("x5_ambiguity_fill", with_("slc amp", f'SELECT u.scene, u.t, u."row", u.col, {r("coalesce(unw, p + 2 * pi() * n)", "unw", 4)} FROM u LEFT JOIN (SELECT * FROM (SELECT g.scene, g.t, g."row", g.col, round_even((b.unw - b.p) / (2 * pi()), 0) AS n, row_number() OVER (PARTITION BY g.scene, g.t, g."row", g.col ORDER BY (g."row" - b."row")^2 + (g.col - b.col)^2, b."row", b.col) AS k FROM u g JOIN u b ON b.scene = g.scene AND b.t = g.t AND b.unw IS NOT NULL WHERE g.unw IS NULL AND (g."row" - b."row")^2 + (g.col - b.col)^2 <= 64) WHERE k = 1) f USING (scene, t, "row", col)', 'u AS (SELECT scene, t, "row", col, p, CASE WHEN a > 40 THEN p + 2 * pi() * floor(a / 25) END AS unw FROM amp)'))
+@query("x5_ambiguity_fill", with_("slc amp", f'SELECT u.scene, u.t, u."row", u.col, {r("coalesce(unw, p + 2 * pi() * n)", "unw", 4)} FROM u LEFT JOIN (SELECT * FROM (SELECT g.scene, g.t, g."row", g.col, round_even((b.unw - b.p) / (2 * pi()), 0) AS n, row_number() OVER (PARTITION BY g.scene, g.t, g."row", g.col ORDER BY (g."row" - b."row")^2 + (g.col - b.col)^2, b."row", b.col) AS k FROM u g JOIN u b ON b.scene = g.scene AND b.t = g.t AND b.unw IS NOT NULL WHERE g.unw IS NULL) WHERE k = 1) f USING (scene, t, "row", col)', 'u AS (SELECT scene, t, "row", col, p, CASE WHEN a > 40 THEN p + 2 * pi() * floor(a / 25) END AS unw FROM amp)'))
 def x5(spark, sf_dir):
     import math
 

@@ -462,3 +462,33 @@ def test_simulated_coherence():
     c = simulate.coherence_matrix(5, 12.0)
     z = simulate.samples(c, 200_000, 1)
     assert np.abs(z @ z.conj().T / z.shape[1] - c).max() < 0.02
+
+
+def test_components_of_a_snake(spark):
+    """A winding path much longer than the grid is wide is one component."""
+    rows = [(0, r, c, r % 2 == 0 or c == (39 if r % 4 == 1 else 0)) for r in range(81) for c in range(40)]
+    mask = spark.createDataFrame(rows, "scene int, row int, col int, inside boolean")
+    labels = interp.components(mask, ["scene"], 4)
+    assert labels.count() == 41 * 40 + 40
+    assert [r["label"] for r in labels.select("label").distinct().collect()] == [1]
+
+
+def test_nearest_value_of_a_far_gap(spark):
+    """A gap farther off than many first looks is filled all the same; ties go to the first in row-major order."""
+    points = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 300, 0, 3.0)], "scene int, row int, col int, v double")
+    gaps = spark.createDataFrame([(0, 0, 500), (0, 150, 0), (0, 151, 0), (1, 0, 0)], "scene int, row int, col int")
+    found = {(r["scene"], r["row"], r["col"]): r["v"] for r in interp.nearest_value(gaps, points, ["scene"], "v", bucket=2).collect()}
+    assert found == {(0, 0, 500): 2.0, (0, 150, 0): 1.0, (0, 151, 0): 3.0}
+
+
+def test_nearest_value_equals_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    cells = {(r, c): draw.random() for r in range(25) for c in range(25)}
+    # blocks of points, so that most are inside and only the outline takes part
+    points = [(0, r, c, v) for (r, c), v in cells.items() if (r // 6 + c // 6) % 3 == 0]
+    gaps = [(0, r, c) for r, c in cells if (r // 6 + c // 6) % 3]
+    found = interp.nearest_value(spark.createDataFrame(gaps, "scene int, row int, col int"), spark.createDataFrame(points, "scene int, row int, col int, v double"), ["scene"], "v", bucket=1, rings=1)
+    expected = {(r, c): min(points, key=lambda p: ((p[1] - r) ** 2 + (p[2] - c) ** 2, p[1], p[2]))[3] for _, r, c in gaps}
+    assert {(x["row"], x["col"]): x["v"] for x in found.collect()} == expected
