@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import LOWER, UPPER, ascii_lower, let, materialise, table, text_of
+from fringeflow.llm.common import LOWER, UPPER, ascii_lower, let, table, text_of
+from fringeflow.tables import materialise
 
 #: Fixed masks: a word at a 1 counts, a word at a 0 may differ. An item of 13 words or more keeps a seed whatever one word is replaced.
 MASKS = ("11101101", "110100111")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import LOWER, SPACE_CHARS, UPPER, ascii_lower, materialise, skewed_join, table, text_of, trimmed
+from fringeflow.llm.common import LOWER, SPACE_CHARS, UPPER, ascii_lower, skewed_join, table, text_of, trimmed
+from fringeflow.tables import materialise
 
 MIN_CHARS, MIN_DOCS = 20, 3
 

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import LOWER, UPPER, materialise, table, text_of
+from fringeflow.llm.common import LOWER, UPPER, table, text_of
+from fringeflow.operators.graph import connected
+from fringeflow.tables import materialise, scratch
 
 #: 50 bands of 6 bins: a pair at the threshold 0.8 misses every bucket with probability (1 - 0.8^6)^50 = 3e-7.
 BANDS, ROWS = 50, 6
@@ -21,10 +23,10 @@ LEAST_PERCENT = 80
 LEAST_SKETCH = 0.68
 #: Smaller sets collide in the bins, so that the estimate spreads wider: pairs of them skip the sketches.
 SMALL = 200
-#: How many times as many members of an undecided bucket become centres in each further round.
+#: How many members of an undecided bucket become centres in the first further round, and how many times as many in the next.
 GROWTH = 16.0
-#: Of undecided buckets with LARGE members or more, a shingle is rare if RARE of all those members hold it at most.
-LARGE, RARE = 64, 400
+#: Undecided buckets with LARGE members or more are decided around a consensus set, drawn from some CONSENSUS members of each family.
+LARGE, CONSENSUS = 64, 256
 SEED = 20240229
 
 _ONE = np.uint64(1)
@@ -161,30 +163,6 @@ def _agreeing(least: float, least_percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame | None:
-    """v, root for every vertex of the edges (a, b), or None without edges: randomised contraction. In each round a
-    vertex joins the least vertex of its closed neighbourhood, by id at first and then by a hash that changes with the
-    round, and edges inside a joined group vanish; the rounds grow with the logarithm of the vertices. Both sides of
-    every join are tables, so that Spark splits the partition of a vertex with very many edges."""
-    current = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    steps: list[DataFrame] = []
-    while not current.isEmpty():
-        k = len(steps)
-        rank = (lambda c: F.col(c)) if k < 2 else (lambda c, k=k: F.xxhash64(F.lit(k), F.col(c)))
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("v"))).alias("least"))
-        parent = materialise(least.select(F.col("a").alias("v"), F.when(F.col("least.rank") < rank("a"), F.col("least.v")).otherwise(F.col("a")).alias("p")), "parents")
-        ends = current.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        current = materialise(ends.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        steps.append(parent)
-    if not steps:
-        return None
-    roots = steps[0].select("v", F.col("p").alias("root"))
-    for step in steps[1:]:
-        roots = roots.join(step.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
-    return roots
-
-
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with the components ca and cb of a and b, where they differ."""
     both = pairs.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
@@ -193,44 +171,91 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, comp) after joining the components that the links (a, b) connect."""
-    roots = components(_apart(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    roots = connected(_apart(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if roots is None:
         return labels
     moved = labels.join(materialise(roots, "roots").select(F.col("v").alias("comp"), "root"), "comp", "left")
     return materialise(moved.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
-def _by_rare_shingles(members: DataFrame, sets: DataFrame, least_percent: int) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs (a, id) of two components for the members of large buckets whose links rare shingles show, and the members (bucket, id, order, n) that are left.
-
-    A link of sets of s and t shingles has p / (100 + p) * (s + t) in common at least. So a set that holds none of some r
-    of a document's shingles is linked with it only if t <= (s - r) * (100 + p) / p - s. Where a document has more rare
-    shingles than two sets of its size may miss, it is compared with the holders of its rarest ones, and with the few
-    members of its buckets that are small enough; no link of it is left out, and it leaves its large buckets."""
-    counts = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
-    rows = members.select("bucket", "id", "order", "comp").join(counts, "bucket")
-    ids = materialise(rows.filter(F.col("n") >= LARGE).select("id", "comp").distinct(), "crowded")
-    if ids.isEmpty():
-        return None, rows
-    part = (100 + least_percent) / least_percent
-    held = sets.join(ids, "id").select("id", "comp", "shingles", F.size("shingles").alias("size"))
-    each = held.select("id", "comp", "size", F.explode("shingles").alias("s"))
-    rare = materialise(each.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE), "rare")
-    holders = materialise(each.join(rare, "s"), "holders")
-    missed = F.col("size") - F.ceil(2 * F.col("size") / part)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "s"))
-    rarest = holders.withColumn("k", place).filter(F.col("k") <= missed + 2)
-    aside = rarest.groupBy("id", "size").agg(F.max("k").alias("r")).filter(F.col("r") > missed)
-    aside = materialise(aside.select("id", ((F.col("size") - F.col("r")) * part - F.col("size")).alias("limit")), "aside")
-    asks = materialise(rarest.join(aside, "id", "left_semi").select("s", "id", "comp", "size"), "asks")
-    alike = (F.col("comp") != F.col("comp_a")) & (F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * least_percent)
-    met = asks.join(holders.select("s", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a")), "s").filter(alike)
-    crowd = materialise(rows.filter(F.col("n") >= LARGE).join(held.select("id", "size"), "id"), "crowd")
-    small = crowd.join(aside, "id").select("bucket", "id", "comp", "size", "limit").join(crowd.select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a")), "bucket")
-    small = small.filter((F.col("size_a") <= F.col("limit")) & alike)
-    left = materialise(crowd.select("bucket", "id", "order").join(aside, "id", "left_anti").unionByName(rows.filter(F.col("n") < LARGE).select("bucket", "id", "order")), "left")
-    left = left.join(materialise(left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "bucket")
-    return met.select("a", "id").unionByName(small.select("a", "id")), left
+def _families(crowd: DataFrame) -> DataFrame:
+    """family, id: the members of large buckets (bucket, id, order, first, first_order), each bucket with the family of its
+    first member. A member's own family is named by the earliest first of its buckets, so the buckets of one group of
+    near copies meet in a few families, and two members of a bucket are in one family at least."""
+    home = crowd.groupBy("id").agg(F.min_by("first", "first_order").alias("family"))
+    of_bucket = crowd.select("bucket", "first").distinct().join(home.select(F.col("id").alias("first"), "family"), "first")
+    pairs = crowd.join(of_bucket.select("bucket", "family"), "bucket")
+    return materialise(pairs.select("family", "id", "order").distinct(), "families")
+
+
+def _deltas(families: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """family, id, size, dist, excess, delta: what a member's set and its family's consensus set don't share.
+
+    The consensus holds the shingles that most of some CONSENSUS members have. It only serves to tell members apart:
+    with any other set, the results are the same. excess is (100 + p) dist - (100 - p) size for a threshold of p
+    percent. The sets of a and b with x common elements of their deltas are linked if and only if
+    excess_a + excess_b <= 2 (100 + p) x."""
+    drawn = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family").filter(F.col("order") * F.col("n") <= CONSENSUS)
+    drawn = materialise(drawn.select("family", "id"), "drawn")
+    held = drawn.join(sets, "id").select("family", F.explode("shingles").alias("s")).groupBy("family", "s").agg(F.count("*").alias("held"))
+    most = held.join(drawn.groupBy("family").agg(F.count("*").alias("n")), "family").filter(2 * F.col("held") > F.col("n"))
+    core = materialise(most.groupBy("family").agg(F.collect_list("s").alias("core")), "cores")
+    both = families.select("family", "id").join(core, "family", "left").join(sets, "id")
+    none = F.array().cast("array<bigint>")
+    both = both.select("family", "id", "shingles", F.coalesce("core", none).alias("core"))
+    found = both.select("family", "id", F.size("shingles").cast("long").alias("size"), F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles")).alias("delta"))
+    found = found.withColumn("dist", F.size("delta").cast("long"))
+    return materialise(found.withColumn("excess", (100 + least_percent) * F.col("dist") - (100 - least_percent) * F.col("size")), "deltas")
+
+
+def _stars(deltas: DataFrame) -> DataFrame:
+    """Links (a, b) of each family's centre, the member nearest the consensus, that hold whatever the deltas share: no set is read for them."""
+    centres = deltas.groupBy("family").agg(F.min("excess").alias("low"), F.min_by("id", F.struct("excess", "id")).alias("a"))
+    return deltas.join(materialise(centres, "centres"), "family").filter((F.col("excess") + F.col("low") <= 0) & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b"))
+
+
+def _crowded_pairs(deltas: DataFrame, labels: DataFrame, least_percent: int) -> DataFrame:
+    """Pairs (a, id) with all the links between members of one family that lie in different components.
+
+    Such a link needs common elements in the deltas. Elements that only one component has can't be common; a member
+    whose remaining ones are too few for any partner is left out by itself, without a pair. Of the others, those outside
+    the component of the family's centre ask, with their rarest elements: as many as must hold a common one."""
+    twice, rest = 2 * (100 + least_percent), (100 - least_percent) / least_percent
+    now = deltas.join(labels, "id")
+    spread = now.groupBy("family").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("comp", F.struct("excess", "id")).alias("main")).filter("least <> most")
+    mains = materialise(spread.select("family", "main"), "mains")
+    open_ = now.join(mains, "family")
+    each = materialise(open_.select("family", "id", "comp", "main", "size", "dist", "excess", F.explode("delta").alias("s")), "elements")
+    held = each.groupBy("family", "s").agg(F.count("*").alias("held"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+    shared = materialise(each.join(materialise(held.select("family", "s", "held"), "held"), ["family", "s"]), "shared")
+    per = materialise(shared.groupBy("family", "id").agg(*(F.first(c).alias(c) for c in ("comp", "main", "size", "dist", "excess")), F.count("*").alias("d")), "counted")
+
+    def need(low: str):
+        """The fewest common elements that a link of this member to one with an excess of `low` or more has."""
+        return F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(low)) / twice), F.ceil(F.col("dist") - F.col("size") * rest - 1e-9))
+
+    def within(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+        """The members that can be linked with one inside the bounds of their family, with need."""
+        limits = bounds.groupBy("family").agg(F.min("excess").alias("low"), F.max(twice * F.col("d") - F.col("excess")).alias("top"))
+        near = rows.join(materialise(limits, "limits"), "family").withColumn("need", need("low"))
+        return near.filter((F.col("excess") <= F.col("top")) & (F.col("d") >= F.col("need"))).drop("low", "top")
+
+    asks = materialise(within(per.filter("comp <> main"), per), "asks")
+    partners = materialise(within(per, asks), "partners")
+    place = F.row_number().over(Window.partitionBy("family", "id").orderBy("held", "s"))
+    either = asks.select("family", "id").unionByName(partners.select("family", "id")).distinct()
+    ranked = shared.select("family", "id", "s", "held").join(either, ["family", "id"]).withColumn("k", place)
+    ranked = materialise(ranked, "ranked")
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        return ranked.join(rows, ["family", "id"]).filter(F.col("k") <= F.col("d") - F.col("need") + 1)
+
+    left = prefix(asks).select("family", "s", "id", "comp", "size", "excess", "d", "k")
+    right = prefix(partners).select("family", "s", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("main").alias("main_a"), F.col("size").alias("size_a"), F.col("excess").alias("excess_a"), F.col("d").alias("d_a"), F.col("k").alias("k_a"))
+    common = F.least("k", "k_a") + F.least(F.col("d") - F.col("k"), F.col("d_a") - F.col("k_a"))
+    fits = (F.col("excess") + F.col("excess_a") <= twice * common) & (F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * least_percent)
+    once = (F.col("comp_a") == F.col("main_a")) | (F.col("a") < F.col("id"))
+    return left.join(right, ["family", "s"]).filter((F.col("comp") != F.col("comp_a")) & once & fits).select("a", "id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least_percent: int = LEAST_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -242,19 +267,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Sets that are equal (by 128-bit hashes) form a class, and one text of each goes on; classes that share a doc_id are
     linked. The bands of a class deal it into
     buckets; in each bucket the members are compared with a centre, never with each other. Where a bucket then still
-    holds more than one component and many members, those with enough rare shingles are compared with the holders of
-    these, which leaves out no link of theirs; of the rest more become centres, GROWTH times as many in each round, and are compared with the members of other components
-    until the bucket is one component or all its members have been centres: no link between components that share a
-    bucket is lost. Sketches rule out most pairs of sets of SMALL shingles or more; the rest are
-    compared on the full sets; in the first round each member meets one centre, then those of its centres that still lie
-    in another component.
+    holds more than one component, links between its other members may be missing. Large buckets are decided around a
+    consensus set of their family: one star around the member nearest to it, then the few pairs of members of different
+    components that what they don't share with it can't rule out (see _deltas). In small ones (under LARGE members)
+    more members become centres, GROWTH times as many in each round, until the bucket is one component or all its
+    members have been centres. So no link between members that share a bucket is lost. Sketches rule out most pairs of
+    sets of SMALL shingles or more; the rest are compared on the full sets.
 
     An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each and
     share a component; where their texts differ, each is compared with other ids' texts. A row
     without doc_id isn't linked: component_id null, kept true."""
+    with scratch(docs.sparkSession):
+        features, of_class = _components_of_classes(docs, doc_id, text, width, least_percent, bands, rows)
+    found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _components_of_classes(docs: DataFrame, doc_id: str, text: str, width: int, least_percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and the component of each class (h1, h2): two tables that stay."""
     body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).withColumn("version", F.xxhash64("body"))
     kind = body.schema["id"].dataType.simpleString()
-    features = materialise(body.mapInArrow(_features(width, bands, rows), f"id {kind}, version bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"), "features")
+    features = materialise(body.mapInArrow(_features(width, bands, rows), f"id {kind}, version bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"), "features", keep=True)
     full = features.filter("n_shingles > 0 AND id IS NOT NULL")
 
     # A class is named by one of its hashes, or by both where two classes share that one.
@@ -301,13 +335,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return materialise(drawn.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_agreeing(LEAST_SKETCH, least_percent), "a bigint, b bigint"), "close")
 
     def undecided(members: DataFrame) -> DataFrame:
-        """The members, with comp and least (whether first in order), of buckets that hold several components."""
+        """The members, with comp, least (whether first in order) and the first member, of buckets that hold several components."""
         now = members.join(labels, "id")
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("order", "id")).alias("least")).filter("low <> high")
-        return materialise(now.join(materialise(mixed.select("bucket", F.col("least.id").alias("first")), "mixed"), "bucket").withColumn("least", F.col("id") == F.col("first")).drop("first"), "open")
+        mixed = materialise(mixed.select("bucket", F.col("least.id").alias("first"), F.col("least.order").alias("first_order")), "mixed")
+        return materialise(now.join(mixed, "bucket").withColumn("least", F.col("id") == F.col("first")), "open")
 
     def facing(members: DataFrame, centres: DataFrame) -> DataFrame:
-        return members.join(centres.select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("order").alias("order_a")), "bucket").filter("comp <> comp_a")
+        return members.join(centres.select("bucket", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("order").alias("order_a"), *([F.col("decided").alias("decided_a")] if "decided" in centres.columns else [])), "bucket").filter("comp <> comp_a")
 
     def paired(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -319,32 +354,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = _relabelled(labels, linked(close(paired(one))))
         seen = close(_apart(paired(met), labels).select("a", "b"))
         labels = _relabelled(labels, linked(seen))
-        rarely, members = _by_rare_shingles(undecided(members.select("bucket", "id", "order")), sets, least_percent)
-        if rarely is not None:
-            found = close(paired(rarely).join(seen, ["a", "b"], "left_anti"))
-            labels = _relabelled(labels, linked(found))
-            seen = seen.unionByName(found)
+        members = undecided(members.select("bucket", "id", "order"))
+        counts = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
+        rows = members.join(counts, "bucket")
+        members = rows.filter(F.col("n") < LARGE).select("bucket", "id", "order", "n")
+        crowd = materialise(rows.filter(F.col("n") >= LARGE), "crowd")
+        if not crowd.isEmpty():
+            deltas = _deltas(_families(crowd), sets, least_percent)
+            labels = _relabelled(labels, _stars(deltas))
+            labels = _relabelled(labels, linked(paired(_crowded_pairs(deltas, labels, least_percent))))
+            # Pairs of one family are decided, whichever buckets they share.
+            members = members.join(deltas.groupBy("id").agg(F.collect_set("family").alias("decided")), "id", "left")
+        else:
+            members = members.withColumn("decided", F.lit(None).cast("array<bigint>"))
+        members = materialise(members, "small-buckets")
 
         # A bucket's centres are those whose order times its size is up to share, and its first; those up to done were some already.
         share, done = GROWTH, 0.0
-        most = members.agg(F.max("n")).first()[0] or 0
-        while done < most:
-            members = undecided(members.select("bucket", "id", "order", "n"))
+        while done < LARGE:
+            members = undecided(members.select("bucket", "id", "order", "n", "decided"))
             if members.isEmpty():
                 break
             up_to = lambda limit: F.col("least") | (F.col("order") * F.col("n") <= limit)
             early = up_to(done) if done else F.lit(False)
-            found = close(paired(facing(members.filter(~early), members.filter(up_to(share) & ~early))).join(seen, ["a", "b"], "left_anti"))
+            met = facing(members.filter(~early), members.filter(up_to(share) & ~early)).filter(~F.coalesce(F.arrays_overlap("decided", "decided_a"), F.lit(False)))
+            found = close(paired(met).join(seen, ["a", "b"], "left_anti"))
             labels = _relabelled(labels, linked(found))
             seen = seen.unionByName(found)
             done, share = share, share * GROWTH
 
     placed = materialise(classes.join(labels.select(F.col("id").alias("node"), "comp"), "node", "left").select("h1", "h2", "first", F.coalesce("comp", "node").alias("comp")), "placed")
     lowest = materialise(placed.groupBy("comp").agg(F.min("first").alias("component")), "lowest")
-    of_class = materialise(placed.join(lowest, "comp").select("h1", "h2", "component"), "components")
-    found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    of_class = materialise(placed.join(lowest, "comp").select("h1", "h2", "component"), "components", keep=True)
+    return features, of_class
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import materialise, n_words_of, table, text_of
+from fringeflow.llm.common import n_words_of, table, text_of
+from fringeflow.tables import materialise
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import ascii_lower, let, materialise, table
+from fringeflow.llm.common import ascii_lower, let, table
+from fringeflow.tables import materialise
 
 #: (verdict, host, path): the contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import materialise, table
+from fringeflow.llm.common import table
+from fringeflow.tables import materialise
 
 #: Elements whose content isn't text, and elements that end a line.
 HIDDEN = "script style noscript template"

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from fringeflow.llm import minhash
+from fringeflow.operators import graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,7 +133,7 @@ def test_every_text_of_an_id_is_compared(spark):
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [tuple(draw.sample(range(200, 260), 2)) for _ in range(40)]
-    roots = {r["v"]: r["root"] for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    roots = {r["v"]: r["root"] for r in graph.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     parent = {v: v for p in pairs for v in p}
 
     def root(x):
@@ -144,4 +145,41 @@ def test_components(spark):
         parent[root(a)] = root(b)
     groups = lambda f: {frozenset(v for v in parent if f(v) == f(u)) for u in parent}
     assert groups(root) == groups(roots.get)
-    assert minhash.components(spark.createDataFrame([(1, 1)], "a long, b long")) is None
+    assert graph.connected(spark.createDataFrame([(1, 1)], "a long, b long")) is None
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_large_group_of_near_copies(spark, width):
+    """Hundreds of copies of one text, changed in zero to many places, about the threshold of each other: their consensus
+    tells all components apart, those of several copies that only share changes included; a second text joins the buckets."""
+    draw = random.Random(11)
+    base, other = ([f"w{draw.randrange(800)}" for _ in range(90)] for _ in range(2))
+    changed = [list(base) for _ in range(4)]  # changes that some copies have in common
+    for words in changed:
+        for i in draw.sample(range(90), 6 if width == 5 else 12):
+            words[i] = f"c{draw.randrange(10**6)}"
+    rows = []
+    for k in range(500):
+        words = list(draw.choice([base, base, base, other, *changed]))
+        for i in draw.sample(range(90), draw.choice([0, 1, 2, 3, 4, 5, 8, 12])):
+            words[i] = f"x{draw.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    expected = brute(rows, width)
+    assert 2 < len({c for _, c in expected.values()}) < 480
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width)) == expected
+
+
+def test_consensus_does_not_matter(spark, monkeypatch):
+    """Any consensus gives the same components, an empty one too."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(500)}" for _ in range(60)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for i in draw.sample(range(60), draw.choice([1, 3, 5, 7])):
+            words[i] = f"x{draw.randrange(30)}"
+        rows.append((k, " ".join(words)))
+    docs, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows, 2)
+    for members in (-1, 3, 256):
+        monkeypatch.setattr(minhash, "CONSENSUS", members)
+        assert got(minhash.near_duplicates(docs, width=2)) == expected
