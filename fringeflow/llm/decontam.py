@@ -89,23 +89,29 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     small = theirs.count() <= BROADCAST_SEEDS
     hits = _seeded(body, "doc_id", used).join(F.broadcast(theirs) if small else theirs, "seed")
     found = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
-    # Items have about as many words as seeds of a mask, so the same bound holds for them.
-    words = test.select("item_id", word_hashes(F.col("body")).alias("item"))
-    met = body.join(found, "doc_id").join(F.broadcast(words) if small else words, "item_id")
-    aligned = lambda own: F.transform("item", lambda w, i: F.coalesce((F.get(own, F.col("shift") + i) == w).cast("int"), F.lit(0)))
-    scored = met.select("doc_id", "item_id", F.size("item").alias("item_words"), let(word_hashes(F.col("body")), lambda own: best_run(aligned(own))).alias("matched"))
+    # Only the words of items with a hit are needed; short items have words and no seeds, so these are counted by themselves.
+    words = materialise(test.select("item_id", word_hashes(F.col("body")).alias("item")).join(found.select("item_id").distinct(), "item_id", "left_semi"), "hit-items")
+    few = (words.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_SEEDS
+    # A text is hashed once, whatever the number of its hits.
+    hit = body.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", word_hashes(F.col("body")).alias("own"))
+    met = hit.join(found, "doc_id").join(F.broadcast(words) if few else words, "item_id")
+    aligned = F.transform("item", lambda w, i: F.coalesce((F.get("own", F.col("shift") + i) == w).cast("int"), F.lit(0)))
+    scored = met.select("doc_id", "item_id", F.size("item").alias("item_words"), best_run(aligned).alias("matched"))
     enough = F.col("matched") >= F.greatest(F.lit(5), F.least(F.lit(least_words), F.ceil(F.col("item_words") * least_share)))
     return scored.filter(enough).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that overlap with no item, all columns. Rows that share a doc_id with one that does go too; a
-    row without doc_id can't be named and stays."""
-    found = overlaps(docs, items, doc_id, text, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col("__leak"), "left_anti")
+    """The rows of docs that overlap with no item, all columns. A row goes or stays by its own text: rows that share a doc_id,
+    or have none, are told apart by their texts, and repeated rows go together."""
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("version"))
+    rows = docs.select(key.alias("__row"), F.col(f"`{text}`").alias("__text"))
+    found = overlaps(rows, items, "__row", "__text", **options).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(found, key == F.col("__leak"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps of documents with benchmark items; see overlaps for nulls and repeated rows."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

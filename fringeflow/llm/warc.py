@@ -19,15 +19,43 @@ from fringeflow.tables import materialise
 HIDDEN = "script style noscript template"
 BLOCK = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table td th title tr ul"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_OPENS = re.compile(r"<!--|<(" + "|".join(HIDDEN.split()) + r")\b", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN.split()}
 _BLOCK = re.compile(r"</?(?:" + "|".join(BLOCK.split()) + r")\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
+_BLANK = re.compile(r"[ \t\r\f\v\u00A0]+")
+
+
+def _shown(markup: str) -> str:
+    """The markup without comments and hidden elements; one that isn't closed reaches to the end. One pass: no place is searched twice."""
+    out, at = [], 0
+    while m := _OPENS.search(markup, at):
+        if m[1] is None:
+            end = markup.find("-->", m.end())
+            end = len(markup) if end < 0 else end + 3
+        else:
+            opened = markup.find(">", m.end())
+            if opened < 0:  # no tag ends any more, so only a comment can follow
+                end = markup.find("<!--", m.end())
+                out.append(markup[at:] if end < 0 else markup[at:end])
+                return "".join(out)
+            close = _CLOSES[m[1].lower()].search(markup, opened + 1)
+            end = close.end() if close else len(markup)
+        out.append(markup[at : m.start()])
+        at = end
+    return "".join([*out, markup[at:]])
+
+
+def _without(tags: re.Pattern, by: str, markup: str) -> str:
+    """Each tag replaced. Behind the last > no tag ends, so none is looked for: unclosed ones would make every search reach to the end."""
+    last = markup.rfind(">") + 1
+    return tags.sub(by, markup[:last]) + markup[last:]
 
 
 def plain_text(markup: str) -> str:
-    """The visible text: hidden elements and comments go, block elements end a line, entities are resolved after the tags are gone, blanks are joined and empty lines dropped."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", markup.replace("\n", " ")))))
+    """The visible text: hidden elements and comments go, block elements end a line, entities are resolved after the tags
+    are gone, blanks are joined and empty lines dropped. A tag that isn't closed stays as text. Linear in the markup."""
+    text = html.unescape(_without(_TAG, "", _without(_BLOCK, "\n", _shown(markup.replace("\n", " ")))))
     return "\n".join(x for x in (_BLANK.sub(" ", line).strip() for line in text.split("\n")) if x)
 
 
@@ -117,6 +145,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of both derived records of every page; see derivatives for nulls and repeated rows. Pages have neither
+    a date nor a head, so responses_of makes both up."""
     derived = materialise(derivatives(responses_of(table(spark, sf_dir, "pages"))), "warc")
     size = lambda c: F.octet_length(c).cast("long")
     return derived.select(
