@@ -54,6 +54,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bytes of input for each task that shuffles whole texts; no more tasks than that for any input.
+TASK_BYTES, MOST_TASKS = 128 << 20, 1_000_000
+
+
+def tasks_for(docs: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """One task for each so many bytes of the tables that docs is made from, and at least as many as the session deals to. Where
+    Spark doesn't know a table's size, it counts as nothing."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-size // task_bytes)))
+
+
 #: A key is hot if it has at least this share of all rows, so there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.001
 

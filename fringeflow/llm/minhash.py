@@ -389,7 +389,19 @@ def _components_of_classes(docs: DataFrame, doc_id: str, text: str, width: int,
     return features, of_class
 
 
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row, all columns, of each group of rows that near_duplicates links: the one with the smallest doc_id (rows without
+    doc_id come after all others, then by a hash of the text). A row goes or stays by its own text: rows that share a
+    doc_id, or have none, are told apart by their texts. Of rows with the same doc_id and text, which are one document,
+    one stays. Each row without words is a document of its own, unless doc_id and text repeat another's."""
+    row = lambda: F.struct(F.col(f"`{doc_id}`").isNull().alias("unnamed"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("version"))
+    rows = docs.select(row().alias("__row"), F.col(f"`{text}`").alias("__text"))
+    found = near_duplicates(rows, "__row", "__text", **options).filter("kept").select(F.col("__row").alias("__kept")).distinct()
+    return docs.withColumn("__row", row()).join(found, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets' sizes and components of all documents on two-word shingles; see near_duplicates for nulls and repeated rows."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 

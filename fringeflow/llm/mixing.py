@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import n_words_of, table, text_of
+from fringeflow.llm.common import n_words_of, table, tasks_for, text_of
 from fringeflow.tables import materialise
 
 #: Weights of the sources in code-point order, repeating.
@@ -91,7 +91,8 @@ class Filled:
 
 @dataclass
 class Mixed:
-    """rows: the columns of docs, then __key, __size, __order, __source_size, __target and __draws (array of pass and shard). sources: a row per source."""
+    """rows: the columns of docs, then __key, __size, __order, __place, __source_size, __target and __draws (array of pass and shard).
+    sources: a row per source, with the passes, the last block and the ends of the shards (all but the last) that the tree dealt it."""
 
     rows: DataFrame
     sources: DataFrame
@@ -160,7 +161,7 @@ def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     numbered = F.transform(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), shard(p).alias("shard")))
     drawn = F.when(times > 0, numbered).otherwise(F.array().cast(numbered_type()))
     joined = rows.join(F.broadcast(sources), "__key")
-    return Mixed(joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__key", "__size", "__order", "__source_size", "__target", drawn.alias("__draws")), sources)
+    return Mixed(joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__key", "__size", "__order", "__place", "__source_size", "__target", drawn.alias("__draws")), sources)
 
 
 def _spot() -> Column:
@@ -251,19 +252,26 @@ def numbered_type() -> str:
     return "array<struct<pass:int,shard:int>>"
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows, columns of docs only, dealt to the output shards and shuffled inside each."""
+def mix(docs: DataFrame, shard: str | None = None, **options) -> DataFrame:
+    """The mixed rows, columns of docs only (and the output shard's number, if `shard` names a column for it), dealt to the output
+    shards and shuffled inside each: a written table's files are in that order.
+
+    A null source is one of its own. Rows that repeat each other are drawn alike, as often as there are of them. Null and
+    empty texts have no words and go with their block. An empty table gives none."""
     shards = options.get("shards", SHARDS)
     drawn = draw(docs, **options).rows
     hidden = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
     each = drawn.select(*hidden, "__order", F.explode("__draws").alias("__draw"))
-    # Within a shard, rows are spread over as many tasks as the session deals to, and ordered by a hash there.
+    # Within a shard, rows are spread over as many tasks as the input's bytes ask for, and ordered by a hash there.
     local = F.xxhash64("__order", "__draw.pass")
-    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    dealt = each.withColumn("__local", local).repartition(F.col("__draw.shard"), F.pmod("__local", F.lit(spread))).sortWithinPartitions("__draw.shard", "__local")
-    return dealt.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    spread = -(-tasks_for(docs) // shards)
+    dealt = each.withColumn("__local", local).repartition(shards * spread, F.col("__draw.shard"), F.pmod("__local", F.lit(spread))).sortWithinPartitions("__draw.shard", "__local")
+    number = [F.col("__draw.shard").alias(shard)] if shard else []
+    return dealt.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)), *number)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken, and to which output shards the tree deals it; see draw and mix for nulls and repeated rows."""
     rows = draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).rows
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__draws")).alias("taken"))
+    shards = F.transform("__draws", lambda d: d["shard"]).alias("shards")
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__draws")).alias("taken"), shards)

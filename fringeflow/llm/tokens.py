@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import table, text_of
+from fringeflow.llm.common import table, tasks_for, text_of
 from fringeflow.tables import shared_dir
 
 #: Words, and letter runs, whose ids a Python worker keeps over its tasks (some 120 bytes each); others are encoded again.
@@ -137,21 +137,24 @@ def _encode(vocabulary: bytes, end_id: int, cached_words: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, layout: dict[str, str] = LAYOUT) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, ordered: bool = True, layout: dict[str, str] = LAYOUT) -> None:
     """Writes path/tokens (doc_id, shard, shard_start, n_tokens, ids) and path/shards (shard, n_docs, n_tokens, base).
 
     Each file holds a range of the documents in ascending doc_id order, null first; rows of one doc_id are in the
-    order of a hash of their text, so repeated rows are told apart only by place. A null or empty text is end_id
+    order of a hash of their text, so repeated rows are told apart only by place. There are as many files as the input's bytes ask for,
+    unless shards says how many. If not ordered, a file holds a partition of docs
+    as it comes, without a shuffle: for a table that was shuffled when it was written. A null or empty text is end_id
     alone. Other columns of docs aren't written. vocabulary: a file that the driver reads; its bytes go with the
     tasks. A failed task writes its range again, from the same sorted rows."""
     spark = docs.sparkSession
     with open(vocabulary, "rb") as file:
         content = file.read()
-    body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body")).withColumn("tie", F.xxhash64("body"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = body.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "body")
+    body = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("body"))
+    if ordered:
+        tied = body.withColumn("tie", F.xxhash64("body"))
+        body = tied.repartitionByRange(shards or tasks_for(body), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "body")
     kind = body.schema["doc_id"].dataType.simpleString()
-    coded = ordered.mapInArrow(_encode(content, end_id, CACHED_WORDS), f"doc_id {kind}, shard int, shard_start bigint, n_tokens bigint, ids array<int>")
+    coded = body.mapInArrow(_encode(content, end_id, CACHED_WORDS), f"doc_id {kind}, shard int, shard_start bigint, n_tokens bigint, ids array<int>")
     coded.write.options(**layout).parquet(f"{path}/tokens")
 
     # One row per file: only the small columns are read, and what is gathered grows with the files, not the documents.
@@ -168,6 +171,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
+def read_range(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """read_tokens() of the documents whose doc_id lies between first and last, both included. Files, row groups and, by the
+    page indexes, pages of other documents are skipped, those of ids too. Ordered files hold them side by side."""
+    found = read_tokens(spark, path)
+    if first is not None:
+        found = found.filter(F.col("doc_id") >= first)
+    return found.filter(F.col("doc_id") <= last) if last is not None else found
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
@@ -189,13 +201,14 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, ordered: bool = True) -> DataFrame:
     """Writes the tokens of docs to a new folder beside the checkpoints and returns the digests read back from it."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, vocabulary_path())
+    write_tokens(docs, path, vocabulary_path(), ordered=ordered)
     return digests(read_tokens(spark, path))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all documents' tokens, read back from the files; see write_tokens for nulls and repeated rows."""
     return encoded(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeflow.llm import mixing, tokens
+from fringeflow.tables import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,6 +87,33 @@ def test_mix_rows(spark, odd, none, odd_rows):
     assert all(0 <= r["shard"] < mixing.SHARDS for r in shards)
 
 
+def test_shards_are_the_trees(spark, tables):
+    """Each drawn block lies in the shard that the splitting tree deals it to; the query returns these shards, and mix() the same rows by shard."""
+    frame = spark.read.parquet(f"{tables}/documents.parquet")
+    found = mixing.draw(frame)
+    sources = {r["__key"]: r for r in found.sources.collect()}
+    quotas = np.array([r["__passes"] * mixing.BLOCKS + r["__last"] + 1 for r in sources.values()])
+    names = list(sources)
+    ends = np.array([[*sources[n]["__ends"], q] for n, q in zip(names, quotas, strict=True)])
+    counts = np.diff(ends, axis=1, prepend=0)
+    assert (counts >= 0).all() and (counts.sum(axis=1) == quotas).all()
+    assert abs(counts.sum(axis=0) - quotas.sum() / mixing.SHARDS).max() <= 4
+    by_doc, per_shard = {}, defaultdict(int)
+    for r in found.rows.select("doc_id", "__key", "__place", "__draws").collect():
+        own, places = sources[r["__key"]], ends[names.index(r["__key"])]
+        for d in r["__draws"]:
+            if d["pass"] < own["__passes"] or r["__place"] <= own["__last"]:
+                assert d["shard"] == np.searchsorted(places, d["pass"] * mixing.BLOCKS + r["__place"], "right")
+            per_shard[d["shard"]] += 1
+        by_doc[r["doc_id"]] = sorted(d["shard"] for d in r["__draws"])
+    query = mixing.op10_mix_sources(spark, tables).collect()
+    assert {r["doc_id"]: sorted(r["shards"]) for r in query} == by_doc
+    assert all(r["taken"] == r["size"] * len(r["shards"]) for r in query)
+    mixed = mixing.mix(frame, shard="shard")
+    assert mixed.columns == [*frame.columns, "shard"]
+    assert {r["shard"]: r["count"] for r in mixed.groupBy("shard").count().collect()} == dict(per_shard)
+
+
 def test_mix_bounds_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
     with pytest.raises(ValueError, match="sources"):
@@ -142,6 +170,36 @@ def test_file_layout(spark, tables, tmp_path):
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_pages_are_skipped(spark, tmp_path):
+    """A range of documents reads the pages that may hold it, not the file; a range of few columns leaves the ids out."""
+    rows = [(i, f"w{i} " * 20) for i in range(30_000)]
+    path = f"file://{tmp_path}/range"
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, tokens.vocabulary_path(), shards=2)
+    part = tokens.read_range(spark, path, 12_000, 12_100)
+    execution = part.select("doc_id", "ids")._jdf.queryExecution()
+    found = part.collect()
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["doc_id"])] == list(range(12_000, 12_101))
+    whole = tokens.read_tokens(spark, path).filter("doc_id BETWEEN 12000 AND 12100").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, whole), key=str)
+    assert "GreaterThanOrEqual(doc_id,12000)" in execution.executedPlan().toString()
+    scan = spark.read.parquet(f"{path}/tokens").filter("doc_id BETWEEN 12000 AND 12100").select("doc_id", "ids")
+    jvm = scan._jdf.queryExecution().executedPlan()
+    scan._jdf.queryExecution().toRdd().count()
+    leaves = jvm.collectLeaves()
+    read = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert 101 <= read <= 6_000
+
+
+def test_unordered_token_files(spark, tokenizer, tmp_path):
+    """A table's order goes into the files, without a shuffle."""
+    rows = [(draw, f"word{draw} x") for draw in (5, 3, 5, 9, 1, 3, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokens.write_tokens(frame, f"file://{tmp_path}/u", tokens.vocabulary_path(), ordered=False)
+    found = tokens.read_tokens(spark, f"file://{tmp_path}/u").orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [d for d, _ in rows]
+    assert found[-1]["start"] + found[-1]["n_tokens"] == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_pipeline(spark, tables, duck):
     import corpus_pipeline
     from fringeflow.llm import minhash, quality
@@ -169,13 +227,34 @@ def test_pipeline(spark, tables, duck):
     assert minhash.LEAST_PERCENT == 80
 
 
+def test_pipeline_judges_rows_by_their_texts(spark, tables):
+    """Rows that share an id, or have none, are copies or leaks by their own texts; the row that was compared is the one that stays."""
+    import random
+
+    import corpus_pipeline
+
+    draw = random.Random(21)
+    prose = lambda: " ".join(f"w{draw.randrange(3000)}" for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first()["text"]
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (None, a), (None, c), (None, c), (4, c), (5, None), (5, ""), (None, None), (6, a + " " + item), (6, c + " more"), (None, item)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, tables)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()))
+    assert found == sorted([(1, a), (1, b), (4, c), (5, ""), (-1, ""), (6, a + " " + item), (-1, item)] if len(item.split()) < 15 else found)
+    assert {(1, a), (1, b), (4, c)} <= set(found) and not {(2, a), (3, b + " end"), (-1, a), (-1, c), (6, c + " more")} & set(found)
+    clean = sorted(((r["doc_id"] or -1, r["text"] or "") for r in corpus_pipeline.decontaminate(spark, docs, tables).collect()))
+    assert clean == sorted((d or -1, t or "") for d, t in rows if item not in (t or ""))
+
+
 def test_pipeline_odd(spark, tables, odd, none):
     import corpus_pipeline
 
     for docs in (odd, none):
         out = docs
         for name, stage in corpus_pipeline.STAGES:
-            path = f"{tokens.shared_dir(spark)}/odd-{name}-{docs is odd}"
+            path = f"{shared_dir(spark)}/odd-{name}-{docs is odd}"
             stage(spark, out, tables).write.mode("overwrite").parquet(path)
             out = spark.read.parquet(path)
         assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

@@ -135,9 +135,22 @@ def test_licenses_brute_force(spark, tables, documents):
     assert found == want
 
 
-def test_licenses_odd(odd, none):
+def test_licenses_odd(spark, odd, none, monkeypatch):
+    """Texts that share an id, or have none, are never put together; repeated rows give one; the join gives the same."""
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(none).count() == 0
+    mit, isc = (dict(licenses.TEMPLATES)[n] for n in ("MIT-text", "ISC"))
+    half = len(mit) // 2
+    rows = [(5, mit[:half]), (5, mit[half:]), (None, mit[:half]), (None, mit[half:])]  # halves: nothing
+    rows += [(6, mit), (6, mit), (6, "other"), (7, mit + " " + "x " * 400 + mit), (7, mit), (None, isc), (None, isc), (None, isc + " again"), (None, None), (8, None), (9, "a " * 100_000 + isc)]
+    wide = [(d, t, "l", 1.0, 2, 3, "v", "b") for d, t in rows]
+    docs = spark.createDataFrame(wide, "doc_id long, text string, license string, containment double, windows int, at int, version string, body string")
+    found = sorted(((r["doc_id"] or -1, r["license"], r["containment"]) for r in licenses.scan(docs).collect()))
+    assert found == [(-1, "ISC", 1.0), (-1, "ISC", 1.0), (6, "MIT-text", 1.0), (7, "MIT-text", 1.0), (9, "ISC", 1.0)]
+    assert licenses.scan(docs).filter("doc_id = 7").first()["windows"] > licenses.scan(docs).filter("doc_id = 6").first()["windows"]
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 0)
+    assert found == sorted(((r["doc_id"] or -1, r["license"], r["containment"]) for r in licenses.scan(docs).collect()))
+
 
 
 # --- decontamination
@@ -281,15 +294,103 @@ def test_url_trees_learn(spark):
     assert sum(r["label"] == r["found"] for r in scored) / len(scored) > 0.95
 
 
+def plain_margin(model, row):
+    total = model.base
+    for tree in model.trees:
+        while not isinstance(tree, float):
+            name, threshold, null_low, low, high = tree
+            value = row[name]
+            tree = low if (null_low if value is None else value <= threshold) else high
+        total += tree
+    return total
+
+
+def test_url_verdicts(spark, tables):
+    """The learned verdicts are the trees', evaluated here by hand, and no constant; urls of suffixes that only rules on the
+    suffix itself label get no statistics of it."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    host, path = urls.split_url(F.col("url"))
+    rule, verdict = urls.ruled(host, path)
+    labelled = pages.select("page_id", "url", rule.alias("rule"), (verdict == "block").cast("int").alias("label")).filter("label IS NOT NULL")
+    model = urls.fit(labelled, key="page_id", tied=urls.by_suffix(F.col("rule")))
+    rows = urls.features(pages, "url", model, [F.col("page_id")]).withColumn("margin", model.margin()).collect()
+    assert {r["suffix"] for r in model.statistics["suffix"].collect()} <= {"com"}
+    for r in rows:
+        assert r["margin"] == pytest.approx(plain_margin(model, r), abs=1e-9)
+        assert r["suffix_rate"] is None or r["host"].endswith(".com")
+    found = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    free = [r for r in rows if found[r["page_id"]]["rule"] is None]
+    assert {found[r["page_id"]]["verdict"] for r in free} == {"allow", "block"}
+    assert all(found[r["page_id"]]["verdict"] == ("block" if r["margin"] > 0 else "allow") for r in free)
+
+
+def test_url_held_out_hosts(spark):
+    """Hosts that weren't learnt: the rules' verdicts are foretold by what the labels say of folders, without a rule at hand."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(18)
+    rows = [(i, f"http://h{draw.randrange(60)}.example.{draw.choice(['com', 'com', 'net'])}/{draw.choice(['en', 'en', 'de', 'fr', 'es'])}/{i}") for i in range(3000)]
+    host, path = urls.split_url(F.col("url"))
+    rule, verdict = urls.ruled(host, path)
+    labelled = spark.createDataFrame(rows, "page_id long, url string").select("page_id", "url", rule.alias("rule"), (verdict == "block").cast("int").alias("label"), (F.crc32(host) % 5 == 0).alias("held")).filter("label IS NOT NULL")
+    model = urls.fit(labelled.filter("NOT held"), key="page_id", tied=urls.by_suffix(F.col("rule")))
+    scored = urls.features(labelled.filter("held"), "url", model, [F.col("label")]).select("label", (model.margin() > 0).cast("int").alias("found")).collect()
+    assert len(scored) > 200 and sum(r["label"] == r["found"] for r in scored) / len(scored) > 0.8
+
+
+def test_url_held_out_suffix(spark):
+    """What lexical features tell carries over to a suffix without labels, though another suffix is blocked as a whole."""
+    from pyspark.sql import functions as F
+
+    draw, rows = random.Random(16), []
+    for i in range(3000):
+        suffix = ("com", "com", "com", "net", "org", "org", "org")[i % 7]
+        spam = draw.random() < 0.5
+        host = "".join(draw.choice("abcdefghij0123456789" if spam else "aeiourst") for _ in range(draw.randrange(14, 22) if spam else draw.randrange(5, 10)))
+        rows.append((f"http://{host}.{suffix}/a/{i}", suffix, 1 if suffix == "net" else int(spam), int(spam)))
+    frame = spark.createDataFrame(rows, "url string, suffix string, label int, truth int")
+    model = urls.fit(frame.filter("suffix <> 'org'"), tied=F.col("suffix") == "net")
+    scored = urls.features(frame.filter("suffix = 'org'"), "url", model, [F.col("truth")]).select("truth", (model.margin() > 0).cast("int").alias("found")).collect()
+    assert sum(r["truth"] == r["found"] for r in scored) / len(scored) > 0.85
+
+
 def test_url_odd(spark):
+    """Nulls, very long urls, repeated rows, one url that is a third of all, ties and clashing names; equal urls agree."""
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     one = urls.judge(spark.createDataFrame([(1, None), (None, "http://a.org/")], "page_id long, url string")).collect()
     assert [r["verdict"] for r in one] == ["allow", "allow"]
+    hosts = [f"http://{'www.' if i % 2 else ''}h{i % 7}.example.com/{'en' if i % 3 else 'de'}/{i}" for i in range(120)]
+    many = [*enumerate(hosts), *((500 + i, "http://hot.example.com/en/") for i in range(80)), *((i, u) for i, u in enumerate(hosts[:40])), (900, None), (901, None), (None, hosts[0])]
+    many += [(1000, "http://" + "a." * 50_000 + "org/" + "x/" * 50_000 + "?" + "a=1&" * 20_000), (1001, "http://" + "9" * 100_000), (1002, "http://.com//"), (1003, "://"), (1004, "http://com")]
+    wide = [(k, u, "h", "p", "s", 1.0, 1, "r", "v", 0.0) for k, u in many]
+    pages = spark.createDataFrame(wide, "page_id long, url string, host string, path string, suffix string, suffix_rate double, label int, rule string, verdict string, margin double")
+    found = urls.judge(pages).collect()
+    assert sorted(r["page_id"] or -1 for r in found) == sorted(k or -1 for k, _ in many)
+    by_place = {}
+    for r in found:
+        by_place.setdefault((r["host"], r["path"]), set()).add((r["rule"], r["verdict"]))
+        assert r["verdict"] in ("allow", "block")
+    assert all(len({v for _, v in x}) == 1 for place, x in by_place.items() if place != ("", ""))
 
 
 # --- WARC
 
 
+@pytest.mark.parametrize("piece", ["<p ", "<script ", "<!--", "<", "</script", "<script>", "<!-- x", "<a href='", "&", "</script ", "<p <script <!--"])
+def test_warc_unclosed(piece):
+    """A megabyte of unclosed tags takes a moment, not minutes; what isn't a tag stays."""
+    import time
+
+    began = time.perf_counter()
+    for text in (piece * (1_000_000 // len(piece)), "<p>" + piece * (500_000 // len(piece)) + ">" + piece * (500_000 // len(piece))):
+        warc.plain_text(text)
+    assert time.perf_counter() - began < 5
+    assert warc.plain_text("a <b>c</b> < d <p e") == "a c < d <p e"
+    assert warc.plain_text("x<script>y</script>z<!-- u -->v<style>w") == "xzv"
+
+
 def test_warc_records(spark, tables):
     pages = spark.read.parquet(f"{tables}/pages.parquet")
     responses = warc.responses_of(pages)
