@@ -1,14 +1,18 @@
 """Personal data: base patterns, and a skip-chain conditional random field that labels what the patterns miss.
 
-The field's nodes are a document's tokens that hold a digit or an at sign; all others can't be labelled. Adjacent
-nodes share a potential, and so do distant tokens that repeat or resemble each other (the same digits, or the same
-last seven digits, or the same characters), each with the one before it. Nodes inside base spans are observed. Damped
-loopy sum-product passes messages over the whole document, however far apart its tokens are."""
+The field's nodes are a document's tokens that hold a digit or an at sign; all others can't be labelled (names, say, as
+nothing here tells them from other words). Adjacent nodes share a potential, and so do distant tokens that repeat or
+resemble each other (the same digits, or the same last seven digits, or the same characters), each with the first
+observed one, or else the first. Nodes inside base spans are observed, and so are values that follow a credential's
+name (secrets, a kind that the field adds). Damped loopy sum-product passes messages over the whole document, however
+far apart its tokens are, until they settle. Unary and pair weights are fitted together, by pseudo-likelihood over the
+sample's graphs; each node is learnt twice, as it is and as if its shape were unknown, so that the pair weights learn
+what neighbours tell by themselves."""
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,11 +24,16 @@ from pyspark.sql import functions as F
 
 from fringeflow.llm.common import table, text_of
 
+#: The contract's kinds, and all.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("other", *ALL_KINDS)
 #: Documents of the sample that the field is fitted on, those with the least hashes of doc_id.
 SAMPLE_DOCS = 2000
-ROUNDS, DAMPING, SURE = 12, 0.5, 0.9
+#: Messages are passed until none changes by more than SETTLED, ROUNDS times at most.
+ROUNDS, DAMPING, SETTLED, SURE = 200, 0.5, 1e-4, 0.9
+#: In a pseudo-likelihood example, so many neighbours of one label count at most.
+NEIGHBOURS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +42,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Names of credentials, before a sign of assignment.
+_NAMED = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?[\"']?[\x20\t]{0,4}[=:][\x20\t]{0,4}[\"']?([A-Za-z0-9+/_.~=-]{16,})", re.I)
 _TRIM = ".,;:!?\"'"
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -90,6 +101,15 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     return sorted(found), near
 
 
+def secrets(text: str) -> list[Span]:
+    """Values of 16 characters or more, with a letter and a digit, that are assigned to a credential's name."""
+    found = [m.span(1) for m in _NAMED.finditer(text)]
+    return [(a, KINDS_AT["secret"], b) for a, b in found if any(x.isdigit() for x in text[a:b]) and any(x.isalpha() for x in text[a:b])]
+
+
+KINDS_AT = {kind: k for k, kind in enumerate(ALL_KINDS)}
+
+
 @dataclass(frozen=True)
 class Node:
     start: int
@@ -104,10 +124,10 @@ def _bucket(n: int, ends: tuple[int, ...]) -> int:
 
 
 #: Features are groups of one-hot values; their sizes.
-GROUPS = (10, 2, 6, 2, 2, 2, 3, 5, 4, 4)
+GROUPS = (10, 2, 6, 2, 2, 2, 3, 5, 2, 4, 4)
 
 
-def _features(token: str) -> tuple[int, ...]:
+def _features(token: str, before: str) -> tuple[int, ...]:
     digits = sum(x.isdigit() for x in token)
     letters = sum(x.isalpha() for x in token)
     return (
@@ -119,6 +139,7 @@ def _features(token: str) -> tuple[int, ...]:
         int("-" in token),
         0 if not letters else 1 if digits + letters == len(token) else 2,
         _bucket(len(token), (4, 8, 16, 24)),
+        int("=" in before or ":" in before),
     )
 
 
@@ -142,7 +163,7 @@ def nodes(text: str) -> list[Node]:
         keys = [token.lower()]
         if len(digits) >= 7:
             keys += ["=" + digits, "~" + digits[-7:]]
-        found.append(Node(a, b, index, _features(token), tuple(dict.fromkeys(keys))))
+        found.append(Node(a, b, index, _features(token, text[max(0, a - 3) : a]), tuple(dict.fromkeys(keys))))
         before = at = end
     context = [(f.features[0] if f else 0) for f in [None, *found, None]]
     near = lambda k, d: 0 <= k + d < len(found) and found[k + d].index - found[k].index == d
@@ -150,35 +171,48 @@ def nodes(text: str) -> list[Node]:
     return [Node(n.start, n.end, n.index, (*n.features, side(k, -1), side(k, 1)), n.keys) for k, n in enumerate(found)]
 
 
-def edges(found: list[Node]) -> list[tuple[int, int, int]]:
-    """(node, node, 0 for neighbours or 1 for a skip): each token is tied to the last one before it that shares a key."""
+def edges(found: list[Node], labels: list[int]) -> list[tuple[int, int, int]]:
+    """(node, node, 0 for neighbours or 1 for a skip): each token is tied to the first observed token that shares a key, or else the
+    first, so a label is one edge away from all repeats. labels: by observed()."""
     out = [(k, k + 1, 0) for k in range(len(found) - 1) if found[k + 1].index == found[k].index + 1]
-    last: dict[str, int] = {}
+    hubs: dict[str, int] = {}
     for k, node in enumerate(found):
-        for j in sorted({last[x] for x in node.keys if x in last}):
-            out.append((j, k, 1))
-        last |= dict.fromkeys(node.keys, k)
-    return out
+        for key in node.keys:
+            if key not in hubs or (labels[hubs[key]] <= 0 < labels[k]):
+                hubs[key] = k
+    for k, node in enumerate(found):
+        out += [(min(j, k), max(j, k), 1) for j in sorted({hubs[key] for key in node.keys}) if j != k]
+    return sorted(set(out))
 
 
 def observed(found: list[Node], spans: list[Span], near: list[tuple[int, int]]) -> list[int]:
-    """Each node's label by the base spans: 0 if it touches none, -1 if unknown because it looks like one that fails its check."""
-    out, marks = [], sorted([(a, b, k) for a, k, b in spans] + [(a, b, -2) for a, b in near])
+    """Each node's label by the spans: 0 if it touches none, -1 if unknown because it looks like one that fails its check.
+
+    Spans of one kind don't overlap, so those that touch a node lie between two bounds of the kind's list; near misses
+    may overlap each other, and are put together where they do."""
+    kinds: dict[int, tuple[list[int], list[int]]] = {}
+    for a, k, b in sorted(spans):
+        kinds.setdefault(k, ([], []))[0].append(a)
+        kinds[k][1].append(b)
+    starts, ends = kinds[-1] = ([], [])
+    for a, b in sorted(near):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
     for node in found:
-        kinds = [k for a, b, k in marks if a < node.end and node.start < b] if len(marks) < 64 else [k for a, b, k in _around(marks, node) if a < node.end and node.start < b]
-        sure = [k for k in kinds if k >= 0]
-        out.append(sure[0] + 1 if sure else -1 if kinds else 0)
+        touching = []
+        for k, (starts, ends) in kinds.items():
+            at = bisect_right(ends, node.start)
+            if at < len(starts) and starts[at] < node.end:
+                touching.append((starts[at], k))
+        sure = sorted(x for x in touching if x[1] >= 0)
+        out.append(sure[0][1] + 1 if sure else -1 if touching else 0)
     return out
 
 
-def _around(marks: list[tuple[int, int, int]], node: Node) -> list[tuple[int, int, int]]:
-    """The marks near the node's place; spans of a kind don't overlap, so few of them can reach it."""
-    from bisect import bisect_left
-
-    at = bisect_left(marks, (node.end,))
-    return marks[max(0, at - 16) : at]
-
-
 @dataclass
 class Field:
     """unary: feature weights (features x labels); pair: label x label potentials of neighbours and of skips."""
@@ -207,40 +241,65 @@ class Field:
             arriving = held[source] - sent[back]
             fresh = np.logaddexp.reduce(arriving[:, :, None] + power, axis=1)
             fresh -= np.logaddexp.reduce(fresh, axis=1, keepdims=True)
+            moved = np.abs(fresh - sent).max()
             sent = DAMPING * sent + (1 - DAMPING) * fresh
+            if moved < SETTLED:
+                break
         held = own.copy()
         np.add.at(held, target, sent)
         return np.exp(held - np.logaddexp.reduce(held, axis=1, keepdims=True))
 
 
-def fit(counts: Counter, pairs: Counter) -> Field:
-    """counts: (features, label) of nodes whose label is known; pairs: (kind of edge, label, label). Softmax regression by
-    Newton-free gradient steps for the unary weights; log odds of agreement, smoothed and bounded, for the potentials."""
+Example = tuple[tuple[int, ...], int, tuple[int, ...]]  # features, label, neighbours' labels by kind of edge
+
+
+def fit(examples: Counter) -> Field:
+    """Softmax regression by gradient steps with momentum: the score of a label is the sum of the unary weights of a node's features and
+    the pair weights of its neighbours' labels. The pair weights are kept symmetric."""
+    n_labels, n_unary = len(LABELS), sum(GROUPS)
     offsets = np.concatenate([[0], np.cumsum(GROUPS)[:-1]])
-    unary = np.zeros((sum(GROUPS), len(LABELS)))
-    if counts:
-        keys = sorted(counts)
-        x = np.zeros((len(keys), sum(GROUPS)))
-        for i, (features, _) in enumerate(keys):
+    weights = np.zeros((n_unary + 2 * n_labels + 1, n_labels))
+    if examples:
+        keys = sorted(examples)
+        x = np.zeros((2 * len(keys), len(weights)))
+        for i, (features, _, around) in enumerate(keys):
             x[i, np.array(features) + offsets] = 1
-        y, n = np.eye(len(LABELS))[[label for _, label in keys]], np.sqrt(np.array([counts[k] for k in keys], dtype=float))
+            x[i, n_unary:-1] = x[len(keys) + i, n_unary:-1] = around
+            x[len(keys) + i, -1] = 1  # the shape is unknown: a constant stands for it
+        y = np.tile(np.eye(n_labels)[[label for _, label, _ in keys]], (2, 1))
+        n = np.tile(np.sqrt(np.array([examples[k] for k in keys], dtype=float)), 2)
         n /= n.sum()
-        speed = np.zeros_like(unary)
-        for _ in range(600):
-            score = x @ unary
+        speed = np.zeros_like(weights)
+        for _ in range(800):
+            score = x @ weights
             p = np.exp(score - np.logaddexp.reduce(score, axis=1, keepdims=True))
-            speed = 0.9 * speed - 0.5 * (x.T @ ((p - y) * n[:, None]) + 1e-4 * unary)
-            unary += speed
+            speed = 0.9 * speed - 0.5 * (x.T @ ((p - y) * n[:, None]) + 1e-4 * weights)
+            weights += speed
+            for k in (0, 1):
+                block = weights[n_unary + k * n_labels : n_unary + (k + 1) * n_labels]
+                block[:] = (block + block.T) / 2
     else:
-        unary[:, 0] = 1.0
-    pair = np.zeros((2, len(LABELS), len(LABELS)))
-    for kind in (0, 1):
-        same = sum(v for (k, a, b), v in pairs.items() if k == kind and a == b)
-        apart = sum(v for (k, a, b), v in pairs.items() if k == kind and a != b)
-        bonus = math.log((same + 4) / (apart + 1))
-        # A skip ties equal or similar tokens, so it weighs at least 1; neighbours are tied more loosely.
-        pair[kind] = np.eye(len(LABELS)) * (min(3.0, max(1.0, bonus)) if kind else min(1.0, max(0.0, bonus / 4)))
-    return Field(unary, pair)
+        weights[:n_unary, 0] = 1.0
+    return Field(weights[:n_unary], weights[n_unary:-1].reshape(2, n_labels, n_labels))
+
+
+def examples_of(text: str) -> Counter:
+    """The pseudo-likelihood examples of a text's graph: nodes with a known label, and the known labels of their neighbours. A token
+    that resembles an observed one but isn't observed itself is no example of anything: its label isn't known."""
+    found = nodes(text)
+    if not found:
+        return Counter()
+    spans, near = base_spans(text)
+    labels = observed(found, spans + secrets(text), near)
+    named = {key for node, label in zip(found, labels, strict=True) if label > 0 for key in node.keys}
+    labels = [-1 if label == 0 and named.intersection(node.keys) else label for node, label in zip(found, labels, strict=True)]
+    around = np.zeros((len(found), 2, len(LABELS)), dtype=int)
+    for a, b, kind in edges(found, labels):
+        for one, other in ((a, b), (b, a)):
+            if labels[other] >= 0:
+                around[one, kind, labels[other]] += 1
+    around = np.minimum(around, NEIGHBOURS).reshape(len(found), -1)
+    return Counter((node.features, label, tuple(map(int, row))) for node, label, row in zip(found, labels, around, strict=True) if label >= 0)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +307,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: Counter = Counter()
         for text in batch.column("body").to_pylist():
-            if found := nodes(text):
-                labels = observed(found, *base_spans(text))
-                total.update(f"n {label} {' '.join(map(str, node.features))}" for node, label in zip(found, labels, strict=True) if label >= 0)
-                total.update(f"e {kind} {labels[a]} {labels[b]}" for a, b, kind in edges(found) if labels[a] >= 0 and labels[b] >= 0 and labels[a] + labels[b] > 0)
+            total.update(examples_of(text))
         keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["example", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, (k[1], *k[0], *k[2]))) for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["example", "n"])
 
 
 def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
@@ -261,27 +317,24 @@ def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_
     ids = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(doc_id).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body"))
     rows = body.join(F.broadcast(ids.distinct()), "id", "left_semi").select("body").mapInArrow(_examples, "example string, n bigint").groupBy("example").agg(F.sum("n").alias("n")).collect()
-    counts, pairs = Counter(), Counter()
+    examples: Counter = Counter()
     for row in rows:
-        kind, *values = row["example"].split(" ")
-        values = tuple(map(int, values))
-        if kind == "n":
-            counts[(values[1:], values[0])] += row["n"]
-        else:
-            pairs[values] += row["n"]
-    return fit(counts, pairs)
+        values = tuple(map(int, row["example"].split(" ")))
+        examples[(values[1 : 1 + len(GROUPS)], values[0], values[1 + len(GROUPS) :])] += row["n"]
+    return fit(examples)
 
 
 def added_spans(texts: list[str], field: Field, based: list[tuple[list[Span], list[tuple[int, int]]]]) -> list[list[Span]]:
-    """For each text the spans that the field adds: tokens outside base spans with a label of SURE or more, neighbours of one label joined."""
+    """For each text the spans that the field adds: tokens outside the given spans with a label of SURE or more, neighbours of one
+    label joined. based: for each text the observed spans and the near misses."""
     graphs = [nodes(text) for text in texts]
     labels = [observed(found, *base) for found, base in zip(graphs, based, strict=True)]
     features = np.array([n.features for found in graphs for n in found], dtype=np.int64).reshape(-1, len(GROUPS))
     if not len(features):
         return [[] for _ in texts]
     links, start = [], 0
-    for found in graphs:
-        links += [(a + start, b + start, kind) for a, b, kind in edges(found)]
+    for found, known in zip(graphs, labels, strict=True):
+        links += [(a + start, b + start, kind) for a, b, kind in edges(found, known)]
         start += len(found)
     flat = np.array([max(0, x) for one in labels for x in one])
     belief = field.marginals(features, flat, np.array(links, dtype=np.int64).reshape(-1, 3))
@@ -304,7 +357,7 @@ def added_spans(texts: list[str], field: Field, based: list[tuple[list[Span], li
 
 
 def written(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def _found(field: Field):
@@ -316,26 +369,33 @@ def _found(field: Field):
                 # A text without a digit or an at sign has neither base spans nor nodes.
                 some = [i for i, text in enumerate(texts) if _SIGN.search(text)]
                 based = [base_spans(texts[i]) for i in some]
-                more = added_spans([texts[i] for i in some], field, based)
+                named = [secrets(texts[i]) for i in some]
+                more = added_spans([texts[i] for i in some], field, [(own + values, near) for (own, near), values in zip(based, named, strict=True)])
                 base: list[list[Span]] = [[] for _ in texts]
                 every = [list(x) for x in base]
-                for i, (own, _), extra in zip(some, based, more, strict=True):
-                    base[i], every[i] = own, sorted(own + extra)
+                n_secret, n_added = [0] * len(texts), [0] * len(texts)
+                for i, (own, _), values, extra in zip(some, based, named, more, strict=True):
+                    base[i], every[i] = own, sorted(own + values + extra)
+                    n_secret[i], n_added[i] = sum(ALL_KINDS[s[1]] == "secret" for s in every[i]), len(extra)
                 counts = [pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64()) for k in range(len(KINDS))]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), *counts, pa.array(map(written, base), pa.string()), pa.array(map(written, every), pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id"), *counts, pa.array(map(written, base), pa.string()), pa.array(map(written, every), pa.string()), pa.array(n_secret, pa.int64()), pa.array(n_added, pa.int64())],
+                    ["id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_secret", "n_added"],
+                )
 
     return run
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined, by start and kind; code points).
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined, by start and kind; code points),
+    n_secret (of all spans) and n_added (spans that only the field found).
 
     A null or empty text has no spans. Each row is searched by itself, so repeated rows agree, and a row without
     doc_id is searched too. The field is fitted on a bounded sample unless one is given."""
     field = field or trained(docs, doc_id, text)
     body = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body"))
     kind = body.schema["id"].dataType.simpleString()
-    return body.mapInArrow(_found(field), f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string").withColumnRenamed("id", doc_id)
+    return body.mapInArrow(_found(field), f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, n_secret bigint, n_added bigint").withColumnRenamed("id", doc_id)
 
 
 def masked(text: str, spans: str) -> str:
@@ -350,5 +410,6 @@ def masked(text: str, spans: str) -> str:
 
 
 def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of all documents; see find for nulls and repeated rows."""
     found = find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_added", (F.size(F.filter(F.split("spans", ","), lambda x: x != ""))).cast("long").alias("n_spans"))
