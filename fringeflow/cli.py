@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="fringeflow", description=__doc__)
@@ -18,13 +16,16 @@ def parser() -> argparse.ArgumentParser:
     config.add_argument("--work-directory", default=".")
     config.add_argument("--out", default="fringeflow.yaml")
     unwrap = sub.add_parser("unwrap", help="unwrap images of phase and correlation (scene, ref_t, sec_t, row, col)")
-    series = sub.add_parser("timeseries", help="invert unwrapped phases (scene, ref_t, sec_t, row, col, phase), least squares")
+    series = sub.add_parser("timeseries", help="invert unwrapped phases (scene, ref_t, sec_t, row, col, phase, and a weight)")
     filt = sub.add_parser("filter", help="remove long wavelengths from images (scene, t, row, col, phase)")
     geocode = sub.add_parser("geocode", help="bring images (scene, row, col, value) to a lon/lat grid")
     for one in (unwrap, series, filt, geocode):
         one.add_argument("input")
         one.add_argument("output")
     unwrap.add_argument("--method", default="least_squares")
+    series.add_argument("--method", choices=("L1", "L2"), default="L2")
+    series.add_argument("--weight", help="a column to weight L2 by")
+    series.add_argument("--censored", action="store_true", help="L2 over the interferograms that a pixel has a phase in")
     filt.add_argument("--cutoff", type=float, default=25_000)
     filt.add_argument("--spacing", type=float, required=True)
     geocode.add_argument("--locations", required=True, help="row, col, lon, lat")
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "config":
         Workflow(work_directory=args.work_directory, inputs=InputOptions(stack=args.stack, dates=args.dates)).to_yaml(args.out)
         return 0
-    from fringeflow.operators import geometry, images, timeseries
+    from fringeflow.operators import geometry, images
     from fringeflow.plans import workflow
     from fringeflow.session import get_session
 
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         out = images.unwrapped_images(rows, ["scene", "ref_t", "sec_t"], args.method)
     elif args.command == "timeseries":
         edges = rows.select("scene", "ref_t", "sec_t").distinct()
-        out = timeseries.invert_l2(rows, timeseries.inverse_of(edges), edges.groupBy("scene").agg(F.count("*").alias("n")))
+        out = workflow.inverted(rows, edges, args.method, args.weight, args.censored)
     elif args.command == "filter":
         out = workflow.filtered(rows, ["scene", "t"], args.cutoff, args.spacing)
     else:

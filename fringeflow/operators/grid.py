@@ -126,6 +126,18 @@ def strided_blocks(shape: tuple[int, int], block: tuple[int, int], strides: Offs
     return plans
 
 
+def in_cores(pixels: DataFrame, plans: list[dict[str, tuple[int, int, int, int]]]) -> DataFrame:
+    """The pixels inside the cores of strided_blocks, with block, the plan's place. A pixel's block follows from its row and column, as
+    cores lie on a grid: an equi-join with a row for each plan."""
+    starts = [sorted({p["core"][k] for p in plans}) for k in (0, 2)]
+    sizes = [max(p["core"][k + 1] - p["core"][k] for p in plans) for k in (0, 2)]
+    cores = [(k, starts[0].index(p["core"][0]), starts[1].index(p["core"][2]), p["core"][1], p["core"][3]) for k, p in enumerate(plans)]
+    frame = pixels.sparkSession.createDataFrame(cores, "block int, __r int, __c int, __r1 int, __c1 int")
+    at = [F.floor((F.col(c) - s[0]) / n).cast("int").alias(f"__{c[0]}") for c, s, n in zip(("row", "col"), starts, sizes, strict=True)]
+    dealt = pixels.select("*", *at).join(frame, ["__r", "__c"])
+    return dealt.filter((F.col("row") < F.col("__r1")) & (F.col("col") < F.col("__c1"))).drop("__r", "__c", "__r1", "__c1")
+
+
 def tile_map(pixels: DataFrame, fn: Callable, schema: str, tile: tuple[int, int], halo: tuple[int, int], keys: list[str]) -> DataFrame:
     """fn(pandas frame of a tile with its halo) for each tile, trimmed to the tile's own pixels.
 

@@ -57,9 +57,9 @@ def _nearest_within(gaps: DataFrame, points: DataFrame, keys: list[str], value:
     return near.groupBy(*keys, "row", "col").agg(F.min_by("v", F.struct(distance, "r", "c")).alias(value))
 
 
-def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int = 8, rings: int = 2) -> DataFrame:
+def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int = 8, rings: int = 2, reach: int | None = None) -> DataFrame:
     """keys, row, col, value of the nearest point, however far; among equals the first in row-major order. A gap without
-    any point of its keys isn't returned.
+    any point of its keys isn't returned. With reach, gaps that are farther from every point needn't be.
 
     Gaps look rings * bucket pixels far, and those that find nothing twice as far in the next round; the rounds grow
     with the logarithm of the widest gap. Only the outline of the points takes part."""
@@ -70,7 +70,7 @@ def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: st
         near = materialise(_nearest_within(left, outline, keys, value, bucket, rings), "nearest", keep=True)
         found = near if found is None else found.unionByName(near)
         left = materialise(left.join(near, [*keys, "row", "col"], "left_anti"), "gaps", keep=True)
-        if left.isEmpty():
+        if left.isEmpty() or (reach is not None and rings * bucket >= reach):
             return found
         bucket *= 2
 

@@ -1,12 +1,15 @@
 """Phase linking: eigen-solvers, the estimator over coherence matrices, its lower bound and the pixel pipeline.
 
-Kernels are NumPy over whole Arrow batches of pixels; frames carry a pixel's matrix as arrays of its rows."""
+Kernels are NumPy over whole Arrow batches of pixels; frames carry a pixel's matrix as flat arrays of its pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,42 +135,60 @@ def temporal_coherence(c: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.abs(np.nan_to_num(off).mean(axis=1)) if len(i) else np.zeros(len(c))
 
 
-def matrix_vectors(matrix: DataFrame) -> DataFrame:
-    """PIXEL, cells: array of (i, j, re, im) of a long coherence matrix (i < j)."""
-    return matrix.groupBy("scene", "row", "col").agg(F.sort_array(F.collect_list(F.struct("i", "j", "re", "im"))).alias("cells"))
+def dense_matrices(dates: pa.ListArray, re: pa.ListArray, im: pa.ListArray, n: int) -> np.ndarray:
+    """Hermitian matrices (pixels x n x n, unit diagonal) from the flat arrays of packed matrices over dates 0 .. n - 1; missing pairs
+    are 0. Pixels with the same dates, mostly all, are filled at once."""
+    out = np.tile(np.eye(n, dtype=complex), (len(dates), 1, 1))
+    flat = np.nan_to_num(re.flatten().to_numpy()) + 1j * np.nan_to_num(im.flatten().to_numpy())
+    sizes, starts = dates.value_lengths().to_numpy(), np.concatenate([[0], np.cumsum(re.value_lengths().to_numpy())])
+    axes, at = dates.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+    patterns: dict[bytes, list[int]] = {}
+    for p in range(len(dates)):
+        patterns.setdefault(axes[at[p] : at[p + 1]].tobytes(), []).append(p)
+    for key, members in patterns.items():
+        axis, which = np.frombuffer(key, dtype=axes.dtype), np.array(members)
+        a, b = np.triu_indices(len(axis), 1)
+        values = flat[starts[which][:, None] + np.arange(len(a))]
+        out[which[:, None], axis[a], axis[b]] = values
+        out[which[:, None], axis[b], axis[a]] = values.conj()
+    return out
 
 
-def _dense(cells, n: int) -> np.ndarray:
-    out = np.tile(np.eye(n, dtype=complex), (len(cells), 1, 1))
-    for p, one in enumerate(cells):
-        for x in one:
-            out[p, x["i"], x["j"]] = x["re"] + 1j * x["im"]
-            out[p, x["j"], x["i"]] = x["re"] - 1j * x["im"]
-    return out
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1)))
 
 
-SCHEMA = "scene int, row int, col int, phases array<double>, temp_coh double, eigenvalue double, estimator int, crlb array<double>"
+def closures(c: np.ndarray) -> np.ndarray:
+    """Of each matrix the closure phases of dates (k, k + 1, k + 2)."""
+    k = np.arange(max(0, c.shape[1] - 2))
+    return np.angle(c[:, k, k + 1] * c[:, k + 1, k + 2] * c[:, k, k + 2].conj())
 
 
-def linked_pixels(matrix: DataFrame, n_dates: int, looks: float, **options) -> DataFrame:
-    """scene, row, col, phases (by date), temp_coh, eigenvalue, estimator and crlb of each pixel's long coherence matrix over dates 0 .. n - 1. Missing pairs count as 0."""
+SCHEMA = "row int, col int, phases array<double>, temp_coh double, eigenvalue double, estimator int, crlb array<double>, closures array<double>"
 
-    def run(frames):
-        import pandas as pd
 
-        for frame in frames:
-            if len(frame):
-                c = _dense(frame["cells"], n_dates)
+def linked_pixels(packed: DataFrame, n_dates: int, looks: float, lag: int | None = None, **options) -> DataFrame:
+    """scene, row, col, phases (by date), temp_coh, eigenvalue, estimator, crlb and closures of each pixel's packed coherence matrix
+    over dates 0 .. n - 1. Missing pairs count as 0, and so do those of dates `lag` or more apart."""
+    scene = packed.schema["scene"].dataType.simpleString()
+
+    def run(batches):
+        far = None if lag is None else np.abs(np.subtract.outer(np.arange(n_dates), np.arange(n_dates))) >= lag
+        for batch in batches:
+            # A few hundred pixels at a time bound the matrices in memory.
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                c = dense_matrices(*(piece.column(x) for x in ("dates", "re", "im")), n_dates)
+                if far is not None:
+                    c[:, far] = 0
                 done = link(c, looks=looks, **options)
-                yield pd.DataFrame(
-                    {
-                        "scene": frame["scene"], "row": frame["row"], "col": frame["col"], "phases": list(np.angle(done.vectors)),
-                        "temp_coh": temporal_coherence(c, done.vectors), "eigenvalue": done.eigenvalues, "estimator": done.estimator,
-                        "crlb": list(done.bound) if done.bound is not None else [None] * len(frame),
-                    }
+                bound = pa.nulls(len(c), pa.list_(pa.float64())) if done.bound is None else _lists(done.bound)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("scene"), piece.column("row"), piece.column("col"), _lists(np.angle(done.vectors)), pa.array(temporal_coherence(c, done.vectors)), pa.array(done.eigenvalues), pa.array(done.estimator.astype(np.int32)), bound, _lists(closures(c))],
+                    ["scene", "row", "col", "phases", "temp_coh", "eigenvalue", "estimator", "crlb", "closures"],
                 )
 
-    return matrix_vectors(matrix).mapInPandas(run, SCHEMA)
+    return packed.select("scene", "row", "col", "dates", "re", "im").mapInArrow(run, f"scene {scene}, {SCHEMA}")
 
 
 def phases_long(linked: DataFrame) -> DataFrame:
@@ -175,16 +196,83 @@ def phases_long(linked: DataFrame) -> DataFrame:
 
 
 def run_phase_linking(stack: DataFrame, n_dates: int, half_window: tuple[int, int], strides: tuple[int, int] = (1, 1), edges: DataFrame | None = None, lag: int | None = None, **options) -> DataFrame:
-    """Window coherence, optional lag mask, and linking; pixels with any missing date are nodata and left out first."""
-    from fringeflow.operators.coherence import coherence_matrix, lagged
+    """Window coherence, optional lag mask, and linking; pixels with any missing date are nodata and left out first. edges: see
+    packed_matrix; their row and col are output pixels."""
+    from fringeflow.operators.coherence import packed_matrix
     from fringeflow.operators.grid import rectangle
     from fringeflow.operators.masks import complete_in_time
 
     keys = ["scene", "row", "col"]
     whole = complete_in_time(stack, n_dates, keys).filter("valid").select(*keys)
-    matrix = coherence_matrix(stack.join(whole, keys, "left_semi"), rectangle(*half_window), strides, edges=edges)
-    matrix = lagged(matrix, lag) if lag else matrix
-    return linked_pixels(matrix, n_dates, float(np.sqrt((2 * half_window[0] + 1) * (2 * half_window[1] + 1))), **options)
+    packed = packed_matrix(stack.join(whole, keys, "left_semi"), rectangle(*half_window), strides, edges)
+    return linked_pixels(packed, n_dates, float(np.sqrt((2 * half_window[0] + 1) * (2 * half_window[1] + 1))), lag, **options)
+
+
+@dataclass(frozen=True)
+class LinkOptions:
+    """How a stack is linked, in one batch or many. shp_dates: how many dates the amplitude statistics stand for, by default those of
+    the linked stack. fill_ps: "max" takes the phase of a look's brightest scatterer, "avg" that of their sum, None
+    leaves scatterers as they are. slc_amplitude: the amplitude of the look's middle pixel in place of 1."""
+
+    half_window: tuple[int, int] = (7, 14)
+    strides: tuple[int, int] = (1, 1)
+    shp_method: str = "rect"
+    shp_alpha: float = 0.001
+    shp_dates: int | None = None
+    lag: int | None = None
+    use_evd: bool = False
+    beta: float = 0.0
+    zero_threshold: float = 0.0
+    mask_input_ps: bool = False
+    fill_ps: str | None = "max"
+    slc_amplitude: bool = False
+    with_bound: bool = True
+
+
+class LinkedStack(NamedTuple):
+    """dates: scene, row, col, t, re, im, temp_coh; pixels: the arrays that linked_pixels returns."""
+
+    dates: DataFrame
+    pixels: DataFrame
+
+
+def link_stack(stack: DataFrame, n_dates: int, options: LinkOptions, stats: DataFrame | None = None, reference: int = 0, first_real: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None) -> LinkedStack:
+    """All of phase linking for dates 0 .. n - 1 of a stack: similar pixels, coherence, linking, scatterers filled in, amplitude.
+
+    stats: scene, row, col, mean, dispersion, ps of the amplitude; needed for glrt, and for scatterers to be masked or
+    filled; ks takes amplitudes from first_real on. keep: writes the linked pixels and reads them again, so that
+    what is made from them doesn't link anew. A look whose
+    pixels all miss a date isn't returned; one without similar pixels has a temp_coh of 0 and phases of 0, unless
+    a scatterer fills it."""
+    from fringeflow.operators import ps, shp
+    from fringeflow.operators.masks import complete_in_time
+
+    keys, (sy, sx) = ["scene", "row", "col"], options.strides
+    whole = complete_in_time(stack, n_dates, keys).filter("valid").select(*keys)
+    stack = stack.join(whole, keys, "left_semi")
+    used = stack.join(stats.filter("ps").select(*keys), keys, "left_anti") if options.mask_input_ps and stats is not None else stack
+    edges = None
+    if options.shp_method != "rect":
+        real = stack.filter(F.col("t") >= first_real)
+        var = None if stats is None else stats.select(*keys, "mean", ((F.col("dispersion") * F.col("mean")) ** 2).alias("var"))
+        edges = shp.estimate(options.shp_method, options.half_window, var, real, options.shp_dates or n_dates - first_real, options.shp_alpha, options.strides)
+    pixels = run_phase_linking(
+        used, n_dates, options.half_window, options.strides, edges, options.lag,
+        use_evd=options.use_evd, beta=options.beta, zero_threshold=options.zero_threshold, reference=reference, first_real=first_real, with_bound=options.with_bound,
+    )
+    pixels = pixels if keep is None else keep(pixels)
+    looks = whole.select("scene", F.floor(F.col("row") / sy).cast("int").alias("row"), F.floor(F.col("col") / sx).cast("int").alias("col")).distinct()
+    phases = F.coalesce("phases", F.array_repeat(F.lit(0.0), n_dates))
+    every = looks.join(pixels.select(*keys, "phases", "temp_coh"), keys, "left").select(*keys, F.coalesce("temp_coh", F.lit(0.0)).alias("temp_coh"), F.posexplode(phases).alias("t", "phase"))
+    dates = every.select("scene", "t", "row", "col", F.cos("phase").alias("re"), F.sin("phase").alias("im"), "temp_coh")
+    if options.fill_ps and stats is not None:
+        dates = ps.filled(dates, stack, stats, sy, sx, None, reference, options.fill_ps)
+    if options.slc_amplitude:
+        middle = [(F.col(c) - (s // 2 if s > 1 else 0)) for c, s in (("row", sy), ("col", sx))]
+        own = stack.filter((F.pmod(middle[0], F.lit(sy)) == 0) & (F.pmod(middle[1], F.lit(sx)) == 0))
+        size = own.select("scene", "t", F.floor(middle[0] / sy).cast("int").alias("row"), F.floor(middle[1] / sx).cast("int").alias("col"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("size"))
+        dates = dates.join(size, ["scene", "t", "row", "col"], "left").withColumns({c: F.col(c) * F.col("size") for c in ("re", "im")}).drop("size")
+    return LinkedStack(dates.select(*keys, "t", "re", "im", "temp_coh"), pixels)
 
 
 def stack_covariance(stack: np.ndarray, half_window: tuple[int, int], strides: tuple[int, int] = (1, 1)) -> np.ndarray:

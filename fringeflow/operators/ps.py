@@ -43,15 +43,17 @@ def looked(stats: DataFrame, row_looks: int, col_looks: int, keys: list[str], sh
     return take_looks(stats, row_looks, col_looks, {"ps": "any", "dispersion": "min"}, keys, shape)
 
 
-def brightest(stats: DataFrame, row_looks: int, col_looks: int, keys: list[str], shape: tuple[int, int]) -> DataFrame:
-    """The brightest pixel of each full block, the first in row-major order among equals: row, col (of the block), ps_row, ps_col."""
-    inside = stats.filter((F.col("row") < shape[0] // row_looks * row_looks) & (F.col("col") < shape[1] // col_looks * col_looks) & F.col("mean").isNotNull())
+def brightest(stats: DataFrame, row_looks: int, col_looks: int, keys: list[str], shape: tuple[int, int] | None = None) -> DataFrame:
+    """The brightest pixel of each block (with a shape, of each full one), the first in row-major order among equals: row, col (of the block), ps_row, ps_col."""
+    inside = stats.filter(F.col("mean").isNotNull())
+    if shape:
+        inside = inside.filter((F.col("row") < shape[0] // row_looks * row_looks) & (F.col("col") < shape[1] // col_looks * col_looks))
     block = inside.select(*keys, F.floor(F.col("row") / row_looks).cast("int").alias("r"), F.floor(F.col("col") / col_looks).cast("int").alias("c"), F.struct("mean", -F.col("row"), -F.col("col")).alias("rank"), F.struct("row", "col").alias("at"))
     best = block.groupBy(*keys, "r", "c").agg(F.max_by("at", "rank").alias("at"))
     return best.select(*keys, F.col("r").alias("row"), F.col("c").alias("col"), F.col("at.row").alias("ps_row"), F.col("at.col").alias("ps_col"))
 
 
-def filled(linked: DataFrame, stack: DataFrame, stats: DataFrame, row_looks: int, col_looks: int, shape: tuple[int, int], reference: int = 0, mode: str = "max") -> DataFrame:
+def filled(linked: DataFrame, stack: DataFrame, stats: DataFrame, row_looks: int, col_looks: int, shape: tuple[int, int] | None = None, reference: int = 0, mode: str = "max") -> DataFrame:
     """Linked phases (scene, t, row, col, re, im, temp_coh) with the look's PS phase where the look holds a PS.
 
     "max": the brightest PS's phase, "avg": the phase of the sum of the PS; both referenced to date `reference`. The

@@ -117,8 +117,12 @@ def coh_sql(source: str = "slc", centre: str = 'SELECT DISTINCT scene, "row", co
 COH_SELECT = f"SELECT {PX}, i, j, {r('re')}, {r('im')} FROM coh"
 
 
+def packed(spark, sf_dir):
+    return coherence.packed_matrix(slc(spark, sf_dir), WIN)
+
+
 def matrix(spark, sf_dir):
-    return coherence.coherence_matrix(slc(spark, sf_dir), WIN)
+    return coherence.unpacked(packed(spark, sf_dir))
 
 
 @query("a8_coherence", with_("slc", COH_SELECT, offsets(WIN), coh_sql()))
@@ -144,6 +148,15 @@ def a10(spark, sf_dir):
     return _out(timeseries.temporal_average(amplitude(spark, sf_dir), "value", "median"), "value")
 
 
+@query("ud2_axis_reducer", with_("slc amp", f"SELECT {PX}, {r('max(a)', 'value')} FROM amp GROUP BY ALL"))
+def ud2(spark, sf_dir):
+    """Another reducer along time, by name."""
+    return _out(timeseries.temporal_average(amplitude(spark, sf_dir), "value", "max"), "value")
+
+
+_looks("ud4_looks_by_name", "nanmedian", "median(a)")
+
+
 @query("a11_average_nonzero", with_("slc amp", f"SELECT {PX}, {r('avg(nullif(CASE WHEN a < 30 THEN 0 ELSE a END, 0))', 'value')} FROM amp GROUP BY ALL"))
 def a11(spark, sf_dir):
     rows = amplitude(spark, sf_dir).withColumn("value", F.when(F.col("value") < 30, F.lit(0.0)).otherwise(F.col("value")))
@@ -184,12 +197,12 @@ def linked_phases(spark, sf_dir):
 
 @query("a16_temp_coh", with_("slc amp", _temp_coh("1.0"), _PHASES, offsets(WIN), coh_sql()))
 def a16(spark, sf_dir):
-    return _out(coherence.temporal_coherence(matrix(spark, sf_dir), linked_phases(spark, sf_dir)), "temp_coh")
+    return _out(coherence.temporal_coherence(packed(spark, sf_dir), linked_phases(spark, sf_dir)), "temp_coh")
 
 
 @query("a16_temp_coh_weighted", with_("slc amp", _temp_coh("sqrt(c.re * c.re + c.im * c.im)"), _PHASES, offsets(WIN), coh_sql()))
 def a16_weighted(spark, sf_dir):
-    return _out(coherence.temporal_coherence(matrix(spark, sf_dir), linked_phases(spark, sf_dir), True), "temp_coh")
+    return _out(coherence.temporal_coherence(packed(spark, sf_dir), linked_phases(spark, sf_dir), True), "temp_coh")
 
 
 DISK = grid.disk(3)
@@ -253,7 +266,7 @@ CLOSURE = 'clo AS (SELECT a.scene, a."row", a.col, a.i, atan2((a.re * b.im + a.i
 
 @query("w1_closure", with_("slc", f"SELECT {PX}, i, {r('closure')} FROM clo", offsets(WIN), coh_sql(), CLOSURE))
 def w1(spark, sf_dir):
-    return _out(coherence.closure_phases(matrix(spark, sf_dir)), "closure")
+    return _out(coherence.closure_phases(packed(spark, sf_dir)), "closure")
 
 
 _K = -0.0554658 / (4 * math.pi)
@@ -261,4 +274,4 @@ _K = -0.0554658 / (4 * math.pi)
 
 @query("a25_cumulative_closure", with_("slc", f"SELECT {PX}, i, {r(f'sum(closure) OVER (PARTITION BY {PX} ORDER BY i) * {_K!r}', 'cumulative', 8)} FROM clo", offsets(WIN), coh_sql(), CLOSURE))
 def a25(spark, sf_dir):
-    return _out(coherence.cumulative(coherence.closure_phases(matrix(spark, sf_dir)), _K), "cumulative", digits=8)
+    return _out(coherence.cumulative(coherence.closure_phases(packed(spark, sf_dir)), _K), "cumulative", digits=8)

@@ -37,6 +37,9 @@ class PhaseLinkingOptions:
     shp_method: str = "glrt"
     shp_alpha: float = 0.001
     mask_input_ps: bool = False
+    fill_ps: bool = True
+    use_max_ps: bool = True
+    use_slc_amplitude: bool = False
     baseline_lag: int | None = None
     compressed_slc_plan: str = "always_first"
     write_crlb: bool = True
@@ -61,7 +64,10 @@ class TimeseriesOptions:
     method: str = "L1"
     reference_point: tuple[int, int] | None = None
     run_velocity: bool = True
+    #: none, correlation (as phase variance's inverse) or conncomp (unlabelled pixels are left out); for L2 only.
+    weighting: str = "none"
     apply_mask_to_timeseries: bool = True
+    #: Below it, an interferogram's pixel has no weight in a weighted inversion, and a date's in the velocity.
     correlation_threshold: float = 0.2
 
 
@@ -82,7 +88,8 @@ class UnwrapOptions:
 class OutputOptions:
     strides_y: int = 1
     strides_x: int = 1
-    bounds: tuple[float, float, float, float] | None = None
+    #: First and last row, first and last column (the last ones not included) of the input's pixels; others are nodata.
+    bounds: tuple[int, int, int, int] | None = None
     add_overviews: bool = True
     overview_levels: tuple[int, ...] = (4, 8, 16, 32, 64)
     extra_reference_date: int | None = None
@@ -90,13 +97,16 @@ class OutputOptions:
 
 @dataclass
 class InputOptions:
-    """stack: a Parquet table of scene, t, row, col, re, im; dates: one of scene, t, dt."""
+    """Parquet tables. stack: scene, t, row, col, re, im; dates: scene, t, dt; mask: scene, row, col, valid of the input's pixels;
+    bursts: scene, frame, row0, col0, where the scenes are bursts that are stitched to frames; ionosphere: scene, t, row, col,
+    delay (in metres, of the output pixels), which is taken off the displacement."""
 
     stack: str = ""
     dates: str = ""
     wavelength: float | None = None
-    azimuth_blocks: int = 1
-    halo_rows: int | None = None
+    mask: str = ""
+    bursts: str = ""
+    ionosphere: str = ""
 
 
 @dataclass
@@ -113,6 +123,8 @@ class Workflow:
     def __post_init__(self) -> None:
         if self.timeseries.method.upper() not in ("L1", "L2"):
             raise ValueError(f"unknown inversion method {self.timeseries.method}")
+        if self.timeseries.weighting not in ("none", "correlation", "conncomp"):
+            raise ValueError(f"unknown weighting {self.timeseries.weighting}")
         if self.phase_linking.shp_method not in ("rect", "glrt", "ks"):
             raise ValueError(f"unknown method {self.phase_linking.shp_method}")
         from fringeflow.operators.images import SINGLE_REFERENCE

@@ -20,12 +20,12 @@ def _inverse() -> np.ndarray:
     return np.linalg.pinv(timeseries.matrix_of(NET))
 
 
-def _values(rows: list[tuple], names: str) -> str:
+def values_sql(rows: list[tuple], names: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x) if not isinstance(x, float) else f"{x!r}::DOUBLE" for x in row) + ")" for row in rows) + f") AS v({names}))"
 
 
-_PINV = "pinv AS " + _values([(a, b, i + 1, float(_inverse()[i, k])) for i in range(DATES - 1) for k, (a, b) in enumerate(NET)], "ref_t, sec_t, t, coef")
-_NET = "net AS " + _values(NET, "ref_t, sec_t")
+_PINV = "pinv AS " + values_sql([(a, b, i + 1, float(_inverse()[i, k])) for i in range(DATES - 1) for k, (a, b) in enumerate(NET)], "ref_t, sec_t, t, coef")
+NET_SQL = "net AS " + values_sql(NET, "ref_t, sec_t")
 UNW = 'unw AS (SELECT a.scene, n.ref_t, n.sec_t, a."row", a.col, (b.a - a.a) / 10 + 0.01 * (n.ref_t + n.sec_t) AS phase FROM net n JOIN amp a ON a.t = n.ref_t JOIN amp b ON b.t = n.sec_t AND b.scene = a.scene AND b."row" = a."row" AND b.col = a.col)'
 SERIES = f'whole AS (SELECT {PX} FROM unw GROUP BY ALL HAVING count(*) = {len(NET)}), series AS (SELECT u.scene, u."row", u.col, p.t, sum(p.coef * u.phase) AS phase FROM unw u SEMI JOIN whole w ON u.scene = w.scene AND u."row" = w."row" AND u.col = w.col JOIN pinv p ON p.ref_t = u.ref_t AND p.sec_t = u.sec_t GROUP BY ALL)'
 
@@ -45,7 +45,7 @@ def inverted(spark, sf_dir):
     return unw, timeseries.invert_l2(unw, timeseries.inverse_of(edges), edges.groupBy("scene").agg(F.count("*").alias("n")))
 
 
-@query("k18_l2_inversion", with_("slc amp", f"SELECT {PX}, t, {r('phase')} FROM series", _NET, _PINV, UNW, SERIES))
+@query("k18_l2_inversion", with_("slc amp", f"SELECT {PX}, t, {r('phase')} FROM series", NET_SQL, _PINV, UNW, SERIES))
 def k18(spark, sf_dir):
     return _out(inverted(spark, sf_dir)[1], "phase")
 
@@ -53,13 +53,13 @@ def k18(spark, sf_dir):
 _RES = 'res AS (SELECT u.scene, u.ref_t, u.sec_t, u."row", u.col, coalesce(b.phase, 0) - coalesce(a.phase, 0) - u.phase AS residual FROM unw u SEMI JOIN whole w ON u.scene = w.scene AND u."row" = w."row" AND u.col = w.col LEFT JOIN series a ON a.scene = u.scene AND a."row" = u."row" AND a.col = u.col AND a.t = u.ref_t LEFT JOIN series b ON b.scene = u.scene AND b."row" = u."row" AND b.col = u.col AND b.t = u.sec_t)'
 
 
-@query("j18_residuals", with_("slc amp", f"SELECT scene, ref_t, sec_t, \"row\", col, {r('residual')} FROM res", _NET, _PINV, UNW, SERIES, _RES))
+@query("j18_residuals", with_("slc amp", f"SELECT scene, ref_t, sec_t, \"row\", col, {r('residual')} FROM res", NET_SQL, _PINV, UNW, SERIES, _RES))
 def j18(spark, sf_dir):
     unw, series = inverted(spark, sf_dir)
     return _out(timeseries.residuals(unw, series), "residual")
 
 
-@query("a14_residuals_per_date", with_("slc amp", f"SELECT {PX}, t, {r('sum(v)', 'residual')} FROM (SELECT {PX}, ref_t AS t, abs(residual) AS v FROM res UNION ALL SELECT {PX}, sec_t, abs(residual) FROM res) WHERE t <> 0 GROUP BY ALL", _NET, _PINV, UNW, SERIES, _RES))
+@query("a14_residuals_per_date", with_("slc amp", f"SELECT {PX}, t, {r('sum(v)', 'residual')} FROM (SELECT {PX}, ref_t AS t, abs(residual) AS v FROM res UNION ALL SELECT {PX}, sec_t, abs(residual) FROM res) WHERE t <> 0 GROUP BY ALL", NET_SQL, _PINV, UNW, SERIES, _RES))
 def a14(spark, sf_dir):
     unw, series = inverted(spark, sf_dir)
     return _out(timeseries.residuals_per_date(timeseries.residuals(unw, series)), "residual")

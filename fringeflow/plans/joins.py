@@ -53,6 +53,19 @@ def j7(spark, sf_dir):
     return network.network(dates(spark, sf_dir), bandwidth=1, annual_buffer=30, reference=1)
 
 
+@query("g1_network", with_("slc dates pairs", "SELECT DISTINCT scene, ref_t, sec_t FROM pairs WHERE sec_i - ref_i <= 3"))
+def g1(spark, sf_dir):
+    """The network that is built where none is asked for: the nearest three."""
+    return network.network(dates(spark, sf_dir)).select("scene", "ref_t", "sec_t")
+
+
+@query("g2_rank", with_("slc dates pairs", "SELECT scene, count(DISTINCT t) - 1 AS unknowns FROM (SELECT scene, ref_t AS t FROM pairs UNION ALL SELECT scene, sec_t FROM pairs) GROUP BY scene"))
+def g2(spark, sf_dir):
+    """The columns of a network's incidence matrix: its dates but the first."""
+    found = network.incidence(network.by_bandwidth(dates(spark, sf_dir), 2))
+    return found.groupBy("scene").agg(F.count_distinct("t").alias("unknowns"))
+
+
 @query("j8_nearest_n", with_("slc dates pairs", EDGES + "sec_i - ref_i <= 3"))
 def j8(spark, sf_dir):
     return network.network(dates(spark, sf_dir))

@@ -144,5 +144,47 @@ def s10(spark, sf_dir):
     return raster.read_tiles(spark, path, (3, 12), (2, 7), (4, 5)).withColumn("value", rounded(F.col("value")))
 
 
+def _cells(spark, sf_dir):
+    """The whole table as one image: the quantity on each cell."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy((F.col("l_partkey") % ROWS).cast("int").alias("row"), (F.col("l_suppkey") % COLS).cast("int").alias("col")).agg(F.sum("l_quantity").alias("value"))
+
+
+def _flat_file(spark, name: str) -> raster.FlatRaster:
+    """An empty image in the shared folder, which must be a mounted one for files that aren't Spark's."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.bin"
+    if not path.startswith("file:"):
+        raise ValueError("flat rasters need a shared folder that is mounted on every machine")
+    return raster.FlatRaster(path.removeprefix("file:").replace("///", "/").replace("//", "/"), (ROWS, COLS)).create(-1.0)
+
+
+_CELLS = 'SELECT CAST(l_partkey % 16 AS INT) AS "row", CAST(l_suppkey % 10 AS INT) AS col, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL'
+
+
+@query("s4_flat_file", _CELLS)
+def s4(spark, sf_dir):
+    """An image written by blocks to a headerless file and scanned from there as bytes."""
+    file = _flat_file(spark, "flat")
+    raster.write_blocks(_cells(spark, sf_dir), file, (8, 5))
+    return raster.read_flat(spark, f"file://{file.path}", file.shape, file.dtype, -1.0).select("row", "col", F.round("value", 2).alias("value"))
+
+
+@query("s7_stack_readers", f"SELECT 'f' || f AS file, \"row\", col, round(value * f, 2) AS value FROM ({_CELLS}), (VALUES (1), (2)) AS n(f)")
+def s7(spark, sf_dir):
+    """Two files as one stack, by readers that each task calls for its blocks."""
+    files = {f"f{k}": _flat_file(spark, f"stack{k}") for k in (1, 2)}
+    for k, file in enumerate(files.values(), 1):
+        raster.write_blocks(_cells(spark, sf_dir).withColumn("value", F.round("value", 2) * k), file, (5, 4))
+    return raster.read_blocks(spark, files, (6, 7)).withColumn("value", F.round("value", 2))
+
+
+@query("s11_write_window", f'SELECT r.range::INT AS "row", k.range::INT AS col, CASE WHEN r.range BETWEEN 4 AND 11 AND k.range BETWEEN 2 AND 7 THEN c.value ELSE -1.0 END AS value FROM range({ROWS}) r CROSS JOIN range({COLS}) k LEFT JOIN ({_CELLS}) c ON c."row" = r.range AND c.col = k.range')
+def s11(spark, sf_dir):
+    """A window written into an image that is there already; the rest of it stays."""
+    file = _flat_file(spark, "window")
+    raster.write_blocks(_cells(spark, sf_dir).filter("row BETWEEN 4 AND 11 AND col BETWEEN 2 AND 7"), file, (4, 3), row_start=4, col_start=2)
+    return raster.read_blocks(spark, {"w": file}, (8, 5)).select("row", "col", F.round("value", 2).alias("value"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fringeflow.functions.scalars import rounded
 from fringeflow.plans.catalog import query
 from fringeflow.plans.scans import table
+from fringeflow.plans.sql import with_
 from fringeflow.sources.virtual import slc
 from fringeflow.streaming import sequential, statistics
 from fringeflow.tables import shared_dir
@@ -73,12 +74,55 @@ def st1(spark, sf_dir):
     stack = slc(spark, sf_dir)
     estimator = sequential.SequentialEstimator(spark, folder, (1, 1))
     for days in ([0, 1, 2, 3], [4, 5, 6]):
-        stack.filter(F.col("t").isin(days)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stack.filter(F.col("t").isin(days)).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(stack.schema).parquet(f"{folder}/in")
         estimator.start(stream, f"{folder}/state").awaitTermination()
     return estimator.linked().select("scene", "row", "col", "t", rounded(F.col("phase"), 4).alias("phase"), rounded(F.col("temp_coh"), 4).alias("temp_coh"))
 
 
+def _estimator(spark, sf_dir, parts, **options):
+    """An estimator that has worked off the parts of the stack, and its folder."""
+    stack, folder = slc(spark, sf_dir), _folder(spark)
+    estimator = sequential.SequentialEstimator(spark, folder, sequential.LinkOptions(half_window=(1, 1), fill_ps=None), **options)
+    for k, days in enumerate(parts):
+        estimator.process(stack.filter(F.col("t").isin(days)), k)
+    return stack, estimator
+
+
+@query("st2_bounded_state", "SELECT * FROM (VALUES (0, 0, 1, 0), (0, 2, 3, 1), (0, 4, 5, 1), (0, 6, 6, 1)) AS v(ref_t, start_t, end_t, held)")
+def st2(spark, sf_dir):
+    """Ministacks that carry one compressed image only: its keys, and how many images the state held when it was made."""
+    _, estimator = _estimator(spark, sf_dir, ([0, 1], [2, 3], [4, 5], [6]), most_compressed=1)
+    n = [min(k, estimator.most) for k in range(4)]
+    return spark.createDataFrame([(*key, held) for key, held in zip(estimator.keys(), n, strict=True)], "ref_t int, start_t int, end_t int, held int")
+
+
+@query("st4_late_dates", with_("slc", 'SELECT scene, t, count(*) AS n FROM slc WHERE t IN (0, 3) GROUP BY ALL'))
+def st4(spark, sf_dir):
+    """A batch with dates that are linked already: they are set aside, and the new ones linked."""
+    _, estimator = _estimator(spark, sf_dir, ([0, 1, 2, 3], [0, 3, 4, 5, 6]))
+    return estimator.rejected().groupBy("scene", "t").agg(F.count("*").alias("n"))
+
+
+@query("st5_restart", with_("slc", 'SELECT t, count(*) AS n FROM (SELECT scene, t FROM slc GROUP BY ALL) GROUP BY t'))
+def st5(spark, sf_dir):
+    """A finished ministack isn't done again; one whose last table is missing is written anew, with the same result."""
+    from fringeflow.tables import delete
+
+    stack, estimator = _estimator(spark, sf_dir, ([0, 1, 2, 3], [4, 5, 6]))
+    estimator.process(stack.filter("t < 2"), 0)
+    delete(spark, [f"{estimator.folder}/compressed/000001"])
+    estimator.process(stack.filter("t > 3"), 1)
+    return estimator.linked().select("scene", "t").distinct().groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query("st9_count_windows", with_("slc", 'SELECT scene, CAST((row_number() OVER (PARTITION BY scene ORDER BY t) - 1) // 3 AS INT) AS batch, t FROM (SELECT DISTINCT scene, t FROM slc)'))
+def st9_count(spark, sf_dir):
+    """Tumbling windows by count: each scene's dates in threes."""
+    found = slc(spark, sf_dir).select("scene", "t").distinct()
+    return sequential.chunked(found, 3).select("scene", "batch", "t")
+
+
 @query("e1_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, CAST(GROUPING(l_returnflag) * 2 + GROUPING(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def e1(spark, sf_dir):
     """Plain engine surface."""

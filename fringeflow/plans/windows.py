@@ -16,8 +16,8 @@ from fringeflow.streaming import sequential
 
 HALF = (1, 2)
 AROUND = grid.rectangle(*HALF, centre=False)
-_CHI = shp.chi_square_quantile(0.05)
-GLRT = f'shp AS (SELECT a.scene, a."row", a.col, o.dr, o.dc FROM s a CROSS JOIN offsets o JOIN s b ON b.scene = a.scene AND b."row" = a."row" + o.dr AND b.col = a.col + o.dc WHERE {float(DATES)} * (2 * ln((a.s + b.s) / 2) - ln(a.s) - ln(b.s)) < {_CHI!r})'
+CHI = shp.chi_square_quantile(0.05)
+GLRT = f'shp AS (SELECT a.scene, a."row", a.col, o.dr, o.dc FROM s a CROSS JOIN offsets o JOIN s b ON b.scene = a.scene AND b."row" = a."row" + o.dr AND b.col = a.col + o.dc WHERE {float(DATES)} * (2 * ln((a.s + b.s) / 2) - ln(a.s) - ln(b.s)) < {CHI!r})'
 _S = 's AS (SELECT scene, "row", col, (var + mean * mean) / 2 AS s FROM stats)'
 
 
@@ -54,6 +54,20 @@ def k2(spark, sf_dir):
     return shp.estimate("ks", HALF, stack=slc(spark, sf_dir), n=DATES, alpha=0.05)
 
 
+def _kolmogorov_sql(d: str) -> str:
+    """Twice the alternating sum of the Kolmogorov distribution for two samples of n."""
+    v = f"({d} * (sqrt(n / 2.0) + 0.12 + 0.11 / sqrt(n / 2.0)))"
+    return f"2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * {v} * {v} * j * j)))"
+
+
+@query("k3_ks_critical", f"SELECT n, alpha, CAST(round(min(0.01 + 0.001 * k), 3) AS DOUBLE) AS distance FROM (SELECT DISTINCT 5 + p_size AS n FROM part), (VALUES (0.05::DOUBLE), (0.01::DOUBLE)) AS a(alpha), (SELECT range AS k FROM range(1000)) WHERE {_kolmogorov_sql('(0.01 + 0.001 * k)')} <= alpha GROUP BY ALL")
+def k3(spark, sf_dir):
+    """Critical distances for as many dates as parts have sizes: a few dozen values, found on the driver."""
+    sizes = [x[0] for x in spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") + 5).alias("n")).distinct().collect()]
+    found = [(n, a, round(shp.ks_critical_distance(n, a), 3)) for n in sizes for a in (0.05, 0.01)]
+    return spark.createDataFrame(found, "n int, alpha double, distance double")
+
+
 @query("k5_rect_window", with_("slc", f'SELECT a.scene, a."row", a.col, o.dr, o.dc FROM (SELECT DISTINCT {PX} FROM slc) a CROSS JOIN offsets o JOIN (SELECT DISTINCT {PX} FROM slc) b ON b.scene = a.scene AND b."row" = a."row" + o.dr AND b.col = a.col + o.dc', offsets(grid.rectangle(*HALF))))
 def k5(spark, sf_dir):
     return shp.estimate("rect", HALF, stats=stats(spark, sf_dir))
@@ -151,9 +165,7 @@ def w9(spark, sf_dir):
 @query("w10_strided_blocks", with_("slc amp", f'SELECT scene, t, CAST("row" // 3 AS INT) AS "row", CAST(col // 2 AS INT) AS col, {r("avg(a)", "value")} FROM amp WHERE "row" // 3 BETWEEN 1 AND 3 AND col // 2 BETWEEN 1 AND 3 GROUP BY scene, t, "row" // 3, col // 2'))
 def w10(spark, sf_dir):
     """Looks of the planned cores: outputs without a full window aren't planned."""
-    plans = grid.strided_blocks((ROWS, COLS), (6, 4), (3, 2), (4, 2))
-    cores = spark.createDataFrame([(k, *p["core"]) for k, p in enumerate(plans)], "block int, r0 int, r1 int, c0 int, c1 int")
-    inside = amplitude(spark, sf_dir).join(F.broadcast(cores), (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r1")) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1")))
+    inside = grid.in_cores(amplitude(spark, sf_dir), grid.strided_blocks((ROWS, COLS), (6, 4), (3, 2), (4, 2)))
     return _out(grid.take_looks(inside.select("scene", "t", "row", "col", "value"), 3, 2, {"value": "mean"}, ["scene", "t"]), "value")
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeflow.operators import ps
+from fringeflow.operators.phaselink import LinkOptions, link_stack
+
+PIXEL = ["scene", "row", "col"]
 PLANS = ("always_first", "first_per_ministack", "last_per_ministack")
 
 
@@ -63,71 +69,134 @@ def chunked(dates: DataFrame, size: int, first_real: int = 0) -> DataFrame:
     return ranked.select("scene", "t", F.when(F.col("i") < first_real, F.lit(-1)).otherwise(F.floor((F.col("i") - first_real) / size).cast("int")).alias("batch"))
 
 
-def run_batch(batch: DataFrame, held: DataFrame | None, ministack: Ministack, half_window: tuple[int, int], strides: tuple[int, int] = (1, 1)) -> tuple[DataFrame, DataFrame]:
-    """Linked phases (scene, row, col, t, phase, temp_coh) of the batch's dates, and the compressed image that sums it up.
+class Batch(NamedTuple):
+    """linked: scene, row, col, t, phase, temp_coh of the batch's dates; compressed: the image that sums it up; pixels: linked_pixels'
+    arrays over the compressed dates and then the batch's."""
+
+    linked: DataFrame
+    compressed: DataFrame
+    pixels: DataFrame
+
 
-    batch: scene, t, row, col, re, im of the batch's dates; held: the compressed images (key: place in ministack.compressed)."""
-    from fringeflow.operators import ps
-    from fringeflow.operators.phaselink import run_phase_linking
+def run_batch(batch: DataFrame, held: DataFrame | None, ministack: Ministack, options: LinkOptions, stats: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Batch:
+    """Links a batch as link_stack does, whatever batch of how many it is.
 
+    batch: scene, t, row, col, re, im of the batch's dates; held: the compressed images (key: place in ministack.compressed);
+    stats: amplitude statistics for similar pixels and scatterers, by default the batch's own; keep: see link_stack."""
     n_held = len(ministack.compressed)
     place = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(ministack.real) for x in (t, n_held + i))), F.col("t"))
     stack = batch.filter(F.col("t").isin(list(ministack.real))).withColumn("t", place.cast("int")).select("scene", "t", "row", "col", "re", "im")
     if held is not None and n_held:
         stack = stack.unionByName(held.select("scene", F.col("key").cast("int").alias("t"), "row", "col", "re", "im"))
-    n = n_held + len(ministack.real)
-    linked = run_phase_linking(stack, n, half_window, strides, reference=ministack.output_reference, first_real=n_held)
-    long = linked.select("scene", "row", "col", "temp_coh", F.posexplode("phases").alias("t", "phase"))
-    phasor = long.select("scene", "t", "row", "col", F.cos("phase").alias("re"), F.sin("phase").alias("im"))
-    stats = ps.amplitude_stats(stack.filter(F.col("t") >= n_held), ["scene", "row", "col"])
-    made = ps.compressed(stack, phasor, stats, *strides, first_real=n_held, reference=ministack.compressed_reference)
+    n, real = n_held + len(ministack.real), stack.filter(F.col("t") >= n_held)
+    own = ps.amplitude_stats(real, PIXEL)
+    found = link_stack(stack, n, options, own if stats is None else stats, ministack.output_reference, n_held, keep)
+    phasor = found.dates.select("scene", "t", "row", "col", F.cos(F.atan2("im", "re")).alias("re"), F.sin(F.atan2("im", "re")).alias("im"))
+    made = ps.compressed(stack, phasor, own, *options.strides, first_real=n_held, reference=ministack.compressed_reference)
     back = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(ministack.real) for x in (n_held + i, t))), F.col("t"))
-    return long.filter(F.col("t") >= n_held).withColumn("t", back.cast("int")), made
+    linked = found.dates.filter(F.col("t") >= n_held).select(*PIXEL, back.cast("int").alias("t"), F.atan2("im", "re").alias("phase"), "temp_coh")
+    return Batch(linked, made, found.pixels)
 
 
 class SequentialEstimator:
-    """State on disk: `linked` and `compressed` tables under a folder, one sub-folder per ministack; a finished one isn't done again.
+    """State on disk: tables under a folder, one sub-folder per ministack. `compressed`, written last, marks one finished; it isn't done
+    again, and one that isn't marked is written anew.
+
+    Feed it batches in order (process), or a stream of dates (start): each trigger's new dates are one ministack. Dates
+    that were linked before, or that are the newest compressed image's reference, go to `rejected` and not into the
+    ministack. Similar pixels and scatterers come from the amplitude of all dates so far."""
+
+    def __init__(self, spark: SparkSession, folder: str, options: LinkOptions | tuple[int, int], strides: tuple[int, int] = (1, 1), most_compressed: int = 10, scheme: str = "always_first", extra_reference: int | None = None):
+        if scheme not in PLANS:
+            raise ValueError(f"unknown scheme {scheme}")
+        self.spark, self.folder, self.most, self.scheme, self.extra_reference = spark, folder, most_compressed, scheme, extra_reference
+        self.options = options if isinstance(options, LinkOptions) else LinkOptions(half_window=options, strides=strides)
 
-    Feed it batches in order (process), or a stream of dates (start): each trigger's new dates are one ministack."""
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def __init__(self, spark: SparkSession, folder: str, half_window: tuple[int, int], strides: tuple[int, int] = (1, 1), most_compressed: int = 10):
-        self.spark, self.folder, self.half_window, self.strides, self.most = spark, folder, half_window, strides, most_compressed
+    def finished(self) -> list[int]:
+        """The numbers of the finished ministacks; numbers may be missing where a trigger had no new date."""
+        fs, where = self._fs(f"{self.folder}/compressed")
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(x) for x in names if self._done(f"compressed/{x}"))
 
-    def _done(self, name: str, index: int) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{index:06d}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _done(self, name: str) -> bool:
+        fs, where = self._fs(f"{self.folder}/{name}/_SUCCESS")
+        return fs.exists(where)
 
-    def keys(self) -> list[tuple[int, int, int]]:
-        found = []
-        k = 0
-        while self._done("compressed", k):
-            row = self.spark.read.parquet(f"{self.folder}/compressed/{k:06d}").select("ref_t", "start_t", "end_t").first()
-            found.append((row[0], row[1], row[2]) if row else (0, 0, 0))
-            k += 1
-        return found
+    def _read(self, name: str, index: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/{index:06d}")
+
+    def _write(self, frame: DataFrame, name: str, index: int) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{self.folder}/{name}/{index:06d}")
+        return self._read(name, index)
+
+    def keys(self, before: int | None = None) -> list[tuple[int, int, int]]:
+        """(reference, first, last date) of the compressed images so far."""
+        rows = [self._read("keys", k).first() for k in self.finished() if before is None or k < before]
+        return [(r["ref_t"], r["start_t"], r["end_t"]) for r in rows]
 
     def process(self, batch: DataFrame, index: int) -> None:
-        """One ministack; writes its linked dates, then the compressed image, whose presence marks it finished."""
-        if self._done("compressed", index):
+        """One ministack; writes rejected rows, linked dates and statistics, then the compressed image."""
+        earlier = [k for k in self.finished() if k < index]
+        if self._done(f"compressed/{index:06d}"):
             return
+        held = self.keys(index)
+        known = {r["t"] for k in earlier for r in self._read("days", k).collect()}
+        if held:
+            known.add(max(held, key=lambda c: c[2])[0])
+        late = F.col("t").isin(sorted(known)) if known else F.lit(False)
+        self._write(batch.filter(late), "rejected", index)
+        batch = batch.filter(~late)
         days = sorted(r[0] for r in batch.select("t").distinct().collect())
-        held = self.keys()[:index]
-        check_new(days, held)
-        now = held[-self.most :]
-        stack = Ministack(index, tuple(days), tuple(now), max(0, len(now) - 1), max(0, len(now) - 1))
-        frames = [self.spark.read.parquet(f"{self.folder}/compressed/{len(held) - len(now) + k:06d}").withColumn("key", F.lit(k)) for k in range(len(now))]
+        if not days:
+            return
+        now, kept = held[-self.most :], earlier[-self.most :]
+        if self.scheme == "last_per_ministack" and earlier:
+            raise ValueError("last_per_ministack is for a single ministack")
+        own = max(0, len(now) - 1)
+        to = {"always_first": own, "first_per_ministack": len(now), "last_per_ministack": len(now) + len(days) - 1}[self.scheme]
+        stack = Ministack(index, tuple(days), tuple(now), own, to)
         union = None
-        for f in frames:
-            union = f if union is None else union.unionByName(f)
-        linked, made = run_batch(batch, union, stack, self.half_window, self.strides)
+        for place, k in enumerate(kept):
+            one = self._read("compressed", k).withColumn("key", F.lit(place))
+            union = one if union is None else union.unionByName(one)
+        self._write(ps.amplitude_stats(batch, PIXEL), "stats", index)
+        stats = None
+        for k in [*earlier, index]:
+            one = self._read("stats", k).select(*PIXEL, "n", "mean", "dispersion")
+            stats = one if stats is None else stats.unionByName(one)
+        stats = ps.from_dispersion(ps.combined(stats, PIXEL))
+        dates = len(known | set(days)) if self.options.shp_dates is None else self.options.shp_dates
+        found = run_batch(batch, union, stack, replace(self.options, shp_dates=dates), stats, lambda pixels: self._write(pixels, "pixels", index))
         axis = [c[0] for c in now] + days
-        linked.write.mode("overwrite").parquet(f"{self.folder}/linked/{index:06d}")
-        key = [F.lit(v).alias(n) for n, v in zip(("ref_t", "start_t", "end_t"), (axis[stack.compressed_reference], days[0], days[-1]), strict=True)]
-        made.select("*", *key).write.mode("overwrite").parquet(f"{self.folder}/compressed/{index:06d}")
+        self._write(found.linked, "linked", index)
+        self._write(self.spark.createDataFrame([(t,) for t in days], "t int"), "days", index)
+        self._write(self.spark.createDataFrame([(axis[to], days[0], days[-1])], "ref_t int, start_t int, end_t int"), "keys", index)
+        self._write(found.compressed, "compressed", index)
+
+    def _trigger(self, frame: DataFrame, index: int) -> None:
+        kept = frame.persist()
+        try:
+            self.process(kept, index)
+        finally:
+            kept.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str):
         """A query over a stream of (scene, t, row, col, re, im) rows; available data is worked off in one ministack per micro-batch."""
-        return stream.writeStream.foreachBatch(lambda frame, index: self.process(frame.persist(), index)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.foreachBatch(self._trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def rejected(self) -> DataFrame:
+        """The rows that came too late."""
+        return self.spark.read.parquet(f"{self.folder}/rejected/*")
 
     def linked(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/linked/*")
+        """All linked dates; those after the extra reference date, if there is one, refer to it."""
+        found = self.spark.read.parquet(f"{self.folder}/linked/*")
+        if self.extra_reference is None:
+            return found
+        at = found.filter(F.col("t") == self.extra_reference).select(*PIXEL, F.col("phase").alias("__ref"))
+        turned = F.col("phase") - F.col("__ref")
+        return found.join(at, PIXEL, "left").withColumn("phase", F.when(F.col("t") > self.extra_reference, F.atan2(F.sin(turned), F.cos(turned))).otherwise(F.col("phase"))).drop("__ref")

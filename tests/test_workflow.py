@@ -106,6 +106,143 @@ def test_workflow_ministacks(spark, stack):
     assert linked.select("t").distinct().count() == 6
 
 
+def options(**changes):
+    settings = config.Workflow()
+    settings.phase_linking.half_window = config.HalfWindow(2, 2)
+    settings.phase_linking.shp_method = "rect"
+    settings.phase_linking.fill_ps = False
+    for name, value in changes.items():
+        setattr(settings.phase_linking, name, value)
+    return settings
+
+
+def phases_of(frame):
+    return {(r["row"], r["col"], r["t"]): (r["phase"], r["temp_coh"]) for r in frame.collect()}
+
+
+@pytest.fixture(scope="module")
+def plain_phases(stack):
+    """Of a ministack size: statistics with some scatterers, and the phases without any option."""
+    rows, _ = stack
+    stats = workflow.scatterers(rows, options()).withColumn("ps", (F.col("row") == 5) & (F.col("col") % 3 == 0)).persist()
+    known = {}
+
+    def of(size):
+        if size not in known:
+            known[size] = phases_of(workflow.linked_phases(rows, stats, options(ministack_size=size)))
+        return stats, known[size]
+
+    return of
+
+
+@pytest.mark.parametrize("size", [15, 3])
+@pytest.mark.parametrize(
+    "change",
+    [{"shp_method": "glrt", "shp_alpha": 0.3}, {"shp_method": "ks", "shp_alpha": 0.2}, {"use_evd": True}, {"beta": 0.3}, {"zero_correlation_threshold": 0.95}, {"baseline_lag": 2}, {"fill_ps": True}, {"mask_input_ps": True}],
+    ids=lambda c: next(iter(c)),
+)
+def test_options_in_every_path(spark, stack, plain_phases, change, size):
+    """Each option changes what is linked, in one batch and in several."""
+    rows, _ = stack
+    stats, a = plain_phases(size)
+    b = phases_of(workflow.linked_phases(rows, stats, options(ministack_size=size, **change)))
+    assert len(a) == 144 * 6 and set(a) == set(b)
+    assert max(abs(a[k][1] - b[k][1]) for k in a) > 1e-6
+    if change == {"fill_ps": True}:
+        own = {(r["row"], r["col"], r["t"]): complex(r["re"], r["im"]) for r in rows.collect()}
+        for c in range(0, 12, 3):
+            assert all(b[5, c, t][1] == 1.0 for t in range(6))
+            at = lambda t: np.angle(own[5, c, t] * np.conj(own[5, c, 0]))  # noqa: B023, E731
+            assert all(abs(np.angle(np.exp(1j * (b[5, c, t][0] - at(t))))) < 1e-9 for t in range(3))
+
+
+def test_one_batch_is_one_batch(spark, stack):
+    """The workflow, run_batch and the stream's estimator link a single batch alike."""
+    rows, _ = stack
+    settings = options(shp_method="glrt", shp_alpha=0.05, use_evd=True, beta=0.1, baseline_lag=4, fill_ps=True)
+    stats = workflow.scatterers(rows, settings)
+    a = phases_of(workflow.linked_phases(rows, stats, settings))
+    b = phases_of(sequential.run_batch(rows, None, sequential.plan(list(range(6)), 6)[0], workflow.link_options(settings, 6), stats).linked)
+    assert set(a) == set(b) and max(abs(a[k][0] - b[k][0]) for k in a) < 1e-9
+
+
+def test_strides_keep_similar_pixels(spark, stack):
+    rows, _ = stack
+    stats = workflow.scatterers(rows, options())
+    plain, similar = (phases_of(workflow.linked_phases(rows, stats, s)) for s in (options(), options(shp_method="glrt", shp_alpha=0.5)))
+    for settings in (one := options(), two := options(shp_method="glrt", shp_alpha=0.5)):
+        settings.output.strides_y, settings.output.strides_x = 3, 2
+    coarse, coarse_similar = (phases_of(workflow.linked_phases(rows, stats, s)) for s in (one, two))
+    assert len(coarse) == len(coarse_similar) == 4 * 6 * 6
+    for fine, few in ((plain, coarse), (similar, coarse_similar)):
+        assert all(abs(np.angle(np.exp(1j * (few[r, c, t][0] - fine[3 * r + 1, 2 * c + 1, t][0])))) < 1e-9 for r in range(4) for c in range(6) for t in range(6))
+    assert any(abs(coarse[k][1] - coarse_similar[k][1]) > 1e-6 for k in coarse)
+
+
+def test_late_dates_and_policies(spark, stack, tmp_path):
+    """Dates that were linked before are set aside, the new ones of the same trigger linked; reference policies; an extra reference."""
+    rows, _ = stack
+    part = lambda *days: rows.filter(F.col("t").isin(list(days)))
+    estimator = sequential.SequentialEstimator(spark, f"file://{tmp_path}/late", (1, 1))
+    estimator.process(part(0, 1, 2), 0)
+    estimator.process(part(0, 2), 3)  # nothing new
+    estimator.process(part(2, 3, 4, 5), 4)
+    assert estimator.finished() == [0, 4] and estimator.keys() == [(0, 0, 2), (0, 3, 5)]
+    assert sorted(r["t"] for r in estimator.rejected().select("t").distinct().collect()) == [0, 2]
+    assert estimator.linked().groupBy("row", "col", "t").count().agg(F.max("count")).first()[0] == 1
+    first = sequential.SequentialEstimator(spark, f"file://{tmp_path}/first", (1, 1), scheme="first_per_ministack", extra_reference=4)
+    first.process(part(0, 1, 2), 0)
+    first.process(part(3, 4, 5), 1)
+    assert first.keys() == [(0, 0, 2), (3, 3, 5)]
+    assert all(abs(r["phase"]) < 4 for r in first.linked().filter("t = 5").collect())
+    raw = phases_of(spark.read.parquet(f"file://{tmp_path}/first/linked/*"))
+    turned = phases_of(first.linked())
+    assert all(abs(np.angle(np.exp(1j * (turned[r, c, 5][0] - raw[r, c, 5][0] + raw[r, c, 4][0])))) < 1e-9 for r, c, t in raw if t == 5)
+    last = sequential.SequentialEstimator(spark, f"file://{tmp_path}/last", (1, 1), scheme="last_per_ministack")
+    last.process(part(0, 1, 2), 0)
+    with pytest.raises(ValueError, match="single"):
+        last.process(part(3, 4), 1)
+    with pytest.raises(ValueError, match="scheme"):
+        sequential.SequentialEstimator(spark, f"file://{tmp_path}/x", (1, 1), scheme="x")
+
+
+def test_every_setting_works(spark, stack, tmp_path):
+    """A run with masks, bounds, bursts, weights, an extra reference and all outputs; each of these leaves its mark."""
+    rows, _ = stack
+    at = lambda name: f"file://{tmp_path}/{name}"
+    other = rows.withColumn("scene", F.lit(1))
+    rows.unionByName(other).write.parquet(at("stack"))
+    spark.createDataFrame([(s, t, f"2022-0{t + 1}-01") for s in (0, 1) for t in range(6)], "scene int, t int, dt string").withColumn("dt", F.to_date("dt")).write.parquet(at("dates"))
+    spark.createDataFrame([(s, r, c, not (r == 6 and c < 6)) for s in (0, 1) for r in range(12) for c in range(12)], "scene int, row int, col int, valid boolean").write.parquet(at("mask"))
+    spark.createDataFrame([(0, 7, 0, 0), (1, 7, 0, 10)], "scene int, frame int, row0 int, col0 int").write.parquet(at("bursts"))
+    spark.createDataFrame([(7, r, c, t, 0.001 * t) for r in range(12) for c in range(22) for t in range(6)], "scene int, row int, col int, t int, delay double").write.parquet(at("delay"))
+    settings = options(write_closure_phase=True, fill_ps=True)
+    settings.work_directory = at("work")
+    settings.inputs = config.InputOptions(stack=at("stack"), dates=at("dates"), wavelength=0.055, mask=at("mask"), bursts=at("bursts"), ionosphere=at("delay"))
+    settings.output.bounds, settings.output.overview_levels = (0, 11, 0, 12), (2, 4)
+    settings.unwrap.zero_where_masked = settings.unwrap.run_goldstein = settings.unwrap.run_interpolation = True
+    settings.timeseries.method, settings.timeseries.weighting = "L2", "correlation"
+    found = workflow.displacement(spark, settings)
+    linked = found["linked"].collect()
+    assert {r["row"] for r in linked} == set(range(11)) and not any(r["row"] == 6 and r["col"] < 6 for r in linked)
+    assert {r["scene"] for r in found["stitched"].select("scene").distinct().collect()} == {7}
+    assert found["stitched"].agg(F.max("col")).first()[0] == 21
+    assert found["crlb"].filter("std > 0").count() > 0 and found["closure"].select("t").distinct().count() == 4
+    assert found["overviews"].select("level").distinct().count() == 2
+    assert found["residuals"].count() > 0 and found["valid_counts"].filter("n > 0").count() > 0
+    assert found["velocity"].filter("velocity IS NOT NULL").count() > 0
+    series = found["timeseries"].filter("t = 5").collect()
+    factor = -0.055 / (4 * np.pi)
+    assert all(abs(r["displacement"] - (r["phase"] * factor - 0.005)) < 1e-9 for r in series)
+    settings.work_directory, settings.output.extra_reference_date, settings.timeseries.weighting = at("work2"), 3, "conncomp"
+    again = workflow.displacement(spark, settings)
+    plain = {(r["row"], r["col"], r["t"]): r["phase"] for r in workflow.inverted(spark.read.parquet(at("work2") + "/referenced").withColumn("phase", F.when(F.col("label") != 0, F.col("phase"))), again["network"], "L2", None, True).collect()}
+    for r in again["timeseries"].collect():
+        k = (r["row"], r["col"])
+        expected = plain[(*k, r["t"])] - (plain[(*k, 3)] if r["t"] > 3 else 0)
+        assert abs(r["phase"] - expected) < 1e-6
+
+
 def test_sessions_and_windows(spark):
     rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:10:00", 2.0), (1, "2024-01-01 05:00:00", 3.0)]
     events = spark.createDataFrame(rows, "user int, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
