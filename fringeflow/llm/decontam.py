@@ -22,6 +22,8 @@ LEAST_WORDS, LEAST_SHARE = 12, 0.8
 PENALTY = 2
 #: Seeds of the benchmark up to this number are broadcast (24 bytes each), and its words; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 2_000_000
+#: Up to so many beginnings of seeds are part of the plan, so that most places of a document are never hashed for a mask.
+MOST_HEADS = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -32,19 +34,52 @@ def word_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
+def _starts(words: Column, span: int) -> Column:
+    """0 .. the last place where `span` words fit; empty where they don't."""
+    last = F.size(words) - span
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def _seed(words: Column, mask: str, at: Column) -> Column:
+    return F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"))
+
+
 def seeds(words: Column, mask: str) -> Column:
     """The hash of each place of the mask over the words, in order."""
-    ones = [i for i, bit in enumerate(mask) if bit == "1"]
-    last = F.size(words) - len(mask)
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda at: F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i in ones)))
-    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(_starts(words, len(mask)), lambda at: _seed(words, mask, at))
+
+
+def _head_size(masks: tuple[str, ...]) -> int:
+    """How many words at a place's start count in every mask."""
+    return min(len(m) - len(m.lstrip("1")) for m in masks)
+
+
+def _head(words: Column, size: int, at: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + i) for i in range(size)))
+
+
+def _heads(items: DataFrame, size: int) -> list[int] | None:
+    """The hashes of all runs of `size` words in the items, the only places of a document that can hold a seed of theirs; None if
+    there are more than MOST_HEADS."""
+    each = items.select(F.explode(let(word_hashes(F.col("body")), lambda w: F.transform(_starts(w, size), lambda at: _head(w, size, at)))).alias("h")).distinct()
+    found = [r["h"] for r in each.limit(MOST_HEADS + 1).collect()]
+    return found if len(found) <= MOST_HEADS else None
+
 
+def _seeded(table_: DataFrame, key: str, masks: tuple[str, ...], heads: list[int] | None = None) -> DataFrame:
+    """key, seed and at (place in the text): small rows, whatever a text's length. With heads, only of places that start with one: these
+    are looked for once, before any mask is hashed."""
+    size = _head_size(masks)
 
-def _seeded(table_: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """key, seed and at (place in the text): small rows, whatever a text's length."""
+    def of_places(words: Column, places: Column) -> Column:
+        each = lambda m: F.transform(F.filter(places, lambda at: at + len(m) <= F.size(words)), lambda at: F.struct(_seed(words, m, at).alias("seed"), at.alias("at")))
+        return F.flatten(F.array(*map(each, masks)))
 
     def listed(words: Column) -> Column:
-        return F.flatten(F.array(*(F.transform(seeds(words, m), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for m in masks)))
+        places = _starts(words, size)
+        if heads is not None:
+            places = F.filter(places, lambda at: _head(words, size, at).isin(heads)) if heads else F.array().cast("array<int>")
+        return let(places, lambda p: of_places(words, p))
 
     return table_.select(key, F.explode(let(word_hashes(F.col("body")), listed)).alias("s")).select(key, "s.seed", "s.at")
 
@@ -87,7 +122,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
         theirs, used = theirs.unionByName(_seeded(short, "item_id", short_masks)), masks + short_masks
     theirs = theirs.select("item_id", "seed", F.col("at").alias("item_at"))
     small = theirs.count() <= BROADCAST_SEEDS
-    hits = _seeded(body, "doc_id", used).join(F.broadcast(theirs) if small else theirs, "seed")
+    hits = _seeded(body, "doc_id", used, _heads(test, _head_size(used))).join(F.broadcast(theirs) if small else theirs, "seed")
     found = materialise(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
     # Only the words of items with a hit are needed; short items have words and no seeds, so these are counted by themselves.
     words = materialise(test.select("item_id", word_hashes(F.col("body")).alias("item")).join(found.select("item_id").distinct(), "item_id", "left_semi"), "hit-items")
