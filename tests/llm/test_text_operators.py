@@ -344,6 +344,38 @@ def test_every_counting_run_holds_a_seed(spark):
     assert found == plain_overlaps(docs, items) and len(found) == len(items)
 
 
+def test_recall_on_the_given_tables(spark, tables, duck, documents, monkeypatch):
+    """Of the overlaps that a plain comparison of every alignment finds, over documents that share any five words in a row with an
+    item or hold many of its words, 0.95 are found at least; and the same with and without a look at the beginnings."""
+    items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
+    own = {i: words(t) for i, t in items}
+    every = {tuple(w[k : k + 4]) for w in own.values() for k in range(len(w) - 3)}
+    near = [(d, t) for d, t, _ in documents if t and any(tuple(w[k : k + 4]) in every for w in [words(t)] for k in range(len(w) - 3))][:60]
+    want = set(plain_overlaps(near, items))
+    frames = spark.createDataFrame(near, "doc_id long, text string"), spark.read.parquet(f"{tables}/benchmark.parquet")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(*frames).collect()}
+    assert found <= want and len(found) >= 0.95 * len(want) > 0
+    monkeypatch.setattr(decontam, "MOST_HEADS", 0)
+    assert found == {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(*frames).collect()}
+
+
+def test_overlaps_odd(spark, monkeypatch):
+    """Nulls, repeats, texts that share an id, very long texts and items shorter than any mask; broadcast or not, the rows agree."""
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, item), (1, item), (1, "other words"), (2, None), (3, ""), (None, item), (4, "x " * 50_000 + item + " y" * 50_000), (5, item.upper()), (6, item[: len(item) // 2])]
+    items = [(7, item), (7, "something else that is long enough to count here"), (None, item), (8, None), (9, ""), (10, "too short"), (11, item)]
+    wide = spark.createDataFrame([(d, t, "s", 1, 2, 3, [1]) for d, t in docs], "doc_id long, text string, seed string, at int, shift int, matched int, own array<int>")
+    tests = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, item_words int")
+    want = sorted((d, i, 20, 20) for d in (1, 4, 5) for i in (7, 11))
+    found = lambda: sorted(tuple(r) for r in decontam.overlaps(wide, tests).collect())
+    # The first half of the item's words reach no limit of twelve.
+    assert [x for x in found() if x[0] != 6] == want
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert [x for x in found() if x[0] != 6] == want
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in decontam.clean(wide, tests).collect())
+    assert kept == sorted((d or -1, t or "") for d, t in docs if not t or item not in t.lower())
+
+
 def test_clean(spark, odd, none):
     items = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
     assert decontam.clean(odd, items).count() == odd.count()
