@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows of whole texts that go to a Python worker at once; Spark's own default is made for short rows.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Inside, what is written goes to Python workers in batches of so many rows at most, so that neither side holds many texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Bytes of input for each task that shuffles whole texts; no more tasks than that for any input.
 TASK_BYTES, MOST_TASKS = 128 << 20, 1_000_000
 

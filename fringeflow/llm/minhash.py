@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import LOWER, UPPER, table, text_of
+from fringeflow.llm.common import LOWER, UPPER, table, text_batches, text_of
 from fringeflow.operators.graph import connected
 from fringeflow.tables import materialise, scratch
 
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each and
     share a component; where their texts differ, each is compared with other ids' texts. A row
     without doc_id isn't linked: component_id null, kept true."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), text_batches(docs.sparkSession):
         features, of_class = _components_of_classes(docs, doc_id, text, width, least_percent, bands, rows)
     found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

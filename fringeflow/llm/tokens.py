@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import table, tasks_for, text_of
+from fringeflow.llm.common import table, tasks_for, text_batches, text_of
 from fringeflow.tables import shared_dir
 
 #: Words, and letter runs, whose ids a Python worker keeps over its tasks (some 120 bytes each); others are encoded again.
@@ -155,7 +155,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, d
         body = tied.repartitionByRange(shards or tasks_for(body), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "body")
     kind = body.schema["doc_id"].dataType.simpleString()
     coded = body.mapInArrow(_encode(content, end_id, CACHED_WORDS), f"doc_id {kind}, shard int, shard_start bigint, n_tokens bigint, ids array<int>")
-    coded.write.options(**layout).parquet(f"{path}/tokens")
+    with text_batches(spark):
+        coded.write.options(**layout).parquet(f"{path}/tokens")
 
     # One row per file: only the small columns are read, and what is gathered grows with the files, not the documents.
     sums = spark.read.parquet(f"{path}/tokens").groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeflow.llm.common import table
+from fringeflow.llm.common import table, text_batches
 from fringeflow.tables import materialise
 
 #: Elements whose content isn't text, and elements that end a line.
@@ -147,7 +147,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of both derived records of every page; see derivatives for nulls and repeated rows. Pages have neither
     a date nor a head, so responses_of makes both up."""
-    derived = materialise(derivatives(responses_of(table(spark, sf_dir, "pages"))), "warc")
+    with text_batches(spark):
+        derived = materialise(derivatives(responses_of(table(spark, sf_dir, "pages"))), "warc")
     size = lambda c: F.octet_length(c).cast("long")
     return derived.select(
         F.col("key").alias("page_id"), "refers_to", "metadata_id", "conversion_id", "payload_digest", "text_digest",
