@@ -33,7 +33,6 @@ class Rule:
 #: Base rules of the contract, then the method's own.
 BASE_RULES = (Rule("n_words", least=20), Rule("n_repeat_words", "n_words", most=0.30))
 RULES = (
-    Rule("n_words", most=1_000_000),
     Rule("word_chars", "n_words", least=2.0, most=15.0),
     Rule("n_symbols", "n_words", most=0.25),
     Rule("n_stop_words", "n_words", least=0.03),
@@ -120,7 +119,8 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rul
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, all columns, that pass every rule."""
+    """The rows of docs, all columns, that pass every rule. Each row is judged by its own text: repeated rows agree, a null or empty
+    text has no words and goes."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     packed = docs.select(whole, text_of(text).alias("__body"))
     kept = judge(packed, ["__row"], "__body", rules).filter("kept")
@@ -128,6 +128,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of every document; see judge for nulls and repeated rows."""
     found = judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
