@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from functools import reduce
 
@@ -150,12 +151,26 @@ def _cells(spark, sf_dir):
     return lines.groupBy((F.col("l_partkey") % ROWS).cast("int").alias("row"), (F.col("l_suppkey") % COLS).cast("int").alias("col")).agg(F.sum("l_quantity").alias("value"))
 
 
-def _flat_file(spark, name: str) -> raster.FlatRaster:
-    """An empty image in the shared folder, which must be a mounted one for files that aren't Spark's."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.bin"
-    if not path.startswith("file:"):
-        raise ValueError("flat rasters need a shared folder that is mounted on every machine")
-    return raster.FlatRaster(path.removeprefix("file:").replace("///", "/").replace("//", "/"), (ROWS, COLS)).create(-1.0)
+#: Missing places of an image are NaN, and cells that are there but have no value are this.
+HOLE, VOID = float("nan"), -sys.float_info.max
+
+
+def _flat_path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.bin"
+
+
+def _flat_file(spark, name: str, value: float = -1.0) -> raster.FlatRaster | raster.StoredRaster:
+    """An empty image in the shared folder, wherever that is."""
+    return raster.flat_raster(spark, _flat_path(spark, name), (ROWS, COLS)).create(value)
+
+
+def _voided(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("value", F.coalesce(F.nanvl("value", F.lit(None).cast("double")), F.lit(VOID)))
+
+
+def _held(pixels: DataFrame) -> DataFrame:
+    """The cells that _voided() wrote, without the image's holes."""
+    return pixels.filter(F.col("value").isNotNull()).withColumn("value", F.round(F.nullif("value", F.lit(VOID)), 2))
 
 
 _CELLS = 'SELECT CAST(l_partkey % 16 AS INT) AS "row", CAST(l_suppkey % 10 AS INT) AS col, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL'
@@ -164,9 +179,10 @@ _CELLS = 'SELECT CAST(l_partkey % 16 AS INT) AS "row", CAST(l_suppkey % 10 AS IN
 @query("s4_flat_file", _CELLS)
 def s4(spark, sf_dir):
     """An image written by blocks to a headerless file and scanned from there as bytes."""
-    file = _flat_file(spark, "flat")
-    raster.write_blocks(_cells(spark, sf_dir), file, (8, 5))
-    return raster.read_flat(spark, f"file://{file.path}", file.shape, file.dtype, -1.0).select("row", "col", F.round("value", 2).alias("value"))
+    path = _flat_path(spark, "flat")
+    file = raster.flat_raster(spark, path, (ROWS, COLS)).create(HOLE)
+    raster.write_blocks(_voided(_cells(spark, sf_dir)), file, (8, 5), fill=HOLE)
+    return _held(raster.read_flat(spark, path, file.shape, file.dtype, HOLE)).select("row", "col", "value")
 
 
 @query("s7_stack_readers", f"SELECT 'f' || f AS file, \"row\", col, round(value * f, 2) AS value FROM ({_CELLS}), (VALUES (1), (2)) AS n(f)")

@@ -392,6 +392,29 @@ def test_flat_files(spark, tmp_path):
         raster.read_flat(spark, f"file://{tmp_path}/*.slc", (7, 8), "complex64").count()
 
 
+def test_stored_raster(spark, tmp_path):
+    """Blocks of one image in two writes, on a file system that Python can't open: the second leaves the rest of the first."""
+    store = f"{tmp_path.parent.name}{tmp_path.name}".replace("_", "-")
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{store}.link./s", f"file://{tmp_path}")
+    file = raster.flat_raster(spark, f"viewfs://{store}/s/a.bin", (7, 9)).create(-1.0)
+    assert isinstance(file, raster.StoredRaster)
+    want = np.arange(63.0).reshape(7, 9)
+    pixels = spark.range(63).selectExpr("cast(id div 9 as int) as row", "cast(id % 9 as int) as col", "cast(id as double) as value")
+    assert raster.write_blocks(pixels, file, (3, 4)) == 9
+    assert (np.fromfile(tmp_path / "a.bin").reshape(7, 9) == want).all()
+    assert raster.write_blocks(pixels.filter("row between 2 and 4 and col > 5").withColumn("value", -F.col("value")), file, (2, 2), row_start=2, col_start=6) == 4
+    want[2:5, 6:] *= -1
+    assert (np.fromfile(tmp_path / "a.bin").reshape(7, 9) == want).all()
+
+
+def test_blocks_outside_an_image_raise(tmp_path):
+    file = raster.FlatRaster(str(tmp_path / "deeper" / "a.bin"), (4, 5)).create(0.0)
+    for place in ((-2, 0), (0, -2), (3, 0), (0, 4)):
+        with pytest.raises(IndexError):
+            file.write(np.ones((2, 2)), *place)
+    assert (file.read(slice(0, 4), slice(0, 5)) == 0).all()
+
+
 def test_integer_pairs(spark, tmp_path):
     pairs = np.array([[1, -2], [3, 4], [0, 5], [-6, 7]], dtype=">i2")
     pairs.tofile(tmp_path / "a.int")

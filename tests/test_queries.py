@@ -1,9 +1,11 @@
 """Every query with an oracle agrees with DuckDB; every other one runs."""
 
+import uuid
+
 import pytest
 
 import __spark_entry__ as entry
-from fringeflow.plans import catalog
+from fringeflow.plans import catalog, scans
 from tests.conftest import canonical
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
@@ -38,3 +40,35 @@ def test_plans(spark, tables):
     scan = plan(QUERIES["a7_ps_looked"](spark, tables))
     assert "l_comment" not in scan and scan.count("ReadSchema") == 1
     assert "PushedFilters: [IsNotNull" in plan(spark.read.parquet(f"{tables}/lineitem.parquet").filter("l_quantity > 10"))
+
+
+@pytest.fixture(params=["file", "plain", "viewfs"])
+def folder(request, spark, tmp_path, monkeypatch):
+    """The shared folder as a file: path, as a path without a scheme, and on a file system that Python can't open."""
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    store = uuid.uuid4().hex
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{store}.link./shared", f"file://{shared}")
+    path = {"file": f"file://{shared}", "plain": f"{shared}/deeper", "viewfs": f"viewfs://{store}/shared"}[request.param]
+    monkeypatch.setattr(scans, "shared_dir", lambda _: path)
+    return path
+
+
+@pytest.fixture
+def few_lines(spark, tmp_path):
+    """Lines on a few cells only: several on one, sums of -1 and 0, and cells whose quantities are all null."""
+    lines = [(1, 1, 5.0), (1, 1, 2.5), (17, 11, 1.0), (5, 3, -1.0), (5, 4, 0.0), (6, 5, None), (20, 6, 3.25), (15, 9, 7.0), (0, 0, 2.0), (2, 2, None)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def agrees(spark, name: str, sf_dir: str, files: str = "lineitem.parquet") -> bool:
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/{files}'")
+    return canonical(QUERIES[name](spark, sf_dir).toPandas()) == canonical(connection.execute(ORACLE[name]).fetchdf())
+
+
+def test_flat_file_in_any_folder(spark, folder, tables, few_lines):
+    assert agrees(spark, "s4_flat_file", tables)
+    assert agrees(spark, "s4_flat_file", few_lines, "lineitem.parquet/*.parquet")
