@@ -188,10 +188,10 @@ def s4(spark, sf_dir):
 @query("s7_stack_readers", f"SELECT 'f' || f AS file, \"row\", col, round(value * f, 2) AS value FROM ({_CELLS}), (VALUES (1), (2)) AS n(f)")
 def s7(spark, sf_dir):
     """Two files as one stack, by readers that each task calls for its blocks."""
-    files = {f"f{k}": _flat_file(spark, f"stack{k}") for k in (1, 2)}
+    files = {f"f{k}": _flat_file(spark, f"stack{k}", HOLE) for k in (1, 2)}
     for k, file in enumerate(files.values(), 1):
-        raster.write_blocks(_cells(spark, sf_dir).withColumn("value", F.round("value", 2) * k), file, (5, 4))
-    return raster.read_blocks(spark, files, (6, 7)).withColumn("value", F.round("value", 2))
+        raster.write_blocks(_voided(_cells(spark, sf_dir).withColumn("value", F.round("value", 2) * k)), file, (5, 4), fill=HOLE)
+    return _held(raster.read_blocks(spark, files, (6, 7)))
 
 
 @query("s11_write_window", f'SELECT r.range::INT AS "row", k.range::INT AS col, CASE WHEN r.range BETWEEN 4 AND 11 AND k.range BETWEEN 2 AND 7 THEN c.value ELSE -1.0 END AS value FROM range({ROWS}) r CROSS JOIN range({COLS}) k LEFT JOIN ({_CELLS}) c ON c."row" = r.range AND c.col = k.range')

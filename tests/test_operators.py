@@ -407,6 +407,32 @@ def test_stored_raster(spark, tmp_path):
     assert (np.fromfile(tmp_path / "a.bin").reshape(7, 9) == want).all()
 
 
+@pytest.mark.parametrize("dtype, nodata", [("float64", None), ("float64", 4.0), ("int16", 4), ("complex64", None), ("complex64", 4 - 1j)])
+def test_stored_rasters_read_as_files_do(spark, tmp_path, dtype, nodata):
+    """Files that Python can't open, split among tasks, give the pixels of the same files read by blocks; also beside such files."""
+    store = f"{tmp_path.parent.name}{tmp_path.name}".replace("_", "-")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{store}.link./s", f"file://{tmp_path}")
+    data = np.arange(63.0).reshape(7, 9)
+    data = data - 1j * data / 4 if dtype == "complex64" else data
+    if dtype != "int16":
+        data[2, 3] = np.nan
+    for k in (1, 2):
+        (data * k).astype(dtype).tofile(tmp_path / f"{k}.bin")
+    files = {f"f{k}": raster.FlatRaster(str(tmp_path / f"{k}.bin"), (7, 9), dtype) for k in (1, 2)}
+    stored = {f"f{k}": raster.flat_raster(spark, f"viewfs://{store}/s/{k}.bin", (7, 9), dtype) for k in (1, 2)}
+    read = lambda readers: sorted(map(tuple, raster.read_blocks(spark, readers, (2, 4), nodata).collect()), key=lambda x: x[:3])
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", "60")
+    try:
+        assert stored["f1"].lines().getNumPartitions() > 1
+        want = read(files)
+        assert len(want) == 126 and read(stored) == want == read({"f1": files["f1"], "f2": stored["f2"]})
+    finally:
+        conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    with pytest.raises(ValueError, match="holds"):
+        raster.read_blocks(spark, {"a": raster.flat_raster(spark, f"viewfs://{store}/s/1.bin", (8, 9), dtype)})
+
+
 def test_blocks_outside_an_image_raise(tmp_path):
     file = raster.FlatRaster(str(tmp_path / "deeper" / "a.bin"), (4, 5)).create(0.0)
     for place in ((-2, 0), (0, -2), (3, 0), (0, 4)):

@@ -72,3 +72,8 @@ def agrees(spark, name: str, sf_dir: str, files: str = "lineitem.parquet") -> bo
 def test_flat_file_in_any_folder(spark, folder, tables, few_lines):
     assert agrees(spark, "s4_flat_file", tables)
     assert agrees(spark, "s4_flat_file", few_lines, "lineitem.parquet/*.parquet")
+
+
+def test_stack_readers_in_any_folder(spark, folder, tables, few_lines):
+    assert agrees(spark, "s7_stack_readers", tables)
+    assert agrees(spark, "s7_stack_readers", few_lines, "lineitem.parquet/*.parquet")
