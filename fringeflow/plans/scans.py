@@ -196,9 +196,10 @@ def s7(spark, sf_dir):
 
 @query("s11_write_window", f'SELECT r.range::INT AS "row", k.range::INT AS col, CASE WHEN r.range BETWEEN 4 AND 11 AND k.range BETWEEN 2 AND 7 THEN c.value ELSE -1.0 END AS value FROM range({ROWS}) r CROSS JOIN range({COLS}) k LEFT JOIN ({_CELLS}) c ON c."row" = r.range AND c.col = k.range')
 def s11(spark, sf_dir):
-    """A window written into an image that is there already; the rest of it stays."""
+    """A window written into an image that is there already, holes too; the rest of it stays."""
     file = _flat_file(spark, "window")
-    raster.write_blocks(_cells(spark, sf_dir).filter("row BETWEEN 4 AND 11 AND col BETWEEN 2 AND 7"), file, (4, 3), row_start=4, col_start=2)
+    places = spark.range(8 * 6).selectExpr("CAST(4 + id DIV 6 AS INT) AS row", "CAST(2 + id % 6 AS INT) AS col")
+    raster.write_blocks(places.join(_cells(spark, sf_dir), ["row", "col"], "left"), file, (4, 3), fill=HOLE, row_start=4, col_start=2)
     return raster.read_blocks(spark, {"w": file}, (8, 5)).select("row", "col", F.round("value", 2).alias("value"))
 
 

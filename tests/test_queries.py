@@ -77,3 +77,8 @@ def test_flat_file_in_any_folder(spark, folder, tables, few_lines):
 def test_stack_readers_in_any_folder(spark, folder, tables, few_lines):
     assert agrees(spark, "s7_stack_readers", tables)
     assert agrees(spark, "s7_stack_readers", few_lines, "lineitem.parquet/*.parquet")
+
+
+def test_write_window_in_any_folder(spark, folder, tables, few_lines):
+    assert agrees(spark, "s11_write_window", tables)
+    assert agrees(spark, "s11_write_window", few_lines, "lineitem.parquet/*.parquet")
