@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,8 @@ SMALL = 200
 GROWTH = 16.0
 #: Undecided buckets with LARGE members or more are decided around a consensus set, drawn from some CONSENSUS members of each family.
 LARGE, CONSENSUS = 64, 256
+#: Partitions of the tables between the steps are joined up to so many bytes: most of these tables are small, and each file costs a task.
+TABLE_BYTES = 4 << 20
 SEED = 20240229
 
 _ONE = np.uint64(1)
@@ -163,6 +166,21 @@ def _agreeing(least: float, least_percent: int):
     return run
 
 
+@contextmanager
+def _few_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, adaptive execution makes partitions of TABLE_BYTES, if there is so much, rather than one for each core. Nothing is
+    joined beyond its advisory size, and a session that asks for larger ones keeps them."""
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(name)
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    advised = as_bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    spark.conf.set(name, f"{max(as_bytes(before), min(TABLE_BYTES, advised))}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with the components ca and cb of a and b, where they differ."""
     both = pairs.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
@@ -277,7 +295,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty or null text has an empty set and is linked with nothing. Rows that repeat a doc_id are reported each and
     share a component; where their texts differ, each is compared with other ids' texts. A row
     without doc_id isn't linked: component_id null, kept true."""
-    with scratch(docs.sparkSession), text_batches(docs.sparkSession):
+    with scratch(docs.sparkSession), text_batches(docs.sparkSession), _few_files(docs.sparkSession):
         features, of_class = _components_of_classes(docs, doc_id, text, width, least_percent, bands, rows)
     found = features.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -327,7 +345,7 @@ def _components_of_classes(docs: DataFrame, doc_id: str, text: str, width: int,
     def linked(pairs: DataFrame) -> DataFrame:
         sides = [sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
         shared = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
-        return materialise(shared.filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * least_percent).select("a", "b"), "links")
+        return shared.filter(F.col("common") * 100 >= (F.col("both") - F.col("common")) * least_percent).select("a", "b")
 
     def close(pairs: DataFrame) -> DataFrame:
         sides = [sketches.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]

@@ -8,6 +8,7 @@ import pytest
 
 from fringeflow.llm import minhash
 from fringeflow.operators import graph
+from fringeflow.tables import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -183,3 +184,28 @@ def test_consensus_does_not_matter(spark, monkeypatch):
     for members in (-1, 3, 256):
         monkeypatch.setattr(minhash, "CONSENSUS", members)
         assert got(minhash.near_duplicates(docs, width=2)) == expected
+
+
+def test_few_files_between_the_steps(spark, monkeypatch):
+    """Small tables between the steps are written as a file or two, not as one for each core, and the session's setting comes back."""
+    draw = random.Random(13)
+    rows = []
+    for _ in range(1500):
+        words = [f"w{draw.randrange(20000)}" for _ in range(150)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(words)))
+            words[draw.randrange(150)] = "changed"
+    files = Counter()
+
+    def counted(df, name, keep=False):
+        made = materialise(df, name, keep)
+        files[name] += len(made.inputFiles())
+        return made
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(name)
+    found = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=2))
+    assert spark.conf.get(name) == before
+    assert all(c == d - d % 2 for d, (_, c) in found.items())
+    assert files["sets"] == files["members"] == 1 and "links" not in files
