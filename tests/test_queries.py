@@ -1,5 +1,6 @@
 """Every query with an oracle agrees with DuckDB; every other one runs."""
 
+import datetime
 import uuid
 
 import pytest
@@ -82,3 +83,27 @@ def test_stack_readers_in_any_folder(spark, folder, tables, few_lines):
 def test_write_window_in_any_folder(spark, folder, tables, few_lines):
     assert agrees(spark, "s11_write_window", tables)
     assert agrees(spark, "s11_write_window", few_lines, "lineitem.parquet/*.parquet")
+
+
+#: Queries whose thresholds or ties lie on whole amplitudes.
+WHOLE = ["a11_average_nonzero"]
+
+
+@pytest.fixture(scope="module")
+def lone_lines(spark, tmp_path_factory):
+    """Cells with one line each, whose cosine and sine differ between the JVM and the C library in the last bit: the amplitude is the
+    line's quantity, or next to it."""
+    prices = [963.51, 914.47, 933.46, 942.39, 955.99, 965.63, 985.53, 987.12, 988.1, 1028.9, 1033.46, 1055.99]
+    sizes = [10, 12, 15, 20, 24, 30, 70, 90]
+    lines = []
+    for n in range(8 * 1120):
+        scene, t, row, col = n // 1120, n % 7, n // 7 % 16, n // 112 % 10
+        lines.append((scene * 1120, row, col, float(sizes[n * 5 // 7 % 8]), prices[n // 3 % 12], datetime.datetime(1995 + t, 6, 1)))
+    folder = tmp_path_factory.mktemp("lone")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"file://{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_amplitudes(spark, lone_lines, name):
+    assert agrees(spark, name, lone_lines, "lineitem.parquet/*.parquet")
