@@ -86,7 +86,7 @@ def test_write_window_in_any_folder(spark, folder, tables, few_lines):
 
 
 #: Queries whose thresholds or ties lie on whole amplitudes.
-WHOLE = ["a11_average_nonzero", "a12_conncomp_intersection"]
+WHOLE = ["a11_average_nonzero", "a12_conncomp_intersection", "a13_valid_counts"]
 
 
 @pytest.fixture(scope="module")
