@@ -61,14 +61,14 @@ def ks_distances(stack: DataFrame, half_window: tuple[int, int], strides: Offset
     """PIXEL, dr, dc, distance: the largest gap of the two empirical distributions of amplitude. Ties advance both.
 
     A sorted array's share up to a value is its last place, so the gap is sought at the values of either array, each
-    looked up in the other: of the sorted union the running difference of counts, in one pass."""
+    looked up in the other: of the sorted union the running difference of shares, in one pass."""
     amplitude = stack.select(*PIXEL, magnitude(cx()).alias("a")).groupBy(*PIXEL).agg(F.sort_array(F.collect_list("a")).alias("x"))
     near = neighbours(_middles(amplitude, strides), amplitude, rectangle(*half_window, centre=False), ["scene"], ["x"])
-    # Each value with the share that it adds, in order; the gap counts where the next value is another one.
+    # Each value with the array that it is from, in order; counts are whole, and the gap counts where the next value is another one.
     gap = F.expr(
-        "aggregate(sort_array(concat(transform(x, a -> struct(a AS v, 1D / size(x) AS w)), transform(x_n, a -> struct(a AS v, -1D / size(x_n) AS w)))), "
-        "named_struct('v', CAST(NULL AS DOUBLE), 'd', 0D, 'most', 0D), "
-        "(s, e) -> named_struct('v', e.v, 'd', s.d + e.w, 'most', IF(s.v < e.v, greatest(s.most, abs(s.d)), s.most)), s -> greatest(s.most, abs(s.d)))"
+        "aggregate(sort_array(concat(transform(x, a -> struct(a AS v, 1 AS i, 0 AS j)), transform(x_n, a -> struct(a AS v, 0 AS i, 1 AS j)))), "
+        "named_struct('v', CAST(NULL AS DOUBLE), 'i', 0, 'j', 0, 'most', 0D), "
+        "(s, e) -> named_struct('v', e.v, 'i', s.i + e.i, 'j', s.j + e.j, 'most', IF(s.v < e.v, greatest(s.most, abs(s.i / size(x) - s.j / size(x_n))), s.most)), s -> s.most)"
     )
     return _outputs(near, gap.alias("distance"))
 
