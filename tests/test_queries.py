@@ -86,7 +86,7 @@ def test_write_window_in_any_folder(spark, folder, tables, few_lines):
 
 
 #: Queries whose thresholds or ties lie on whole amplitudes.
-WHOLE = ["a11_average_nonzero", "a12_conncomp_intersection", "a13_valid_counts", "a21_velocity_masked", "f7_combined_mask", "k2_ks", "k2_ks_distance", "p20_argmax", "u1_mosaic", "j12_nearest_lookup", "u2_merge_by_date", "u3_fill_nodata"]
+WHOLE = ["a11_average_nonzero", "a12_conncomp_intersection", "a13_valid_counts", "a21_velocity_masked", "f7_combined_mask", "k2_ks", "k2_ks_distance", "p20_argmax", "u1_mosaic", "j12_nearest_lookup", "u2_merge_by_date", "u3_fill_nodata", "u6_stitched_products"]
 
 
 @pytest.fixture(scope="module")
