@@ -96,17 +96,18 @@ def s19(spark, sf_dir):
 
 
 def _ionex_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per customer segment: two maps, a latitude per region, 5 longitudes, values from counted customers."""
+    """One file per customer segment: two maps, a latitude per region, 5 longitudes, values from counted customers. They are written in
+    hundredths, so that no count looks like the format's 9999, and apart from each other, as counts outgrow its columns of five."""
     counted = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cells = counted.groupBy("c_mktsegment", "n_regionkey", (F.col("n_nationkey") % 5).alias("k")).agg(F.count("*").alias("n"))
     full = cells.groupBy("c_mktsegment", "n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
     pad = lambda text: F.rpad(text, 60, " ")
-    values = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.lpad(F.coalesce(F.element_at("m", k.cast("int")), F.lit(9999)).cast("string"), 5, " ")))
+    values = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.lpad(F.coalesce(F.element_at("m", k.cast("int")) * 10, F.lit(9999)).cast("string"), 20, " ")))
     lat = F.lpad(F.format_number(F.lit(87.5) - F.col("n_regionkey") * 2.5, 1), 6, " ")
     band = F.concat(pad(F.concat(F.lit("  "), lat, F.lit("-180.0 180.0   5.0 450.0"))), F.lit("LAT/LON1/LON2/DLON/H\n"), values, F.lit("\n"))
     body = full.groupBy("c_mktsegment").agg(F.concat_ws("", F.sort_array(F.collect_list(band), False)).alias("bands"))
     one = lambda hour: F.concat(pad(F.lit("     1")), F.lit("START OF TEC MAP\n"), pad(F.lit(f"  2022     1     1{hour:6d}     0     0")), F.lit("EPOCH OF CURRENT MAP\n"), F.col("bands"), pad(F.lit("     1")), F.lit("END OF TEC MAP\n"))
-    return body.select(F.col("c_mktsegment").alias("file"), F.concat(pad(F.lit("    -1")), F.lit("EXPONENT\n"), one(0), one(2)).alias("body"))
+    return body.select(F.col("c_mktsegment").alias("file"), F.concat(pad(F.lit("    -2")), F.lit("EXPONENT\n"), one(0), one(2)).alias("body"))
 
 
 @query(

@@ -507,6 +507,17 @@ def test_ionex(spark):
     assert rows[(0.0, 87.5, -165.0)] is None
 
 
+def test_ionex_columns(spark):
+    """Full columns of five touch; lines in other columns are told apart by spaces."""
+    line = lambda text, label: f"{text:<60}{label}\n"
+    head = line("     1", "START OF TEC MAP") + line("  2022     1     1     0     0     0", "EPOCH OF CURRENT MAP")
+    bands = {10.0: "   1012345-1234 999999999\n    7\n", 7.5: "1 22 333\n4444 55555 -6\n"}
+    body = line("    -1", "EXPONENT") + head + "".join(line(f"  {lat:6.1f}   0.0  25.0   5.0 450.0", "LAT/LON1/LON2/DLON/H") + text for lat, text in bands.items()) + line("     1", "END OF TEC MAP")
+    rows = ionex.parsed(spark.createDataFrame([("f", body)], "file string, body string")).orderBy("lon").collect()
+    found = {lat: [r["tec"] if r["tec"] is None else round(r["tec"], 6) for r in rows if r["lat"] == lat] for lat in bands}
+    assert found == {10.0: [1.0, 1234.5, -123.4, None, 9999.9, 0.7], 7.5: [0.1, 2.2, 33.3, 444.4, 5555.5, -0.6]}
+
+
 def test_simulated_coherence():
     c = simulate.coherence_matrix(5, 12.0)
     z = simulate.samples(c, 200_000, 1)

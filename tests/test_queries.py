@@ -107,3 +107,16 @@ def lone_lines(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_amplitudes(spark, lone_lines, name):
     assert agrees(spark, name, lone_lines, "lineitem.parquet/*.parquet")
+
+
+def test_ionex_of_many_customers(spark, tmp_path):
+    """Counts of five digits fill the format's columns, one equals its missing value, and one is too large for them."""
+    duckdb = pytest.importorskip("duckdb")
+    counts = {0: 12_000, 1: 9_999, 2: 10_500, 6: 100_001, 8: 3}
+    rows = spark.sql(f"SELECT explode(array_repeat(c_nationkey, n)) AS c_nationkey, 'A' AS c_mktsegment FROM VALUES {', '.join(map(str, counts.items()))} AS v(c_nationkey, n)")
+    rows.write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k // 10) for k in counts], "n_nationkey int, n_regionkey int").write.parquet(f"file://{tmp_path}/nation.parquet")
+    connection = duckdb.connect()
+    for name in ("customer", "nation"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert canonical(QUERIES["s20_ionex"](spark, str(tmp_path)).toPandas()) == canonical(connection.execute(ORACLE["s20_ionex"]).fetchdf())
