@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Offset = tuple[int, int]
+#: The least side of a tile, the places that a kernel's lookup holds at once, and the rows that it hands on at once.
+TILE, PLACES, ROWS_OUT = 64, 4_000_000, 100_000
 
 
 def rectangle(half_row: int, half_col: int, centre: bool = True) -> list[Offset]:
@@ -36,18 +41,146 @@ def offsets_column(offsets: Iterable[Offset]) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(offsets)))
 
 
-def neighbours(centres: DataFrame, pixels: DataFrame, offsets: list[Offset], keys: list[str], values: list[str], suffix: str = "_n", strides: Offset = (1, 1)) -> DataFrame:
-    """Each centre (all its columns) with each pixel of its window: rank, dr, dc and the pixel's values with a suffix.
-
-    An explode of the window's offsets and an equi-join, so the output is centres times window, whatever the grid's
-    size. keys (scene, date, ...) must agree. With strides, centres are output pixels whose window sits at the middle
-    of their look."""
-    sy, sx = strides
-    spread = centres.withColumn("__o", F.explode(offsets_column(offsets)))
-    at = spread.select(*centres.columns, F.col("__o.rank").alias("rank"), F.col("__o.dr").alias("dr"), F.col("__o.dc").alias("dc"))
-    at = at.withColumn("__row", F.col("row") * sy + (sy // 2 if sy > 1 else 0) + F.col("dr")).withColumn("__col", F.col("col") * sx + (sx // 2 if sx > 1 else 0) + F.col("dc"))
-    side = pixels.select(*keys, F.col("row").alias("__row"), F.col("col").alias("__col"), *(F.col(v).alias(v + suffix) for v in values))
-    return at.join(side, [*keys, "__row", "__col"]).drop("__row", "__col")
+def _begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows (but the first) whose keys differ from those of the row before."""
+    found = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        one, other = column[1:], column[:-1]
+        found |= pa.compute.coalesce(pa.compute.not_equal(one, other), pa.compute.xor(one.is_null(), other.is_null())).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(found) + 1
+
+
+def each_group(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """fn(table, starts) for runs of whole groups of the same keys: starts are the groups' first rows in the table, and its end.
+
+    The rows are shuffled once and sorted, so that groups lie one after another, and many small ones are one call of fn;
+    memory is that of an Arrow batch and of the largest group."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def done(tables, begins):
+            table = pa.concat_tables(tables).combine_chunks()
+            for out in fn(table, np.array([0, *begins, table.num_rows])):
+                yield from out.to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            begins = _begins(pa.concat_tables([*before, table]), keys) - len(before)
+            if len(begins):
+                end, offset = int(begins[-1]), sum(t.num_rows for t in held)
+                yield from done([*held, table.slice(0, end)], begins[:-1] + offset)
+                held = [table.slice(end)]
+            else:
+                held.append(table)
+        if held:
+            yield from done(held, [])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def tiles_near(c: str, tile: int, halo: int) -> Column:
+    """The tiles whose extent with a halo holds a place. The tile around 0 lies on both sides of it, so that a small image is one tile."""
+    return F.sequence(F.floor((F.col(c) + (tile // 2 - halo)) / tile).cast("int"), F.floor((F.col(c) + (tile // 2 + halo)) / tile).cast("int"))
+
+
+def places(table: pa.Table, starts: np.ndarray, names: tuple[str, str] = ("__row", "__col")) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
+    """Of each row of a table the number of its group, its row and column in a box that fits each of the groups, and that box's size."""
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at = []
+    for c in names:
+        x = table.column(c).to_numpy().astype(np.int64)
+        at.append(x - np.minimum.reduceat(x, starts[:-1])[group])
+    return group, *at, tuple(int(x.max()) + 1 for x in at)
+
+
+def _pairs(group: np.ndarray, row: np.ndarray, col: np.ndarray, box: tuple[int, int], centre: np.ndarray, offsets: list[Offset], most: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the offset, rows of centres, rows of their pixels) of all windows, or of the first `most` pixels of each."""
+    up, left = (max(abs(o[k]) for o in offsets) for k in (0, 1))
+    height, width = box[0] + 2 * up, box[1] + 2 * left
+    code = ((group - group[0]) * height + row + up) * width + col + left
+    mine, other = np.flatnonzero(centre), np.flatnonzero(~centre)
+    if not len(mine) or not len(other):
+        return
+    other = other[np.argsort(code[other], kind="stable")]
+    some, start, n = np.unique(code[other], return_index=True, return_counts=True)
+    first, count = (np.zeros((group[-1] - group[0] + 1) * height * width, dtype=np.int32) for _ in range(2))
+    first[some], count[some] = start, n
+    base, live, have = code[mine], np.arange(len(mine)), np.zeros(len(mine), dtype=np.int64)
+    for k, (dr, dc) in enumerate(offsets):
+        at = base[live] + (dr * width + dc)
+        hit = count[at]
+        met = np.flatnonzero(hit)
+        if not len(met):
+            continue
+        times = hit[met] if most is None else np.minimum(hit[met], most - have[live[met]])
+        who = np.repeat(live[met], times)
+        which = np.repeat(first[at[met]] - np.cumsum(times) + times, times) + np.arange(len(who))
+        yield k, mine[who], other[which]
+        if most is not None:
+            have[live[met]] += times
+            live = live[have[live] < most]
+            if not len(live):
+                return
+
+
+def neighbours(centres: DataFrame, pixels: DataFrame, offsets: list[Offset], keys: list[str], values: list[str], suffix: str = "_n", strides: Offset = (1, 1), most: int | None = None) -> DataFrame:
+    """Each centre (all its columns) with each pixel of its window: rank, dr, dc and the pixel's values with a suffix. most: only with
+    the first so many pixels in the order of the offsets.
+
+    Both go to tiles with a halo of the window, once: what is shuffled is about the input, whatever the window, and the
+    windows are looked up inside a tile. keys (scene, date, ...) must agree. With strides, centres are output pixels
+    whose window sits at the middle of their look."""
+    (sy, sx), at = strides, ["tile_row", "tile_col"]
+    reach = [max(abs(o[k]) for o in offsets) for k in (0, 1)]
+    side = [max(TILE, 2 * h) for h in reach]
+    own, kinds = [c for c in centres.columns if c not in keys], dict(centres.dtypes)
+    middle = [F.col("row") * sy + (sy // 2 if sy > 1 else 0), F.col("col") * sx + (sx // 2 if sx > 1 else 0)]
+    mine = centres.select(*keys, *(m.cast("int").alias(c) for m, c in zip(middle, ("__row", "__col"), strict=True)), F.struct(*own).alias("__own"))
+    mine = mine.select("*", *(F.floor((F.col(c) + t // 2) / t).cast("int").alias(n) for c, t, n in zip(("__row", "__col"), side, at, strict=True)))
+    there = pixels.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), F.col("row").cast("int").alias("__row"), F.col("col").cast("int").alias("__col"), F.struct(*(F.col(v).alias(f"{v}{suffix}") for v in values), F.lit(True).alias("__there")).alias("__pixel"))
+    for c, t, h, n in zip(("__row", "__col"), side, reach, at, strict=True):
+        there = there.withColumn(n, F.explode(tiles_near(c, t, h)))
+    both = mine.withColumn("__pixel", F.lit(None).cast(there.schema["__pixel"].dataType)).unionByName(there.withColumn("__own", F.lit(None).cast(mine.schema["__own"].dataType)))
+    # As in an equi-join, missing keys meet nothing.
+    both = both.dropna(subset=[*keys, "__row", "__col"])
+    drs, dcs = (np.array([o[k] for o in offsets], dtype=np.int32) for k in (0, 1))
+    names = [*keys, *own, "rank", "dr", "dc", *(f"{v}{suffix}" for v in values)]
+
+    def fn(table, starts):
+        group, row, col, box = places(table, starts)
+        centre = table.column("__own").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        parts = {c: x for c in ("__own", "__pixel") for x in [table.column(c).combine_chunks()]}
+        inner = {c: dict(zip((f.name for f in x.type), x.flatten(), strict=True)) for c, x in parts.items()}
+
+        def out(found):
+            rank = np.repeat(np.array([k for k, _, _ in found], dtype=np.int32), [len(a) for _, a, _ in found])
+            a, b = (pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2))
+            columns = [*(table.column(k).take(a) for k in keys), *(inner["__own"][c].take(a) for c in own), rank, drs[rank], dcs[rank], *(inner["__pixel"][f"{v}{suffix}"].take(b) for v in values)]
+            return pa.table(columns, names=names)
+
+        step = max(1, PLACES // ((box[0] + 2 * reach[0]) * (box[1] + 2 * reach[1])))
+        found, n = [], 0
+        for g in range(0, len(starts) - 1, step):
+            part = slice(starts[g], starts[min(g + step, len(starts) - 1)])
+            for k, a, b in _pairs(group[part], row[part], col[part], box, centre[part], offsets, most):
+                found.append((k, a + part.start, b + part.start))
+                n += len(a)
+                if n >= ROWS_OUT:
+                    yield out(found)
+                    found, n = [], 0
+        if found:
+            yield out(found)
+
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    pixel = {f.name: f.dataType.simpleString() for f in there.schema["__pixel"].dataType.fields}
+    schema = ", ".join([*(f"`{c}` {kind(centres, c)}" for c in [*keys, *own]), "rank int, dr int, dc int", *(f"`{v}{suffix}` {pixel[v + suffix]}" for v in values)])
+    return each_group(both, [*keys, *at], fn, schema)
 
 
 #: Reducers by name; nulls are nodata and don't count.
@@ -138,11 +271,12 @@ def in_cores(pixels: DataFrame, plans: list[dict[str, tuple[int, int, int, int]]
     return dealt.filter((F.col("row") < F.col("__r1")) & (F.col("col") < F.col("__c1"))).drop("__r", "__c", "__r1", "__c1")
 
 
-def tile_map(pixels: DataFrame, fn: Callable, schema: str, tile: tuple[int, int], halo: tuple[int, int], keys: list[str]) -> DataFrame:
+def tile_map(pixels: DataFrame, fn: Callable, schema: str, tile: tuple[int, int], halo: tuple[int, int], keys: list[str], together: bool = False) -> DataFrame:
     """fn(pandas frame of a tile with its halo) for each tile, trimmed to the tile's own pixels.
 
     Each pixel goes to every tile whose padded extent holds it (4 at most for a halo under half a tile). A tile's size
-    bounds the rows of a task, whatever the image's size."""
+    bounds the rows of a task, whatever the image's size. together: fn gets the rows of many tiles at once, tile after
+    tile, with their number in `tile`, and returns that column too; for tiles so small that a call for each is dear."""
     near = F.explode(
         F.expr(
             f"flatten(transform(sequence((row - {halo[0]}) DIV {tile[0]} - IF(row < {halo[0]}, 1, 0), (row + {halo[0]}) DIV {tile[0]}), "
@@ -151,9 +285,22 @@ def tile_map(pixels: DataFrame, fn: Callable, schema: str, tile: tuple[int, int]
     )
     dealt = pixels.withColumn("__t", near).withColumn("tile_row", F.col("__t.tr").cast("int")).withColumn("tile_col", F.col("__t.tc").cast("int")).drop("__t").filter("tile_row >= 0 AND tile_col >= 0")
 
-    def run(key, frame):
-        done = fn(frame)
-        r, c = key[-2], key[-1]
-        return done[(done["row"] // tile[0] == r) & (done["col"] // tile[1] == c)]
-
-    return dealt.groupBy(*keys, "tile_row", "tile_col").applyInPandas(run, schema)
+    def run(table, starts):
+        rows = table.to_pandas()
+        first = rows.iloc[starts[:-1]][["tile_row", "tile_col"]].to_numpy()
+        if together:
+            done = fn(rows.assign(tile=np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+            own = first[done["tile"]]
+            made = [done[((done[["row", "col"]].to_numpy() // tile) == own).all(axis=1)].drop(columns="tile")]
+        else:
+            parts = [fn(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            made = [part[((part[["row", "col"]].to_numpy() // tile) == at).all(axis=1)] for part, at in zip(parts, first, strict=True)]
+        for part in made:
+            if len(part):
+                yield pa.Table.from_pandas(part[out.names], out, preserve_index=False)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return each_group(dealt, [*keys, "tile_row", "tile_col"], run, schema)

@@ -180,15 +180,16 @@ def ud1(spark, sf_dir):
     def fn(frame):
         import numpy as np
 
-        out = frame[["scene", "t", "row", "col"]].copy()
-        r0, c0 = frame["row"].min(), frame["col"].min()
-        image = np.full((frame["row"].max() - r0 + 3, frame["col"].max() - c0 + 3), -np.inf)
-        image[frame["row"] - r0 + 1, frame["col"] - c0 + 1] = frame["value"]
-        most = np.lib.stride_tricks.sliding_window_view(image, (3, 3)).max(axis=(2, 3))
-        out["most"] = most[frame["row"] - r0, frame["col"] - c0]
-        return out
-
-    return grid.tile_map(amplitude(spark, sf_dir), fn, "scene int, t int, row int, col int, most double", (8, 5), (1, 1), ["scene", "t"]).withColumn("most", rounded(F.col("most")))
+        # All tiles are laid into one array, each with a border.
+        tile = frame["tile"].to_numpy()
+        starts = np.flatnonzero(np.diff(tile, prepend=-1))
+        r, c = (x - np.minimum.reduceat(x, starts)[tile] + 1 for x in (frame[k].to_numpy() for k in ("row", "col")))
+        images = np.full((len(starts), r.max() + 2, c.max() + 2), -np.inf)
+        images[tile, r, c] = frame["value"]
+        most = np.lib.stride_tricks.sliding_window_view(images, (3, 3), axis=(1, 2)).max(axis=(3, 4))
+        return frame[["scene", "t", "row", "col", "tile"]].assign(most=most[tile, r - 1, c - 1])
+
+    return grid.tile_map(amplitude(spark, sf_dir), fn, "scene int, t int, row int, col int, most double", (8, 5), (1, 1), ["scene", "t"], together=True).withColumn("most", rounded(F.col("most")))
 
 
 @query("p16_baseline_grid")
