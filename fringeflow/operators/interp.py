@@ -13,9 +13,7 @@ from fringeflow.tables import materialise, scratch
 
 def nearest_k(centres: DataFrame, points: DataFrame, keys: list[str], values: list[str], k: int, max_radius: int, min_radius: int = 0) -> DataFrame:
     """For each centre the first k points of a spiral around it: rank, dr, dc and values_n."""
-    near = neighbours(centres, points, disk(max_radius, min_radius, spiral=True), keys, values)
-    order = Window.partitionBy(*keys, "row", "col").orderBy("rank")
-    return near.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).drop("__k")
+    return neighbours(centres, points, disk(max_radius, min_radius, spiral=True), keys, values, most=k)
 
 
 def interpolated(ifg: DataFrame, keys: list[str], weight: str, cutoff: float, k: int = 20, max_radius: int = 51, min_radius: int = 0, alpha: float = 0.75) -> DataFrame:
@@ -45,16 +43,30 @@ def _outline(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(closed.select(*at), at, "left_anti")
 
 
+#: The farthest look that goes through each place of a tile in order of distance.
+NEAR = 32
+
+
 def _nearest_within(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int, rings: int) -> DataFrame:
-    """Points are dealt to square buckets; a gap looks into its own and the surrounding rings of buckets, rings * bucket pixels far."""
+    """The nearest point of each gap that has one rings * bucket pixels away or nearer: up to NEAR the first in a tile's lookup. Beyond,
+    points are dealt to square buckets, and a gap looks into its own and the surrounding rings of them."""
+    far = rings * bucket
+    if far <= NEAR:
+        around = sorted(((r, c) for r, c in rectangle(far, far) if r * r + c * c <= far * far), key=lambda o: (o[0] ** 2 + o[1] ** 2, o))
+        first = neighbours(gaps.select(*keys, "row", "col"), points, around, keys, [value], most=1)
+        return first.select(*keys, "row", "col", F.col(f"{value}_n").alias(value))
     at = [F.floor(F.col("row") / bucket).cast("int").alias("br"), F.floor(F.col("col") / bucket).cast("int").alias("bc")]
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rectangle(rings, rings))))
     asks = gaps.select(*keys, "row", "col", *at).withColumn("o", around).select(*keys, "row", "col", (F.col("br") + F.col("o.a")).alias("br"), (F.col("bc") + F.col("o.b")).alias("bc"))
     has = points.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v"), *at)
     both = asks.join(has, [*keys, "br", "bc"])
     distance = (F.col("row") - F.col("r")) ** 2 + (F.col("col") - F.col("c")) ** 2
-    near = both.filter(distance <= (rings * bucket) ** 2)
-    return near.groupBy(*keys, "row", "col").agg(F.min_by("v", F.struct(distance, "r", "c")).alias(value))
+    near = both.filter(distance <= far * far)
+    # One number for distance, row and column: a struct would have all pairs sorted before they are summed up.
+    size = F.lit(2 * far + 1).cast("long")
+    order = (distance.cast("long") * size + (F.col("r") - F.col("row") + far)) * size + (F.col("c") - F.col("col") + far)
+    order = order if far <= 30_000 else F.struct(distance, "r", "c")
+    return near.groupBy(*keys, "row", "col").agg(F.min_by("v", order).alias(value))
 
 
 def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: str, bucket: int = 8, rings: int = 2, reach: int | None = None) -> DataFrame:
@@ -62,11 +74,13 @@ def nearest_value(gaps: DataFrame, points: DataFrame, keys: list[str], value: st
     any point of its keys isn't returned. With reach, gaps that are farther from every point needn't be.
 
     Gaps look rings * bucket pixels far, and those that find nothing twice as far in the next round; the rounds grow
-    with the logarithm of the widest gap. Only the outline of the points takes part."""
-    outline = materialise(_outline(points.select(*keys, "row", "col", value), keys), "outline", keep=True)
+    with the logarithm of the widest gap. In looks beyond NEAR only the outline of the points takes part."""
+    points = outline = materialise(points.select(*keys, "row", "col", value), "points", keep=True)
     left = gaps.select(*keys, "row", "col").join(points.select(*keys).distinct(), keys, "left_semi")
     found = None
     while True:
+        if rings * bucket > NEAR and outline is points:
+            outline = materialise(_outline(points, keys), "outline", keep=True)
         near = materialise(_nearest_within(left, outline, keys, value, bucket, rings), "nearest", keep=True)
         found = near if found is None else found.unionByName(near)
         left = materialise(left.join(near, [*keys, "row", "col"], "left_anti"), "gaps", keep=True)
