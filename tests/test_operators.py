@@ -81,6 +81,70 @@ def test_tile_map_matches_whole(spark):
     assert np.allclose([found[(r, c)] for r in range(23) for c in range(17)], want.ravel())
 
 
+@pytest.mark.parametrize("most", [None, 2])
+@pytest.mark.parametrize("strides", [(1, 1), (2, 3)])
+def test_neighbours_in_tiles(spark, monkeypatch, most, strides):
+    """Windows across tiles' borders and below 0, places with two pixels, images of one pixel and missing keys, against a loop over all pairs."""
+    monkeypatch.setattr(grid, "TILE", 4)
+    monkeypatch.setattr(grid, "ROWS_OUT", 50)
+    draw = np.random.default_rng(5)
+    pixels = [(int(s), int(r), int(c), k) for k, (s, r, c) in enumerate(zip(draw.integers(0, 3, 300), draw.integers(-7, 12, 300), draw.integers(-3, 9, 300), strict=True))] + [(9, 2, 2, 300)]
+    centres = [(int(s), int(r), int(c), f"c{k}") for k, (s, r, c) in enumerate(zip(draw.integers(0, 4, 60), draw.integers(-4, 6, 60), draw.integers(-2, 4, 60), strict=True))]
+    offsets = grid.disk(4, spiral=True)
+    frame = lambda rows, kind: spark.createDataFrame([*rows, (None, 0, 0, None)], f"scene int, row int, col int, {kind}")
+    found = grid.neighbours(frame(centres, "name string"), frame(pixels, "v int"), offsets, ["scene"], ["v"], strides=strides, most=most)
+    assert found.columns == ["scene", "row", "col", "name", "rank", "dr", "dc", "v_n"]
+    want = []
+    for s, r, c, name in centres:
+        at = [x * k + (k // 2 if k > 1 else 0) for x, k in zip((r, c), strides, strict=True)]
+        met = [(s, r, c, name, i, dr, dc, v) for i, (dr, dc) in enumerate(offsets) for t, y, x, v in pixels if (t, y, x) == (s, at[0] + dr, at[1] + dc)]
+        want += met[:most] if most else met
+    got = [tuple(r) for r in found.collect()]
+    # Of pixels at one place any may be the last.
+    assert sorted(got) == sorted(want) if most is None else sorted(r[:-1] for r in got) == sorted(r[:-1] for r in want)
+
+
+def test_tile_map_together(spark):
+    """A function that gets many tiles at once finds what one does that gets each by itself."""
+    pixels = spark.createDataFrame([(i, r, c, float((r * 7 + c * 3 + i) % 11)) for i in range(3) for r in range(9) for c in range(8) if (r + c + i) % 5], "image int, row int, col int, value double")
+    alone = lambda f: f[["image", "row", "col"]].assign(total=f["value"].sum(), n=len(f))
+
+    def many(f):
+        by = f.groupby("tile")["value"]
+        return f[["image", "row", "col", "tile"]].assign(total=by.transform("sum"), n=by.transform("size"))
+
+    schema, args = "image int, row int, col int, total double, n long", ((4, 3), (1, 2), ["image"])
+    each = sorted(tuple(r) for r in grid.tile_map(pixels, alone, schema, *args).collect())
+    assert each == sorted(tuple(r) for r in grid.tile_map(pixels, many, schema, *args, together=True).collect()) and len(each) == pixels.count()
+
+
+def test_separable_in_tiles(spark, monkeypatch):
+    """Sums over tiles' borders, with nodata and missing places, against a loop; kept columns stay with their pixels."""
+    from fringeflow.operators import smooth
+
+    monkeypatch.setattr(smooth, "TILE", 4)
+    rows = [(s, r, c, None if (r * c + s) % 7 == 3 else float((r * 5 + c * 11 + s) % 13), f"{s}.{r}.{c}") for s in range(2) for r in range(-2, 9) for c in range(7) if (r + 2 * c + s) % 6]
+    row_taps, col_taps = [(-1, 0.5), (0, 1.0), (2, 0.25)], [(-2, 0.3), (0, 0.7)]
+    found = smooth.separable(spark.createDataFrame(rows, "scene int, row int, col int, v double, name string"), ["scene"], ["v"], row_taps, col_taps, keep=["name"]).collect()
+    first = {}
+    for s, r, c, *_ in rows:
+        met = [(w, x[3]) for o, w in row_taps for x in rows if x[:3] == (s, r - o, c) and x[3] is not None]
+        first[s, r, c] = (sum(w * v for w, v in met), sum(w for w, _ in met))
+    assert len(found) == len(rows)
+    for x in found:
+        met = [(w, *first[k]) for o, w in col_taps if (k := (x["scene"], x["row"], x["col"] - o)) in first]
+        weight = sum(w * n for w, _, n in met)
+        assert x["name"] == f"{x['scene']}.{x['row']}.{x['col']}"
+        assert x["v"] == pytest.approx(sum(w * v for w, v, _ in met) / weight) if weight else x["v"] is None
+
+
+def test_nearest_pairs_are_not_sorted(spark):
+    """Far looks compare pairs by one number, so that they are summed up as they come."""
+    gaps, points = (spark.createDataFrame([(0, 1, 1, 1.0), (0, 99, 5, 2.0)], "scene int, row int, col int, v double") for _ in range(2))
+    found = interp._nearest_within(gaps, points, ["scene"], "v", 64, 2)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 2
+
+
 # --- statistics
 
 
