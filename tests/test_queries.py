@@ -43,6 +43,14 @@ def test_plans(spark, tables):
     assert "PushedFilters: [IsNotNull" in plan(spark.read.parquet(f"{tables}/lineitem.parquet").filter("l_quantity > 10"))
 
 
+@pytest.mark.parametrize("name", ["j10_disk_join", "j11_nearest_in_spiral", "x4_interpolate"])
+def test_windows_are_not_shuffled(spark, tables, name):
+    """Windows are looked up inside tiles: their places aren't rows of an exchange, and the nearest few need no ranking."""
+    found = plan(QUERIES[name](spark, tables))
+    assert "MapInArrow" in found and "dr" not in "".join(x for x in found.splitlines() if "Exchange" in x)
+    assert name == "x4_interpolate" or "Window [" not in found
+
+
 @pytest.fixture(params=["file", "plain", "viewfs"])
 def folder(request, spark, tmp_path, monkeypatch):
     """The shared folder as a file: path, as a path without a scheme, and on a file system that Python can't open."""
