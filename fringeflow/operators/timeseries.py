@@ -75,6 +75,59 @@ def residuals_per_date(found: DataFrame) -> DataFrame:
     return each.groupBy(*PIXEL, "t").agg(F.sum("r").alias("residual"))
 
 
+SOLVED = "refs array<int>, secs array<int>, residuals array<double>, days array<int>, phases array<double>, sums array<double>"
+
+
+def solved_networks(unw: DataFrame, n_edges: DataFrame) -> DataFrame:
+    """PIXEL, refs, secs, residuals (by pair), days, phases, sums of absolute residuals (by date after the first): invert_l2 and its
+    residuals for each pixel that has all pairs of its scene, inside the pixel's row. unw is shuffled once.
+
+    Pixels of one network, mostly of all scenes, are solved together."""
+    entry = F.struct(F.col("ref_t").cast("int").alias("ref_t"), F.col("sec_t").cast("int").alias("sec_t"), F.col("phase").cast("double").alias("phase"))
+    vectors = unw.filter("phase IS NOT NULL").groupBy(*PIXEL).agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    whole = vectors.join(n_edges, "scene").filter(F.size("v") == F.col("n")).select(*PIXEL, *(F.col(f"v.{c}").alias(c) for c in ("ref_t", "sec_t", "phase")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(np.ascontiguousarray(values).reshape(-1)))
+        for batch in batches:
+            n = batch.column("phase").value_lengths().to_numpy()
+            starts = np.cumsum(n) - n
+            refs, secs, phases = (batch.column(c).flatten().to_numpy() for c in ("ref_t", "sec_t", "phase"))
+            ends, networks = np.stack([refs, secs], axis=1), {}
+            for k, (a, m) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+                networks.setdefault(ends[a : a + m].tobytes(), []).append(k)
+            for key, members in networks.items():
+                pairs, which = np.frombuffer(key, dtype=ends.dtype).reshape(-1, 2), np.array(members)
+                matrix = matrix_of([tuple(p) for p in pairs.tolist()])
+                given = phases[starts[which][:, None] + np.arange(len(pairs))]
+                found = given @ np.linalg.pinv(matrix).T
+                left = found @ matrix.T - given
+                same = lambda x: lists(np.broadcast_to(x.astype(np.int32), (len(which), len(x))))  # noqa: E731, B023
+                columns = [same(pairs[:, 0]), same(pairs[:, 1]), lists(left), same(np.unique(pairs)[1:]), lists(found), lists(np.abs(left) @ np.abs(matrix))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(which)) for k in PIXEL), *columns], [*PIXEL, *(c.split()[0] for c in SOLVED.split(", "))])
+
+    kinds = dict(whole.dtypes)
+    return whole.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in PIXEL), SOLVED]))
+
+
+def series_of(solved: DataFrame) -> DataFrame:
+    """scene, row, col, t, phase of solved networks."""
+    return solved.select(*PIXEL, F.inline(F.arrays_zip(F.col("days").alias("t"), F.col("phases").alias("phase"))))
+
+
+def residuals_of(solved: DataFrame) -> DataFrame:
+    """PAIR, row, col, residual of solved networks."""
+    found = solved.select(*PIXEL, F.inline(F.arrays_zip(F.col("refs").alias("ref_t"), F.col("secs").alias("sec_t"), F.col("residuals").alias("residual"))))
+    return found.select(*PAIR, "row", "col", "residual")
+
+
+def dated_residuals_of(solved: DataFrame) -> DataFrame:
+    """scene, row, col, t, residual as residuals_per_date gives it, of solved networks."""
+    return solved.select(*PIXEL, F.inline(F.arrays_zip(F.col("days").alias("t"), F.col("sums").alias("residual"))))
+
+
 def velocity(series: DataFrame, days: str = "days", value: str = "phase", weight: str | None = None) -> DataFrame:
     """scene, row, col, velocity per year. Weights multiply the residuals, so they count squared; without spread in time it is null."""
     if weight is None:

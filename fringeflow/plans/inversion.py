@@ -40,14 +40,14 @@ def unwrapped(spark, sf_dir):
     return both.select("scene", "ref_t", "sec_t", "row", "col", ((F.col("b") - F.col("a")) / 10 + 0.01 * (F.col("ref_t") + F.col("sec_t"))).alias("phase")), edges
 
 
-def inverted(spark, sf_dir):
+def solved(spark, sf_dir):
     unw, edges = unwrapped(spark, sf_dir)
-    return unw, timeseries.invert_l2(unw, timeseries.inverse_of(edges), edges.groupBy("scene").agg(F.count("*").alias("n")))
+    return timeseries.solved_networks(unw, edges.groupBy("scene").agg(F.count("*").alias("n")))
 
 
 @query("k18_l2_inversion", with_("slc amp", f"SELECT {PX}, t, {r('phase')} FROM series", NET_SQL, _PINV, UNW, SERIES))
 def k18(spark, sf_dir):
-    return _out(inverted(spark, sf_dir)[1], "phase")
+    return _out(timeseries.series_of(solved(spark, sf_dir)), "phase")
 
 
 _RES = 'res AS (SELECT u.scene, u.ref_t, u.sec_t, u."row", u.col, coalesce(b.phase, 0) - coalesce(a.phase, 0) - u.phase AS residual FROM unw u SEMI JOIN whole w ON u.scene = w.scene AND u."row" = w."row" AND u.col = w.col LEFT JOIN series a ON a.scene = u.scene AND a."row" = u."row" AND a.col = u.col AND a.t = u.ref_t LEFT JOIN series b ON b.scene = u.scene AND b."row" = u."row" AND b.col = u.col AND b.t = u.sec_t)'
@@ -55,14 +55,12 @@ _RES = 'res AS (SELECT u.scene, u.ref_t, u.sec_t, u."row", u.col, coalesce(b.pha
 
 @query("j18_residuals", with_("slc amp", f"SELECT scene, ref_t, sec_t, \"row\", col, {r('residual')} FROM res", NET_SQL, _PINV, UNW, SERIES, _RES))
 def j18(spark, sf_dir):
-    unw, series = inverted(spark, sf_dir)
-    return _out(timeseries.residuals(unw, series), "residual")
+    return _out(timeseries.residuals_of(solved(spark, sf_dir)), "residual")
 
 
 @query("a14_residuals_per_date", with_("slc amp", f"SELECT {PX}, t, {r('sum(v)', 'residual')} FROM (SELECT {PX}, ref_t AS t, abs(residual) AS v FROM res UNION ALL SELECT {PX}, sec_t, abs(residual) FROM res) WHERE t <> 0 GROUP BY ALL", NET_SQL, _PINV, UNW, SERIES, _RES))
 def a14(spark, sf_dir):
-    unw, series = inverted(spark, sf_dir)
-    return _out(timeseries.residuals_per_date(timeseries.residuals(unw, series)), "residual")
+    return _out(timeseries.dated_residuals_of(solved(spark, sf_dir)), "residual")
 
 
 _DAYS = 'days AS (SELECT scene, t, date_diff(\'day\', min(dt) OVER (PARTITION BY scene), dt) AS days FROM dates), obs AS (SELECT a.scene, a."row", a.col, a.t, d.days, a.a / 50 AS phase, least(a.a / 150, 1.0) AS w FROM amp a JOIN days d ON d.scene = a.scene AND d.t = a.t)'

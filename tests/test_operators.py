@@ -138,6 +138,15 @@ def test_separable_in_tiles(spark, monkeypatch):
         assert x["v"] == pytest.approx(sum(w * v for w, v, _ in met) / weight) if weight else x["v"] is None
 
 
+def test_near_looks_need_no_outline(spark, monkeypatch):
+    """As long as looks stay inside a tile's lookup, all points take part; ties go to the first in row-major order."""
+    monkeypatch.setattr(interp, "_outline", lambda *_: pytest.fail("the outline isn't needed"))
+    points = spark.createDataFrame([(0, 0, 2, 1.0), (0, 2, 0, 2.0), (0, 30, 30, 3.0), (1, 5, 5, 4.0)], "scene int, row int, col int, v double")
+    gaps = spark.createDataFrame([(0, 1, 1), (0, 12, 12), (0, 20, 20), (1, 0, 0), (2, 0, 0)], "scene int, row int, col int")
+    found = {tuple(r)[:3]: r["v"] for r in interp.nearest_value(gaps, points, ["scene"], "v", bucket=4).collect()}
+    assert found == {(0, 1, 1): 1.0, (0, 12, 12): 1.0, (0, 20, 20): 3.0, (1, 0, 0): 4.0}
+
+
 def test_nearest_pairs_are_not_sorted(spark):
     """Far looks compare pairs by one number, so that they are summed up as they come."""
     gaps, points = (spark.createDataFrame([(0, 1, 1, 1.0), (0, 99, 5, 2.0)], "scene int, row int, col int, v double") for _ in range(2))
@@ -582,6 +591,46 @@ def test_ionex_columns(spark):
     assert found == {10.0: [1.0, 1234.5, -123.4, None, 9999.9, 0.7], 7.5: [0.1, 2.2, 33.3, 444.4, 5555.5, -0.6]}
 
 
+def test_solved_networks(spark):
+    """Series and residuals of each pixel with all pairs of its scene, for scenes of different networks, as by the joins."""
+    draw = np.random.default_rng(8)
+    nets = {0: [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)], 1: [(2, 4), (2, 5), (4, 5)], 2: [(0, 1), (3, 4)]}
+    rows = [(s, a, b, r, c, float(draw.normal())) for s, net in nets.items() for a, b in net for r in range(3) for c in range(2) if (s, a, r, c) != (0, 1, 2, 1)]
+    unw = spark.createDataFrame([*rows, (1, 2, 4, 9, 9, None)], "scene int, ref_t int, sec_t int, row int, col int, phase double")
+    edges = spark.createDataFrame([(s, a, b) for s, net in nets.items() for a, b in net], "scene int, ref_t int, sec_t int")
+    n = edges.groupBy("scene").agg(F.count("*").alias("n"))
+    series = timeseries.invert_l2(unw, timeseries.inverse_of(edges), n)
+    left = timeseries.residuals(unw.filter("phase IS NOT NULL"), series)
+    solved = timeseries.solved_networks(unw, n)
+    for one, other in ((series, timeseries.series_of(solved)), (left, timeseries.residuals_of(solved)), (timeseries.residuals_per_date(left), timeseries.dated_residuals_of(solved))):
+        value = one.columns[-1]
+        keys = [c for c in one.columns if c != value]
+        want, got = ({tuple(r[k] for k in keys): r[value] for r in x.collect()} for x in (one, other))
+        assert want.keys() == got.keys() and want and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+@pytest.mark.parametrize("small", [0, 60, 1000])
+def test_unwrapped_images_of_any_size(spark, monkeypatch, small):
+    """Images that are solved at once, in lines, and both beside each other, with gaps and null keys, as one by one."""
+    from fringeflow.operators import images
+
+    monkeypatch.setattr(images, "SMALL", small)
+    draw = np.random.default_rng(4)
+    shapes = {0: (6, 5), 1: (9, 8), 2: (6, 5), 3: (1, 7), None: (7, 9)}
+    whole = {k: np.where(draw.random(s) < 0.15, np.nan, (np.cumsum(draw.normal(size=s), axis=0) + np.pi) % (2 * np.pi) - np.pi) for k, s in shapes.items()}
+    for image in whole.values():
+        image[-1, -1] = 0.5
+    rows = [(k, r, c, None if np.isnan(v) else float(v), 0.5) for k, image in whole.items() for (r, c), v in np.ndenumerate(image) if (r, c) != (0, 1)]
+    for image in whole.values():
+        image[0, 1] = np.nan
+    found = images.unwrapped_images(spark.createDataFrame(rows, "image int, row int, col int, phase double, correlation double").filter("image IS NOT NULL" if small < 1000 else "true"), ["image"]).collect()
+    want = {k: images.least_squares_unwrap(image, image)[0] for k, image in whole.items() if k is not None or small == 1000}
+    assert len(found) == sum(1 for r in rows if r[0] is not None or small == 1000)
+    for r in found:
+        w = want[r["image"]][r["row"], r["col"]]
+        assert r["unw"] is None and r["conncomp"] == 0 if np.isnan(w) else r["unw"] == pytest.approx(w) and r["conncomp"] == 1
+
+
 def test_simulated_coherence():
     c = simulate.coherence_matrix(5, 12.0)
     z = simulate.samples(c, 200_000, 1)
