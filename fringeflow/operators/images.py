@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.functions.scalars import gaussian_sigma
-from fringeflow.operators.grid import tile_map
+from fringeflow.operators.grid import each_group, tile_map
 from fringeflow.operators.interp import nearest_value
 from fringeflow.tables import materialise
 
@@ -277,10 +277,70 @@ def long_wave_images(unw: DataFrame, keys: list[str], value: str, cutoff: float,
     return unw.select(*keys, "row", "col").join(out, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("__out", F.lit(0.0)).alias(value))
 
 
+def least_squares_stack(wrapped: np.ndarray) -> np.ndarray:
+    """least_squares_unwrap() of images of one shape (images x rows x cols) at once."""
+    m, rows, cols = wrapped.shape
+    valid = np.isfinite(wrapped)
+    phase = np.where(valid, wrapped, 0.0)
+    turned = lambda x: x.swapaxes(1, 2)
+    lines = lambda fn, *x: fn(*(a.reshape(-1, a.shape[2]) for a in x)).reshape(m, x[0].shape[1], -1)
+    rho = lines(_bend, phase, valid) + turned(lines(_bend, turned(phase), turned(valid)))
+    spectrum = lines(cosine, turned(lines(cosine, turned(rho))))
+    spectrum = _solved(spectrum, np.arange(rows)[None, :, None], rows, np.arange(cols)[None, None, :], cols)
+    smooth = turned(lines(inverse_cosine, turned(lines(inverse_cosine, spectrum))))
+    n = np.maximum(valid.sum(axis=(1, 2), keepdims=True), 1)
+    level = np.where(valid, phase - smooth, 0.0).sum(axis=(1, 2), keepdims=True) / n
+    return np.where(valid, phase + 2 * np.pi * np.rint((smooth + level - phase) / (2 * np.pi)), np.nan)
+
+
+#: Places of an image that is solved at once, and of the images that are solved together.
+SMALL = 1 << 18
+
+
 def _least_squares_images(wrapped: DataFrame, keys: list[str]) -> DataFrame:
-    """least_squares_unwrap() of each image, along rows and columns in turn."""
+    """least_squares_unwrap() of each image: those of SMALL places or fewer at once, many in a call; larger ones along rows and
+    columns in turn, so that no task holds one of them."""
     at, kinds = [*keys, "row", "col"], dict(wrapped.dtypes)
     phase = F.when(F.isnan("phase"), F.lit(None)).otherwise(F.col("phase"))
+    rows = materialise(wrapped.select(*at, phase.cast("double").alias("phase")), "wrapped", keep=True)
+    extent = shapes(rows, keys)
+    large = materialise(extent.filter(F.col("n_rows").cast("long") * F.col("n_cols") > SMALL).select(*keys), "large", keep=True)
+    if large.isEmpty():
+        return _small_images(rows, keys)
+    # Keys may be null, which no join finds.
+    same = [rows[k].eqNullSafe(large[k]) for k in keys]
+    return _small_images(rows.join(large, same, "left_anti"), keys).unionByName(_large_images(rows.join(large, same, "left_semi"), keys, kinds))
+
+
+def _small_images(wrapped: DataFrame, keys: list[str]) -> DataFrame:
+    at, kinds = [*keys, "row", "col"], dict(wrapped.dtypes)
+
+    def fn(table, starts):
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        given = table.column("phase")
+        values = given.fill_null(np.nan).to_numpy()
+        shape = np.stack([np.maximum.reduceat(x, starts[:-1]) + 1 for x in (row, col)], axis=1)
+        unw = np.full(len(group), np.nan)
+        for height, width in np.unique(shape, axis=0).tolist():
+            images = np.flatnonzero((shape == (height, width)).all(axis=1))
+            step = max(1, SMALL // (height * width))
+            for some in (images[k : k + step] for k in range(0, len(images), step)):
+                place = np.full(len(shape), -1)
+                place[some] = np.arange(len(some))
+                mine = np.flatnonzero(place[group] >= 0)
+                stack = np.full((len(some), height, width), np.nan)
+                where = (place[group[mine]], row[mine], col[mine])
+                stack[where] = values[mine]
+                unw[mine] = least_squares_stack(stack)[where]
+        there = given.is_valid().to_numpy()
+        yield pa.table([*(table.column(c) for c in at), pa.array(unw, mask=~there), pa.array(there.astype(float))], names=[*at, "unw", "conncomp"])
+
+    return each_group(wrapped, keys, fn, ", ".join([*(f"`{c}` {kinds[c]}" for c in at), "unw double, conncomp double"]))
+
+
+def _large_images(wrapped: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
+    at, phase = [*keys, "row", "col"], F.col("phase")
     grid = materialise(dense(wrapped.select(*at, phase.alias("phase")), keys, ["phase"]), "grid", keep=True)
     whole = grid.select(*at, "n_rows", F.coalesce("phase", F.lit(0.0)).alias("p"), F.col("phase").isNotNull().cast("double").alias("ok"))
 
