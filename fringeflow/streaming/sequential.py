@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fringeflow.operators import ps
 from fringeflow.operators.phaselink import LinkOptions, link_stack
+from fringeflow.tables import delete
 
 PIXEL = ["scene", "row", "col"]
 PLANS = ("always_first", "first_per_ministack", "last_per_ministack")
@@ -139,10 +140,17 @@ class SequentialEstimator:
         return [(r["ref_t"], r["start_t"], r["end_t"]) for r in rows]
 
     def process(self, batch: DataFrame, index: int) -> None:
-        """One ministack; writes rejected rows, linked dates and statistics, then the compressed image."""
+        """One ministack; writes rejected rows, linked dates and statistics, then the compressed image. All of them read the batch from a
+        table that is deleted in the end, so that it is computed once, whatever it comes from."""
         earlier = [k for k in self.finished() if k < index]
         if self._done(f"compressed/{index:06d}"):
             return
+        try:
+            self._process(self._write(batch, "given", index), index, earlier)
+        finally:
+            delete(self.spark, [f"{self.folder}/given/{index:06d}"])
+
+    def _process(self, batch: DataFrame, index: int, earlier: list[int]) -> None:
         held = self.keys(index)
         known = {r["t"] for k in earlier for r in self._read("days", k).collect()}
         if held:
@@ -177,16 +185,9 @@ class SequentialEstimator:
         self._write(self.spark.createDataFrame([(axis[to], days[0], days[-1])], "ref_t int, start_t int, end_t int"), "keys", index)
         self._write(found.compressed, "compressed", index)
 
-    def _trigger(self, frame: DataFrame, index: int) -> None:
-        kept = frame.persist()
-        try:
-            self.process(kept, index)
-        finally:
-            kept.unpersist()
-
     def start(self, stream: DataFrame, checkpoint: str):
         """A query over a stream of (scene, t, row, col, re, im) rows; available data is worked off in one ministack per micro-batch."""
-        return stream.writeStream.foreachBatch(self._trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def rejected(self) -> DataFrame:
         """The rows that came too late."""

@@ -631,6 +631,27 @@ def test_unwrapped_images_of_any_size(spark, monkeypatch, small):
         assert r["unw"] is None and r["conncomp"] == 0 if np.isnan(w) else r["unw"] == pytest.approx(w) and r["conncomp"] == 1
 
 
+def test_a_ministack_computes_its_batch_once(spark, tmp_path):
+    """However many tables are made of a batch, where it comes from is asked once; the copy is gone afterwards."""
+    from fringeflow.streaming import sequential
+
+    asked = tmp_path / "asked"
+
+    def seen(batches):
+        for batch in batches:
+            with open(asked, "a") as out:
+                out.write("x" * batch.num_rows)
+            yield batch
+
+    draw = np.random.default_rng(2)
+    rows = [(0, t, r, c, float(draw.normal()), float(draw.normal())) for t in range(3) for r in range(4) for c in range(3)]
+    batch = spark.createDataFrame(rows, "scene int, t int, row int, col int, re double, im double")
+    estimator = sequential.SequentialEstimator(spark, f"file://{tmp_path}/state", (1, 1))
+    estimator.process(batch.mapInArrow(seen, batch.schema), 0)
+    assert len(asked.read_text()) == len(rows)
+    assert estimator.linked().count() == len(rows) and not (tmp_path / "state" / "given" / "000000").exists()
+
+
 def test_simulated_coherence():
     c = simulate.coherence_matrix(5, 12.0)
     z = simulate.samples(c, 200_000, 1)
