@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.functions.cx import Cx, angle, cx, expj, magnitude, mul_conj, unit
-from fringeflow.operators.grid import Offset, neighbours
+from fringeflow.operators.grid import Offset, each_group, neighbours
 
 PIXEL = ["scene", "row", "col"]
 LEAST_POWER = 1e-6
@@ -87,7 +87,7 @@ def _packed_tile(rows: np.ndarray, cols: np.ndarray, dates: np.ndarray, values:
     cube = np.full((len(axis), int(rows.max()) - r0 + 1, int(cols.max()) - c0 + 1), np.nan, dtype=complex)
     cube[at, rows - r0, cols - c0] = values
     own = np.unique(np.stack([rows // sy, cols // sx], axis=1), axis=0)
-    own = own[(own // size == tile).all(axis=1)]
+    own = own[((own + np.array(size) // 2) // size == tile).all(axis=1)]
     if not len(own):
         return None
     out_r, out_c = np.arange(own[:, 0].min(), own[:, 0].max() + 1), np.arange(own[:, 1].min(), own[:, 1].max() + 1)
@@ -138,7 +138,8 @@ def packed_matrix(stack: DataFrame, offsets: list[Offset], strides: Offset = (1,
         middle = step // 2 if step > 1 else 0
         own = F.floor(F.col(c) / step)
         first, last = F.ceil((F.col(c) - span[1] - middle) / step), F.floor((F.col(c) - span[0] - middle) / step)
-        return F.sequence(F.floor(F.least(first, own) / tile), F.floor(F.greatest(last, own) / tile))
+        # As in grid.tiles_near, the tile around 0 lies on both sides of it.
+        return F.sequence(F.floor((F.least(first, own) + tile // 2) / tile), F.floor((F.greatest(last, own) + tile // 2) / tile))
 
     pixels = stack.filter("re IS NOT NULL AND im IS NOT NULL").select("scene", F.col("t").cast("int").alias("t"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
     dealt = pixels.withColumn("tile_row", F.explode(tiles("row", sy, reach[0], size[0]))).withColumn("tile_col", F.explode(tiles("col", sx, reach[1], size[1])))
@@ -147,6 +148,7 @@ def packed_matrix(stack: DataFrame, offsets: list[Offset], strides: Offset = (1,
     arrow = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("dates", pa.list_(pa.int32())), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
 
     def built(key, table: pa.Table, near: pa.Table | None) -> pa.Table:
+        """The rows of a tile, whose key is a tuple of scalars."""
         found = None
         if table.num_rows and (near is None or near.num_rows):
             r, c, t, re, im = (table.column(x).to_numpy() for x in ("row", "col", "t", "re", "im"))
@@ -155,10 +157,21 @@ def packed_matrix(stack: DataFrame, offsets: list[Offset], strides: Offset = (1,
         found = arrow.empty_table() if found is None else found
         return found.add_column(0, pa.field("scene", key[0].type), pa.array([key[0].as_py()] * found.num_rows, key[0].type))
 
+    def several(table: pa.Table, starts: np.ndarray):
+        made, n = [], 0
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            made.append(built(tuple(table.column(k)[a] for k in keys), table.slice(a, b - a), None))
+            n += made[-1].num_rows
+            if n >= 4096:
+                yield pa.concat_tables(made).combine_chunks()
+                made, n = [], 0
+        if n:
+            yield pa.concat_tables(made).combine_chunks()
+
     if edges is None:
-        return dealt.groupBy(*keys).applyInArrow(lambda key, table: built(key, table, None), schema)
+        return each_group(dealt, keys, several, schema)
     # New names for all columns: edges mostly come from the same stack.
-    near = edges.select(F.col("scene").alias("scene"), F.floor(F.col("row") / size[0]).alias("tile_row"), F.floor(F.col("col") / size[1]).alias("tile_col"), *(F.col(c).cast("int").alias(c) for c in ("row", "col", "dr", "dc")))
+    near = edges.select(F.col("scene").alias("scene"), F.floor((F.col("row") + size[0] // 2) / size[0]).alias("tile_row"), F.floor((F.col("col") + size[1] // 2) / size[1]).alias("tile_col"), *(F.col(c).cast("int").alias(c) for c in ("row", "col", "dr", "dc")))
     return dealt.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(lambda key, table, own: built(key, table, own), schema)
 
 

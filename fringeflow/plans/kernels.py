@@ -36,10 +36,13 @@ def k8(spark, sf_dir):
         import pyarrow as pa
 
         for batch in batches:
-            c = phaselink.dense_matrices(*(batch.column(x) for x in ("dates", "re", "im")), DATES)
-            values, vectors = phaselink.nearest_eigenpair(c, 0.99)
-            left = np.linalg.norm(np.einsum("pij,pj->pi", c, vectors) - values[:, None] * vectors, axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), pa.array(values), pa.array(left)], [*KEYS, "eigenvalue", "left"])
+            # A few hundred pixels at a time bound the matrices in memory.
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                c = phaselink.dense_matrices(*(piece.column(x) for x in ("dates", "re", "im")), DATES)
+                values, vectors = phaselink.nearest_eigenpair(c, 0.99)
+                left = np.linalg.norm(np.einsum("pij,pj->pi", c, vectors) - values[:, None] * vectors, axis=1)
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in KEYS), pa.array(values), pa.array(left)], [*KEYS, "eigenvalue", "left"])
 
     found = packed(spark, sf_dir).mapInArrow(run, "scene int, row int, col int, eigenvalue double, left double")
     return found.select(*KEYS, rounded(F.col("eigenvalue"), 3).alias("eigenvalue"), (F.col("left") < 0.1).cast("int").alias("solved"))

@@ -51,6 +51,13 @@ def test_windows_are_not_shuffled(spark, tables, name):
     assert name == "x4_interpolate" or "Window [" not in found
 
 
+@pytest.mark.parametrize("name", ["a8_coherence", "k8_nearest_eigenpair"])
+def test_tiles_are_many_in_a_call(spark, tables, name):
+    """Coherence takes the tiles of an Arrow batch at once, not each in a call of its own."""
+    found = plan(QUERIES[name](spark, tables))
+    assert "MapInArrow" in found and "FlatMapGroups" not in found
+
+
 @pytest.fixture(params=["file", "plain", "viewfs"])
 def folder(request, spark, tmp_path, monkeypatch):
     """The shared folder as a file: path, as a path without a scheme, and on a file system that Python can't open."""
